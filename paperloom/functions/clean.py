@@ -21,14 +21,14 @@ LENGTHS = {
 
 def normalize_id(c: Column) -> Column:
     """CLN-01: last path segment of an id or URL; null becomes ''."""
-    tail = F.substring_index(F.regexp_replace(strip(c), "/+$", ""), "/", -1)
+    tail = F.substring_index(F.rtrim(strip(c), F.lit("/")), "/", -1)
     return F.coalesce(tail, F.lit(""))
 
 
 def entity_id(c: Column, strip_slash: bool = True) -> Column:
     """CLN-02: like normalize_id, with NULL for nothing."""
     if strip_slash:
-        c = F.regexp_replace(c, "/+$", "")
+        c = F.rtrim(c, F.lit("/"))
     return F.nullif(strip(F.substring_index(c, "/", -1)), F.lit(""))
 
 

@@ -9,11 +9,16 @@ from paperloom.functions import fixed
 
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
 BLANK = r"\s\x1c-\x1f\x85\p{Z}"
+# The same white space as single characters, for trimming without a regex.
+BLANK_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
+    + "".join(chr(n) for n in range(0x2000, 0x200B))
+)
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space on both ends."""
-    return F.regexp_replace(c, rf"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.trim(c, F.lit(BLANK_CHARS))
 
 
 def tokens(c: Column) -> Column:

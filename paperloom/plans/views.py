@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.skew import lagged_pairs
-from paperloom.session import cut
+from paperloom.session import cut, spread
 from paperloom.sources.works import parse_works
 
 
@@ -164,7 +164,8 @@ def works_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             lambda r: r.isNotNull(),
         ).alias("referenced_works"),
     )
-    return table(spark, sf_dir, "orders").select(o.alias("seq"), F.to_json(record).alias("json"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    return spread(orders).select(o.alias("seq"), F.to_json(record).alias("json"))
 
 
 def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,16 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work at least one partition per core.
+
+    Only acts when the scan has fewer splits than the session has cores, so a
+    table of many files is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application."""
     root = _cut_roots.pop(spark.sparkContext.applicationId, None)

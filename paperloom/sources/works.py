@@ -9,14 +9,26 @@ from paperloom.schemas import WORK
 
 
 def parse_works(df: DataFrame, json_column: str = "json", seq: str = "seq") -> DataFrame:
-    """Work JSON text to the declared schema; ``seq`` keeps the input order."""
-    return df.select(seq, F.from_json(json_column, WORK).alias("w")).select(seq, "w.*")
+    """Work JSON text to the declared schema; ``seq`` keeps the input order.
+
+    The generator keeps later filters above the parse: pushed below it, each
+    one would parse the record once more.
+    """
+    parsed = F.array(F.from_json(json_column, WORK))
+    return df.select(seq, F.inline(parsed))
 
 
 def read_works_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-01: one record per line; a broken line fails the read."""
+    """SRC-01: one record per line; a broken line fails the read.
+
+    ``seq`` orders records by file, split and line.
+    """
     df = spark.read.schema(WORK).option("mode", "FAILFAST").json(path)
-    return df.withColumn("seq", F.monotonically_increasing_id())
+    place = F.struct(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return df.select("*", place.alias("seq"))
 
 
 def read_works_tree(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
