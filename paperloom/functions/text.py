@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,11 +134,20 @@ def bucket_array(c: Column, dim: int = 64) -> Column:
     return F.transform(tokens(c), lambda t: token_bucket(t, dim))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row for use inside lambdas of ``body``.
+
+    A column named inside a lambda is evaluated for every element.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def counts_vector(buckets: Column, dim: int = 64) -> Column:
     """Bucket numbers to a dense count vector."""
     slots = F.sequence(F.lit(0), F.lit(dim - 1))
-    return F.transform(
-        slots, lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double")
+    return let(
+        buckets,
+        lambda bs: F.transform(slots, lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double")),
     )
 
 
@@ -156,18 +167,24 @@ def l2_norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Divide by the L2 norm; a zero vector stays zero."""
-    norm = l2_norm(a)
-    return F.transform(a, lambda x: F.when(norm == 0, x).otherwise(x / norm))
+    return let(
+        a,
+        lambda v: let(
+            F.nullif(l2_norm(v), F.lit(0.0)),
+            lambda n: F.transform(v, lambda x: F.coalesce(x / n, x)),
+        ),
+    )
 
 
 def digest_embedding(c: Column, dim: int = 64) -> Column:
     """TXT-07: SHA-256 bytes / 255, tiled to the wanted dimension."""
-    digest = F.sha2(c, 256)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (
-            F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0
-        ).cast("float"),
+    slots = F.sequence(F.lit(0), F.lit(dim - 1))
+
+    def byte(digest: Column, i: Column) -> Column:
+        return F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
+
+    return let(
+        F.sha2(c, 256), lambda h: F.transform(slots, lambda i: (byte(h, i) / 255.0).cast("float"))
     )
 
 
@@ -211,3 +228,49 @@ def alternate_queries(words: Column) -> Column:
         F.array_distinct(F.array(first, second)),
         lambda q: q.isNotNull() & (q != "") & (q != primary_query(words)),
     )
+
+
+# --- vector arithmetic --------------------------------------------------------
+
+UNROLLED_DIM = 128  # up to here a dot product is plain generated code
+
+
+def bucket_norm(buckets: Column) -> Column:
+    """L2 norm of the count vector of a bucket list, without building it.
+
+    Over the sorted buckets a run that grows from r to r + 1 adds 2r + 1.
+    """
+    start = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sq"))
+
+    def step(s: Column, b: Column) -> Column:
+        run = F.when(s["b"] == b, s["run"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(b.alias("b"), (run + 1).alias("run"), (s["sq"] + 2 * run + 1).alias("sq"))
+
+    return F.sqrt(F.aggregate(F.array_sort(buckets), start, step, lambda s: s["sq"].cast("double")))
+
+
+def bucket_dot(buckets: Column, norm: Column, query: list[float]) -> Column:
+    """Dot product of a unit count vector with a fixed query vector."""
+    weights = F.array(*[F.lit(float(x)) for x in query])
+    total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(weights, b.cast("int")))
+    return F.coalesce(F.try_divide(total, norm), F.lit(0.0))
+
+
+def fixed_dot(vector: Column, query: list[float]) -> Column:
+    """Dot product with a fixed vector; unrolled so that it compiles to plain code."""
+    if len(query) <= UNROLLED_DIM:
+        out = F.lit(0.0)
+        for i, q in enumerate(query):
+            out = out + F.get(vector, F.lit(i)).cast("double") * float(q)
+        return out
+    return dot(vector, F.array(*[F.lit(float(q)) for q in query]))
+
+
+def fixed_norm(vector: Column, dim: int) -> Column:
+    if dim <= UNROLLED_DIM:
+        out = F.lit(0.0)
+        for i in range(dim):
+            x = F.get(vector, F.lit(i)).cast("double")
+            out = out + x * x
+        return F.sqrt(out)
+    return l2_norm(vector)
