@@ -172,6 +172,26 @@ def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_works(works_json(spark, sf_dir))
 
 
+REF_LINKS_SQL = """
+  SELECT o_orderkey AS work_id, pos, ref_id FROM (SELECT o_orderkey, unnest([
+      CASE WHEN o_orderkey >= 1 + o_custkey % 5 THEN o_orderkey - 1 - o_custkey % 5 END,
+      CASE WHEN o_orderkey >= 10 + o_custkey % 7 THEN o_orderkey - 10 - o_custkey % 7 END,
+      CASE WHEN o_orderkey % 6 = 0 THEN 900000000 + o_orderkey % 97 END]) AS ref_id, unnest([0, 1, 2]) AS pos FROM orders) WHERE ref_id IS NOT NULL
+"""
+
+
+def ref_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference lists of the records as rows (work_id, pos, ref_id), numeric ids."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    refs = F.array(
+        F.when(o >= 1 + c % 5, o - 1 - c % 5), F.when(o >= 10 + c % 7, o - 10 - c % 7),
+        F.when(o % 6 == 0, F.lit(900000000) + o % 97),
+    )
+    return table(spark, sf_dir, "orders").select(
+        o.alias("work_id"), F.posexplode(refs).alias("pos", "ref_id")
+    ).filter("ref_id IS NOT NULL")
+
+
 # Flat rows of the same records. a_name is NULL where the author has no name.
 FLAT_SQL = {
     "fa": """
