@@ -28,7 +28,7 @@ def read_jdbc(
 def read_wide_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """SRC-04: a wide news sheet; quoted cells may span lines."""
     df = spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"')
-    return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
+    return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns})
 
 
 def csv_values(df: DataFrame) -> DataFrame:
