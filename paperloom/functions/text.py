@@ -126,8 +126,12 @@ def fallback_text(title: Column, abstract: Column) -> Column:
 
 
 def token_bucket(token: Column, dim: int = 64) -> Column:
-    """TXT-06 bucket: the first 8 hex digits of SHA-256, modulo dim."""
-    return F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % dim
+    """TXT-06 bucket: the first 8 hex digits of SHA-256, modulo dim.
+
+    Where dim divides 256 the last two of the eight digits decide alone.
+    """
+    at, n = (7, 2) if 256 % dim == 0 else (1, 8)
+    return F.conv(F.substring(F.sha2(token, 256), at, n), 16, 10).cast("long") % dim
 
 
 def bucket_array(c: Column, dim: int = 64) -> Column:

@@ -15,6 +15,7 @@ from paperloom.functions import text as X
 from paperloom.operators.relate import papers_with_evidence
 from paperloom.operators.sets import overlap
 from paperloom.operators.skew import top_n
+from paperloom.session import pin
 
 # --- fixed values: windows and support thresholds ----------------------------------
 PARENT_SIZE, PARENT_STEP = 8, 6
@@ -23,22 +24,19 @@ MIN_SCORE, MIN_OVERLAP = 0.12, 0.05
 
 def section_rows(docs: DataFrame, work: str = "work_id", body: str = "text") -> DataFrame:
     """One row per section with its sentences and its first child number."""
-    parts = docs.select(
-        F.col(work).alias("work_id"),
-        F.filter(
-            F.transform(
-                X.sections(F.col(body)),
-                lambda s: F.struct(s["name"].alias("name"), s["body"].alias("body"), X.sentences(s["body"]).alias("sents")),
-            ),
-            lambda s: F.size(s["sents"]) > 0,
-        ).alias("_secs"),
+    found = F.transform(
+        X.sections(F.col(body)),
+        lambda s: F.struct(s["name"].alias("name"), s["body"].alias("body"), X.sentences(s["body"]).alias("sents")),
     )
+    parts = pin(
+        docs.select(F.col(work).alias("work_id"), body), _secs=F.filter(found, lambda s: F.size(s["sents"]) > 0)
+    ).drop(body)
 
     def children(n: Column) -> Column:
         starts = F.sequence(F.lit(0), n - 1, F.lit(PARENT_STEP))
         return F.aggregate(starts, F.lit(0), lambda a, at: a + F.least(F.lit(PARENT_SIZE), n - at))
 
-    counted = parts.withColumn("_n", F.transform("_secs", lambda s: children(F.size(s["sents"]))))
+    counted = pin(parts, _n=F.transform("_secs", lambda s: children(F.size(s["sents"]))))
     rows = counted.select("work_id", "_n", F.posexplode("_secs").alias("sec", "_s"))
     before = F.aggregate(F.slice("_n", 1, F.col("sec")), F.lit(0), lambda a, x: a + x)
     return rows.select(
@@ -76,34 +74,45 @@ def parent_chunks(docs: DataFrame, work: str = "work_id", body: str = "text") ->
     )
 
 
-def child_chunks(docs: DataFrame, work: str = "work_id", body: str = "text", max_per_work: int = 0) -> DataFrame:
+def child_chunks(
+    docs: DataFrame, work: str = "work_id", body: str = "text", max_per_work: int = 0, buckets: int = 0
+) -> DataFrame:
     """TXT-04 children: each sentence of a parent with its neighbours.
 
-    Offsets belong to the first occurrence of the sentence in its section. They
-    are computed once per sentence and shared by the children on it.
+    Offsets belong to the first occurrence of the sentence in its section.
+    Offsets, token counts and, with ``buckets`` = dimension, hash buckets are
+    computed once per sentence; a child adds up those of its three sentences.
     """
-    secs = section_rows(docs, work, body).withColumn(
-        "_at", F.transform("sents", lambda s: F.greatest(F.instr(F.col("body"), s) - 1, F.lit(0)))
-    ).withColumn("_tok", F.transform("_at", lambda at: X.token_count(F.substring(F.col("body"), F.lit(1), at))))
+    secs = pin(
+        section_rows(docs, work, body),
+        _at=F.transform("sents", lambda s: F.greatest(F.instr(F.col("body"), s) - 1, F.lit(0))),
+        _cnt=F.transform("sents", X.token_count),
+        _bk=F.transform("sents", lambda s: X.bucket_array(s, buckets)) if buckets else F.array().cast("array<array<bigint>>"),
+    )
+    secs = pin(secs, _tok=F.transform("_at", lambda at: X.token_count(F.substring(F.col("body"), F.lit(1), at))))
     rows = parent_rows(secs.drop("body")).select(
         "*", F.explode(F.sequence(F.lit(0), F.col("n_sents") - 1)).alias("_l")
     )
     j = F.col("start") + F.col("_l")
+
+    def around(values: str) -> Column:
+        return F.slice(values, F.greatest(j, F.lit(1)), F.when(j == 0, 2).otherwise(3))
+
     rows = rows.select(
         "work_id", "parent_id", "section",
         (F.col("start_child_index") + F.col("_l")).alias("child_index"),
-        F.array_join(F.slice("sents", F.greatest(j, F.lit(1)), F.when(j == 0, 2).otherwise(3)), " ").alias("text"),
+        F.array_join(around("sents"), " ").alias("text"),
         F.get("_at", j).alias("char_start"),
         (F.get("_at", j) + F.length(F.get("sents", j))).alias("char_end"),
         F.get("_tok", j).alias("token_start"),
+        (F.get("_tok", j) + F.aggregate(around("_cnt"), F.lit(0), lambda a, n: a + n)).alias("token_end"),
+        *([F.flatten(around("_bk")).alias("buckets")] if buckets else []),
     )
     key = X.stable_hash(
         {"work": X.json_text(F.col("work_id").cast("string")), "parent": X.json_text(F.col("parent_id")), "idx": F.col("child_index").cast("string")}, 14
     )
     rows = rows.select(
-        F.concat(F.lit("C_"), key).alias("child_id"), "*",
-        (F.col("token_start") + X.token_count(F.col("text"))).alias("token_end"),
-        X.content_hash(F.col("text")).alias("content_hash"),
+        F.concat(F.lit("C_"), key).alias("child_id"), "*", X.content_hash(F.col("text")).alias("content_hash")
     )
     return rows.filter(F.col("child_index") < max_per_work) if max_per_work > 0 else rows
 
@@ -142,11 +151,11 @@ def search_evidence(
     if works is not None:
         children = children.join(works.select("work_id").distinct(), "work_id", "left_semi")
     vectors = query_vectors(children.sparkSession, queries, dim)
-    scored = children.withColumn("_b", X.bucket_array(F.col("text"), dim)).withColumn(
-        "_norm", X.bucket_norm(F.col("_b"))
-    )
+    if "buckets" not in children.columns:
+        children = pin(children, buckets=X.bucket_array(F.col("text"), dim))
+    scored = pin(children, _norm=X.bucket_norm(F.col("buckets")))
     hits = F.array(*[
-        F.struct(F.lit(i).alias("query_no"), F.round(X.bucket_dot(F.col("_b"), F.col("_norm"), v), 9).alias("score"))
+        F.struct(F.lit(i).alias("query_no"), F.round(X.bucket_dot(F.col("buckets"), F.col("_norm"), v), 9).alias("score"))
         for i, v in enumerate(vectors)
     ])
     rows = scored.select("child_id", "parent_id", "work_id", "section", F.col("text").alias("child_text"), F.inline(hits))

@@ -19,6 +19,7 @@ from paperloom.functions import fixed
 from paperloom.functions.clean import file_name_part
 from paperloom.functions.text import BLANK, strip
 from paperloom.operators.skew import numbered, top_n
+from paperloom.session import pin
 
 # --- fixed values: gate, chunk and score parameters -------------------------------------
 MIN_CHARS, MIN_CJK_RATIO = 80, 0.35
@@ -148,20 +149,16 @@ def clean_documents(
     A bad page is judged on the normalised raw text; the other tests see the
     cleaned text, which is empty for a bad page.
     """
-    d = cells.withColumn("_norm", normalise(F.col(raw), unescape))
-    d = d.withColumn("is_bad_page", is_bad_page(F.col("_norm")))
-    d = d.withColumn(
-        "clean_text", F.when(F.col("is_bad_page"), F.lit("")).otherwise(scrub(remove_boilerplate(F.col("_norm"))))
-    ).withColumn("_ratio", cjk_ratio(F.col("clean_text")))
+    d = pin(cells.withColumn("_norm", normalise(F.col(raw), unescape)), is_bad_page=is_bad_page(F.col("_norm")))
+    body = scrub(remove_boilerplate(F.col("_norm")))
+    d = pin(d, clean_text=F.when(F.col("is_bad_page"), F.lit("")).otherwise(body))
     text = F.col("clean_text")
-    reason = (
-        F.when(F.col("is_bad_page"), "bad_page").when(F.length(text) < min_chars, "too_short")
-        .when(F.col("_ratio") < min_ratio, "low_chinese_ratio")
-    )
+    d = pin(d, clean_len=F.length(text), _ratio=cjk_ratio(text), raw_len=F.length("_norm"))
+    short, low = F.col("clean_len") < min_chars, F.col("_ratio") < min_ratio
+    reason = F.when(F.col("is_bad_page"), "bad_page").when(short, "too_short").when(low, "low_chinese_ratio")
     return d.select(
-        *cells.columns, F.length("_norm").alias("raw_len"), F.length(text).alias("clean_len"),
-        F.round("_ratio", 4).alias("chinese_ratio"), "is_bad_page",
-        (F.length(text) < min_chars).alias("is_too_short"), (F.col("_ratio") < min_ratio).alias("is_low_chinese_ratio"),
+        *cells.columns, "raw_len", "clean_len", F.round("_ratio", 4).alias("chinese_ratio"), "is_bad_page",
+        short.alias("is_too_short"), low.alias("is_low_chinese_ratio"),
         any_term(text, fixed.NOTICE_TERMS).alias("is_notice_like"), is_multi_company(text).alias("is_multi_company_like"),
         reason.alias("drop_reason"), "clean_text",
     )
@@ -223,7 +220,8 @@ def parent_numbers(records: Column) -> Column:
 
 def with_sentences(docs: DataFrame) -> DataFrame:
     """Clean documents with their sentence records and parent numbers."""
-    return docs.withColumn("_recs", sentence_records(F.col("clean_text"))).withColumn("_parent", parent_numbers(F.col("_recs")))
+    recs = pin(docs, _recs=sentence_records(F.col("clean_text")))
+    return pin(recs, _parent=parent_numbers(F.col("_recs")))
 
 
 def parent_chunks(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -258,14 +256,15 @@ def scored(children: DataFrame) -> DataFrame:
     Expects child_text, center_sentence, doc_notice, doc_multi.
     """
     text, center = F.col("child_text"), F.col("center_sentence")
-    d = children.select(
-        "*", count_hits(text, fixed.NEGATIVE_TERMS).alias("_neg"), count_hits(text, fixed.POSITIVE_TERMS).alias("_pos"),
-        count_hits(text, fixed.FINANCIAL_TERMS).alias("_fin"),
-        (any_term(text, fixed.NOTICE_TERMS) | F.col("doc_notice")).alias("is_notice_like"),
-        (is_multi_company(text) | F.col("doc_multi")).alias("is_multi_company_like"),
-        F.regexp_count(text, F.lit(fixed.AMOUNT_PATTERN)).alias("amount_count"),
-        F.regexp_count(text, F.lit(fixed.DATE_PATTERN)).alias("date_count"),
-        any_term(center, fixed.NEGATIVE_TERMS).alias("_cneg"), any_term(center, fixed.FINANCIAL_TERMS).alias("_cfin"),
+    d = pin(
+        children,
+        _neg=count_hits(text, fixed.NEGATIVE_TERMS), _pos=count_hits(text, fixed.POSITIVE_TERMS),
+        _fin=count_hits(text, fixed.FINANCIAL_TERMS),
+        is_notice_like=any_term(text, fixed.NOTICE_TERMS) | F.col("doc_notice"),
+        is_multi_company_like=is_multi_company(text) | F.col("doc_multi"),
+        amount_count=F.regexp_count(text, F.lit(fixed.AMOUNT_PATTERN)),
+        date_count=F.regexp_count(text, F.lit(fixed.DATE_PATTERN)),
+        _cneg=any_term(center, fixed.NEGATIVE_TERMS), _cfin=any_term(center, fixed.FINANCIAL_TERMS),
     )
 
     def upto(c: str, n: int) -> Column:
@@ -291,7 +290,7 @@ def scored(children: DataFrame) -> DataFrame:
         F.when(F.col("is_notice_like"), "notice_like"), F.when(F.col("is_multi_company_like"), "multi_company_like"),
         F.when(F.col("amount_count") > 0, "amount"), F.when(F.col("date_count") > 0, "date"),
     )))
-    return d.withColumn("rule_score", score).withColumn("rule_tags", tags).withColumn(
+    return pin(d, rule_score=score, rule_tags=tags).withColumn(
         "is_candidate", F.col("rule_score") >= CANDIDATE_SCORE
     ).drop("_neg", "_pos", "_fin", "_cneg", "_cfin", "doc_notice", "doc_multi")
 

@@ -134,7 +134,7 @@ SEARCH_SQL = CHILDREN_SQL + f""",
 
 
 def evidence(spark, sf):
-    return K.search_evidence(K.child_chunks(docs(spark, sf), "doc_id"), QUERIES, 8)
+    return K.search_evidence(K.child_chunks(docs(spark, sf), "doc_id", buckets=64), QUERIES, 8)
 
 
 @query("txt08_search", SEARCH_SQL + """

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings the operators rely on. All can be set on a live session.
 RUNTIME_CONF = {
@@ -92,6 +93,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def pin(df: DataFrame, **computed: Column) -> DataFrame:
+    """Add computed columns that are evaluated exactly once per row.
+
+    Filters on a plain computed column, also those Spark infers below an
+    explode, move under the projection and repeat its expression. A one-element
+    generator stops that; it adds no exchange.
+    """
+    values = F.array(F.struct(*[c.alias(name) for name, c in computed.items()]))
+    return df.select("*", F.inline(values))
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application."""
     root = _cut_roots.pop(spark.sparkContext.applicationId, None)

@@ -47,6 +47,7 @@ def norm(v):
 def compare(spark_df, con, sql):
     cols = sorted(spark_df.columns)
     got = [tuple(norm(r[c]) for c in cols) for r in spark_df.collect()]
+    compare.mid = time.time()
     rel = con.execute(sql)
     names = [d[0] for d in rel.description]
     types = dict(zip(names, [str(d[1]) for d in rel.description]))
@@ -89,7 +90,9 @@ def main() -> int:
         except Exception as e:  # noqa: BLE001 - report and go on
             res, n, m = f"ERROR {type(e).__name__}: {str(e)[:1500]}", -1, -1
             bad += 1
-        print(f"{name:32s} {time.time() - t0:6.1f}s  {n:>7d} {m:>7d}  {res}", flush=True)
+        mid = getattr(compare, "mid", None) or time.time()
+        compare.mid = None
+        print(f"{name:32s} {mid - t0:6.1f}s {time.time() - mid:6.1f}s  {n:>7d} {m:>7d}  {res}", flush=True)
     drop_cuts(spark)
     print("bad:", bad)
     return 1 if bad else 0
