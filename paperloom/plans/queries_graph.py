@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.functions import clean as C
+from paperloom.operators import entities as E
 from paperloom.operators import graph as G
 from paperloom.plans import views as V
 from paperloom.plans.registry import query
@@ -195,3 +197,86 @@ def dsn04(spark, sf):
     ids = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     h = G.hits(ids, cites, 5)
     return h.select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+
+
+# --- snapshot and typed graph ------------------------------------------------------------
+
+
+def snapshot_papers(spark, sf):
+    """papers(work_id, title, authors, topics, referenced_works, seq) of the nested records."""
+    w = V.raw_works(spark, sf)
+    names = F.filter(F.transform("authorships", lambda a: F.trim(a["author"]["display_name"])), lambda n: n.isNotNull())
+    chosen = F.when(F.size("topics") > 0, F.col("topics")).otherwise(F.slice("concepts", 1, 5))
+    refs = F.transform("referenced_works", lambda r: C.normalize_id(r))
+    return cut(w.select(
+        "seq", C.normalize_id(F.col("id")).alias("work_id"), F.trim("title").alias("title"), names.alias("authors"),
+        F.transform(chosen, lambda t: t["display_name"]).alias("topics"), refs.alias("referenced_works"),
+    ), "snapshot-papers")
+
+
+SNAPSHOT_SQL = V.with_flat(""", ftt AS (SELECT o, pos, t_name FROM ft UNION ALL
+    SELECT o_orderkey, 0, 'Topic ' || (o_custkey + 15) % 60 FROM orders WHERE o_orderkey % 13 = 0 AND o_orderkey % 17 <> 0)""", "fa", "ft", "fc").replace(") , ftt", "), ftt")
+
+
+@query("gra01_vertices", SNAPSHOT_SQL + """
+  SELECT 'paper:W' || o_orderkey AS id, 'paper' AS type, CASE WHEN o_orderkey % 20 <> 0 THEN 'Order ' || o_orderkey END AS label, NULL::BIGINT AS paper_count FROM orders UNION ALL
+  SELECT 'author:author_' || a, 'author', 'Author ' || a, count(*) FROM fa WHERE a_name IS NOT NULL GROUP BY a UNION ALL
+  SELECT 'topic:' || replace(lower(t_name), ' ', '_'), 'topic', t_name, count(*) FROM ftt GROUP BY t_name""")
+def gra01v(spark, sf):
+    return G.snapshot_vertices(snapshot_papers(spark, sf))
+
+
+EDGES_SQL = SNAPSHOT_SQL + """,
+  refs AS (SELECT o_orderkey AS o, unnest([0, 1]) AS pos, unnest([CASE WHEN o_orderkey >= 1 + o_custkey % 5 THEN o_orderkey - 1 - o_custkey % 5 END,
+      CASE WHEN o_orderkey >= 10 + o_custkey % 7 THEN o_orderkey - 10 - o_custkey % 7 END]) AS r FROM orders),
+  e AS (SELECT o, 0 AS k, j AS pos, 'author:author_' || a AS dst, 'AUTHORED_BY' AS type FROM fa WHERE a_name IS NOT NULL UNION ALL
+    SELECT o, 1, pos, 'topic:' || replace(lower(t_name), ' ', '_'), 'HAS_TOPIC' FROM ftt UNION ALL SELECT o, 2, pos, 'paper:W' || r, 'CITES' FROM refs WHERE r IS NOT NULL)
+"""
+
+
+@query("gra01_edges", EDGES_SQL + " SELECT 'paper:W' || o AS src, dst, type FROM (SELECT *, row_number() OVER (ORDER BY o, k, pos) AS nth FROM e) WHERE nth <= 50000")
+def gra01e(spark, sf):
+    return G.snapshot_edges(snapshot_papers(spark, sf), max_edges=50000)
+
+
+@query("gra15_snapshot", EDGES_SQL + """
+  SELECT 'graph_' || left(sha256('{"corpus": "c1", "edges": ' || e || ', "nodes": ' || n || '}'), 12) AS graph_snapshot_id, 'c1' AS corpus_id, n AS node_count, e AS edge_count FROM (
+    SELECT (SELECT count(*) FROM orders) + (SELECT count(DISTINCT a) FROM fa WHERE a_name IS NOT NULL) + (SELECT count(DISTINCT t_name) FROM ftt) AS n, (SELECT count(*) FROM e) AS e)""")
+def gra15(spark, sf):
+    p = snapshot_papers(spark, sf)
+    return G.snapshot_record("c1", G.snapshot_vertices(p), G.snapshot_edges(p))
+
+
+TYPED_SQL = V.with_flat("""
+  , ed AS (
+  SELECT 'Paper:' || citing_work_id AS src, 'Paper:' || cited_work_id AS dst, 'CITES' AS type, 1.0 AS weight FROM fc WHERE cited_work_id IN (SELECT 'W' || o_orderkey FROM orders) UNION ALL
+  SELECT 'Author:' || author_id, 'Paper:W' || o, 'AUTHORED', 1.0 FROM fa WHERE a_name IS NOT NULL UNION ALL
+  SELECT 'Paper:W' || o_orderkey, 'Venue:V' || (o_custkey % 40), 'PUBLISHED_IN', 1.0 FROM orders UNION ALL
+  SELECT 'Paper:W' || o, 'Concept:' || concept_id, 'ABOUT', score FROM ft WHERE score > 0 UNION ALL
+  SELECT 'Paper:W' || o, 'Concept:' || concept_id, 'HAS_TOPIC', 1.0 FROM ft WHERE score > 0.3 UNION ALL
+  SELECT DISTINCT 'Author:' || author_id, 'Institution:' || institution_id, 'AFFILIATED_WITH', 1.0 FROM fi UNION ALL
+  SELECT DISTINCT 'Paper:W' || o, 'Institution:' || institution_id, 'ASSOCIATED_WITH', 1.0 FROM fi UNION ALL
+  SELECT 'Author:' || author_id, 'Institution:' || institution_id, 'AFFILIATED_IN_WORK', 1.0 FROM (SELECT DISTINCT o, author_id, institution_id FROM fi) UNION ALL
+  SELECT DISTINCT 'Institution:' || institution_id, 'Country:' || country_code, 'LOCATED_IN', 1.0 FROM fi WHERE country_code IS NOT NULL UNION ALL
+  SELECT 'Paper:W' || o_orderkey, 'WorkType:' || CASE o_orderkey % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'review' ELSE 'posted-content' END, 'HAS_TYPE', 1.0 FROM orders)
+""", "fa", "fi", "ft", "fc")
+
+
+def typed_tables(spark, sf):
+    return E.clean_batch(cut(V.raw_works(spark, sf), "parsed-works"))
+
+
+@query("gra09_typed_edges", TYPED_SQL + " SELECT src, dst, type, weight::DOUBLE AS weight FROM ed")
+def gra09(spark, sf):
+    return G.typed_edges(typed_tables(spark, sf))
+
+
+@query("agg11_type_counts", TYPED_SQL + """
+  SELECT 'edge' AS kind, type, count(*) AS n FROM ed GROUP BY type UNION ALL
+  SELECT 'node', 'Paper', count(*) FROM orders UNION ALL SELECT 'node', 'Author', count(DISTINCT author_id) FROM fa WHERE a_name IS NOT NULL UNION ALL
+  SELECT 'node', 'Institution', count(DISTINCT institution_id) FROM fi UNION ALL SELECT 'node', 'Country', count(DISTINCT country_code) FROM fi UNION ALL
+  SELECT 'node', 'Concept', count(DISTINCT concept_id) FROM ft UNION ALL SELECT 'node', 'Venue', count(DISTINCT o_custkey % 40) FROM orders UNION ALL
+  SELECT 'node', 'WorkType', count(DISTINCT o_orderkey % 3) FROM orders""")
+def agg11(spark, sf):
+    t = typed_tables(spark, sf)
+    return G.type_counts(G.typed_vertices(t), G.typed_edges(t))
