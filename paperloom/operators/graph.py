@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -16,6 +17,50 @@ KEY_PAPER_WEIGHTS = {"pagerank": 0.45, "citations": 0.30, "representative": 0.15
 RECENT_FROM_YEAR = 2022
 MAX_KEY_PAPERS = 15
 
+HOT_ROWS = 1_000_000  # edges of one node that one task may hold
+
+
+class EdgeLayout:
+    """Edges laid out once by one end, for the joins of an iterative job.
+
+    The edges are the large side of every round. Hash-partitioned and persisted,
+    they are not exchanged again; only node values travel. A node with more than
+    ``hot_rows`` edges is split into salted parts by its other ends, and its value
+    is sent to each part. Lost partitions are rebuilt from the written table.
+    """
+
+    def __init__(self, edges: DataFrame, key: str, other: str, hot_rows: int = HOT_ROWS) -> None:
+        spark = edges.sparkSession
+        # Parallel edges become one row with a multiplicity: (key, other) is unique.
+        once = edges.groupBy(key, other).agg(F.count(F.lit(1)).alias("times"))
+        once = cut(once, "edges-once")
+        seen = Observation()
+        degree = once.groupBy(key).agg(F.sum("times").alias("degree"), F.count(F.lit(1)).alias("_rows"))
+        degree = cut(degree.observe(seen, F.count_if(F.col("_rows") > hot_rows).alias("hot")), "degrees")
+        parts = F.ceil(F.col("_rows") / hot_rows).cast("int")
+        self.key, self.salted = key, bool(seen.get["hot"])
+        rows = once.join(degree, key)
+        keys = [key]
+        if self.salted:
+            rows = rows.withColumn("_salt", F.pmod(F.xxhash64(other), parts).cast("int"))
+            self.hot = degree.filter(F.col("_rows") > hot_rows).select(F.col(key).alias("_hot"), parts.alias("_parts"))
+            keys.append("_salt")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.rows = rows.drop("_rows").repartition(n, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def meet(self, values: DataFrame) -> DataFrame:
+        """Each edge with the value row (id, ...) of its key end."""
+        if not self.salted:
+            return self.rows.join(values, self.rows[self.key] == values["id"])
+        spread = values.join(self.hot, values["id"] == self.hot["_hot"], "left").withColumn(
+            "_to", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+        )
+        on = (self.rows[self.key] == spread["id"]) & (self.rows["_salt"] == spread["_to"])
+        return self.rows.join(spread, on).drop("_hot", "_parts", "_to", "_salt")
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
 
 # --- snapshot ----------------------------------------------------------------
 
@@ -102,58 +147,53 @@ def algorithm_record(snapshot_id: str, at: str, algorithm: str, parameters: str,
 # --- PageRank ------------------------------------------------------------------
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85) -> DataFrame:
+def pagerank(
+    vertices: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """GRA-02: (id, pagerank); dangling rank is shared evenly, the sum is 1.
 
     Uniform teleport and uniform dangling share mean that each round adds a
     multiple of the start vector v0 = 1/N. So r_T = sum_j a_j v_j, with
     v_j = (d A)^j v0 and a_j computed from the masses of the v_j alone. One
-    round is then one join on the source and one partial-aggregated sum on the
-    target, with no second join to the vertices and no dangling scan; nodes
+    round is then one join on the laid-out edges and one partial-aggregated sum on
+    the target, with no second join to the vertices and no dangling scan; nodes
     nobody cites leave v_j on their own, and an empty v_j ends the loop early
     with the exact result.
     """
     spark = vertices.sparkSession
-    # The weight d / outdegree sits on the edge; parallel edges stay parallel.
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_deg"))
-    weighted = cut(
-        edges.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("_deg")).alias("w")),
-        "weighted-edges",
-    )
     nodes = cut(vertices.select("id").distinct(), "rank-nodes")
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("pagerank", F.lit(0.0))
+    layout = EdgeLayout(edges, "src", "dst", hot_rows)
     base = new_table_path(spark, "rank-terms")
+    kind = nodes.schema["id"].dataType.simpleString()
     current = nodes.select("id", F.lit(1.0 / n).alias("v"))
     masses: list[float] = []
+    share = F.col("v") * (F.col("times") * damping / F.col("degree"))
     for step in range(1, iterations + 1):
         seen = Observation()
         path = f"{base}/step={step}"
         (
-            current.join(weighted, current["id"] == weighted["src"])
-            .groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-            .observe(seen, F.sum("v").alias("mass"))
-            .write.parquet(path)
+            layout.meet(current).groupBy(F.col("dst").alias("id")).agg(F.sum(share).alias("v"))
+            .observe(seen, F.sum("v").alias("mass")).write.parquet(path)
         )
         mass = seen.get["mass"]
         masses.append(mass or 0.0)
         if not mass:
             break
-        current = spark.read.schema("id " + nodes.schema["id"].dataType.simpleString() + ", v double").parquet(path)
+        current = spark.read.schema(f"id {kind}, v double").parquet(path)
+    layout.close()
     masses += [0.0] * (iterations - len(masses))
     coefficients = [1.0]
     for _ in range(iterations):
         first = 1.0 - sum(a * masses[j] for j, a in enumerate(coefficients))
         coefficients = [first] + coefficients
-    start = coefficients[0] / n
     scale = F.element_at(F.array(*[F.lit(a) for a in coefficients[1:]]), F.col("step"))
-    terms = spark.read.schema(
-        "id " + nodes.schema["id"].dataType.simpleString() + ", v double, step int"
-    ).parquet(base)
+    terms = spark.read.schema(f"id {kind}, v double, step int").parquet(base)
     tail = terms.groupBy("id").agg(F.sum(F.col("v") * scale).alias("_tail"))
     return nodes.join(tail, "id", "left").select(
-        "id", (F.lit(start) + F.coalesce("_tail", F.lit(0.0))).alias("pagerank")
+        "id", (F.lit(coefficients[0] / n) + F.coalesce("_tail", F.lit(0.0))).alias("pagerank")
     )
 
 
@@ -189,7 +229,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
         large = cut(
-            both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+            both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")),
             "large-star",
         )
         # Small star: smaller neighbours and the node itself move to the least one.
@@ -217,13 +257,10 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 3) ->
     Labels are counted per (node, label) before the choice, so a hub never sends
     its whole neighbourhood to one task.
     """
-    links = cut(undirected(edges), "lpa-links")
+    layout = EdgeLayout(undirected(edges), "src", "dst")
     labels = vertices.select("id", F.col("id").alias("community"))
     for _ in range(rounds):
-        votes = (
-            links.join(labels, links["src"] == labels["id"])
-            .groupBy(F.col("dst").alias("_n"), "community").agg(F.count(F.lit(1)).alias("_c"))
-        )
+        votes = layout.meet(labels).groupBy(F.col("dst").alias("_n"), "community").agg(F.count(F.lit(1)).alias("_c"))
         # Spark orders structs by field, so the negated count puts most votes first.
         best = votes.groupBy("_n").agg(
             F.min(F.struct((-F.col("_c")).alias("c"), F.col("community").alias("l"))).alias("_b")
@@ -234,6 +271,7 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 3) ->
             ),
             "labels",
         )
+    layout.close()
     return labels
 
 
@@ -544,19 +582,17 @@ def hits(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     the loop runs on raw sums over a fixed power of the adjacency, rescaled by
     the number of edges to stay in range.
     """
-    links = cut(edges.select("src", "dst"), "hits-links")
-    n_edges = float(max(1, links.count()))
-    hub = vertices.select("id", F.lit(1.0).alias("h"))
+    by_src, by_dst = EdgeLayout(edges, "src", "dst"), EdgeLayout(edges, "dst", "src")
+    scale = 1.0 / max(1, by_src.rows.count()) ** 0.5
+    hub = vertices.select("id", F.lit(1.0).alias("x"))
     auth = None
+    value = F.sum(F.col("x") * F.col("times")) * F.lit(scale)
     for _ in range(rounds):
-        auth = cut(
-            links.join(hub, links["src"] == hub["id"]).groupBy(F.col("dst").alias("id"))
-            .agg((F.sum("h") / F.lit(n_edges ** 0.5)).alias("a")), "hits-auth",
-        )
-        hub = cut(
-            links.join(auth, links["dst"] == auth["id"]).groupBy(F.col("src").alias("id"))
-            .agg((F.sum("a") / F.lit(n_edges ** 0.5)).alias("h")), "hits-hub",
-        )
+        auth = cut(by_src.meet(hub).groupBy(F.col("dst").alias("id")).agg(value.alias("x")), "hits-auth")
+        hub = cut(by_dst.meet(auth).groupBy(F.col("src").alias("id")).agg(value.alias("x")), "hits-hub")
+    by_src.close()
+    by_dst.close()
+    hub, auth = hub.withColumnRenamed("x", "h"), auth.withColumnRenamed("x", "a")
     norm_a = auth.agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("n")).scalar()
     norm_h = hub.agg(F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("n")).scalar()
     return vertices.select("id").join(hub, "id", "left").join(auth, "id", "left").select(

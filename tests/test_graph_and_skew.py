@@ -38,6 +38,8 @@ def test_pagerank(spark, edges):
     want = plain_pagerank(nodes, edges)
     assert got == pytest.approx(want)
     assert sum(got.values()) == pytest.approx(1.0)
+    salted = dict(rows(G.pagerank(v, e, hot_rows=1), "id", "pagerank"))
+    assert salted == pytest.approx(want)
 
 
 def test_pagerank_without_edges(spark):
