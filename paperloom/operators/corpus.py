@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import stable_hash
 from paperloom.operators.sets import first_non_empty
-from paperloom.operators.skew import numbered, top_n
+from paperloom.operators.skew import head_numbered, numbered, top_n
 from paperloom.session import cut, new_table_path, path_exists
 
 # --- fixed values: expansion limits and frontier weights ------------------------------
@@ -240,16 +240,18 @@ def layered_bfs(
             steps.groupBy(F.col("_next").alias("work_id")).agg(F.min("_at").alias("_at"))
             .join(known, "work_id", "left_anti")
         )
-        found = numbered(fresh, ["_at"], name="nth", label="candidates").select("work_id", "nth")
         if target > 0:
-            found = found.filter(F.col("nth") <= target - processed)
+            found = head_numbered(fresh, ["_at"], target - processed, "nth")
+        else:
+            found = numbered(fresh, ["_at"], name="nth", label="candidates")
+        found = found.select("work_id", "nth")
         frontier, n_found = store.put(found, "known", depth + 1)
         if 0 < max_frontier < n_found:
             ranked = frontier.join(works.select("work_id", "score"), "work_id", "left").select(
                 "work_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("nth").alias("_was")
             )
-            kept = ranked.orderBy(F.desc("score"), F.asc("_was")).limit(max_frontier)
-            nxt = numbered(kept, [F.desc("score"), F.asc("_was")], name="nth", label="pruned").select("work_id", "nth")
+            order = [F.desc("score"), F.asc("_was")]
+            nxt = head_numbered(ranked, order, max_frontier, "nth").select("work_id", "nth")
             frontier, _ = store.put(nxt, "frontier", depth + 1)
         depth += 1
     return store

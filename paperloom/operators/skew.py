@@ -58,6 +58,21 @@ def numbered(
     )
 
 
+SMALL_HEAD = 10_000  # rows a sorted take may hold in one place
+
+
+def head_numbered(df: DataFrame, order: Sequence[str | Column], n: int, name: str = "rn") -> DataFrame:
+    """The first n rows of a total order, numbered from 1.
+
+    A small head is a sorted take (n rows per task) with a window over those n
+    rows; a large one is cut out of the distributed numbering.
+    """
+    if n > SMALL_HEAD:
+        return numbered(df, order, name=name, label="head").filter(F.col(name) <= n)
+    keys = sort_columns(order)
+    return df.orderBy(*keys).limit(n).withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long"))
+
+
 def top_n(
     df: DataFrame, group: Sequence[str], order: Sequence[str | Column], n: int, name: str = "rn"
 ) -> DataFrame:

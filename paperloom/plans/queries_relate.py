@@ -340,8 +340,8 @@ def set01(spark, sf):
 
 
 @query("set02_ordered_union", """
-  SELECT id, list_extract(min([p, at]), 1)::INTEGER AS part, list_extract(min([p, at]), 2)::BIGINT AS at FROM (
-    SELECT l_suppkey AS id, 0 AS p, l_orderkey AS at FROM lineitem UNION ALL SELECT o_custkey, 1, o_orderkey FROM orders) GROUP BY 1""")
+  SELECT id, list_extract(min(x), 1)::INTEGER AS part, list_extract(min(x), 2)::BIGINT AS "at" FROM (
+    SELECT l_suppkey AS id, [0, l_orderkey] AS x FROM lineitem UNION ALL SELECT o_custkey, [1, o_orderkey] FROM orders) GROUP BY 1""")
 def set02(spark, sf):
     return S.ordered_union([
         V.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("at")),
