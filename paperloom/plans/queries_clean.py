@@ -86,13 +86,13 @@ def cln09(spark, sf):
 @query("cln14_hash_ids", """
   SELECT doc_id, left(sha256('{"lang": "' || lang || '", "n": ' || n_chars || ', "text": ' || to_json(text) || '}'), 14) AS stable_id,
          left(sha256(text), 32) AS content_id, sha1(text) AS sha1_id, left(md5(text), 16) AS md5_id,
-         left(trim(regexp_replace(left(text, 60), '[^0-9A-Za-z_\\-一-鿿]+', '_', 'g'), '_'), 80) AS slug FROM documents""")
+         left(trim(regexp_replace(trim(text), '[^0-9A-Za-z_\\-一-鿿]+', '_', 'g'), '_'), 80) AS slug FROM documents""")
 def cln14(spark, sf):
     text = F.col("text")
     key = X.stable_hash({"text": X.json_text(text), "lang": X.json_text(F.col("lang")), "n": F.col("n_chars").cast("string")}, 14)
     return V.table(spark, sf, "documents").select(
         "doc_id", key.alias("stable_id"), X.content_hash(text).alias("content_id"), F.sha1("text").alias("sha1_id"),
-        F.substring(F.md5("text"), 1, 16).alias("md5_id"), C.slugify(F.substring("text", 1, 60)).alias("slug"),
+        F.substring(F.md5("text"), 1, 16).alias("md5_id"), C.slugify(text).alias("slug"),
     )
 
 

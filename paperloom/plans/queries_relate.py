@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.functions.clean import normalize_id
 from paperloom.operators import aggregates as A
 from paperloom.operators import documents as D
 from paperloom.operators import graph as G
@@ -15,33 +14,33 @@ from paperloom.operators import upsert as U
 from paperloom.operators import entities as E
 from paperloom.plans import views as V
 from paperloom.plans.registry import query
-from paperloom.session import cut
+from paperloom.session import cut, spread
 
 # --- joins -----------------------------------------------------------------------
-# Held works: even order keys. Citations: the flat reference lists of the records.
+# Held works: orders that are not pending. Citations: the flat reference lists of the records.
 
 
 def held(spark, sf):
-    return V.table(spark, sf, "orders").filter("o_orderkey % 2 = 0").select(F.concat(F.lit("W"), "o_orderkey").alias("work_id"))
+    return V.table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.concat(F.lit("W"), "o_orderkey").alias("work_id"))
 
 
 def refs(spark, sf):
     return cut(E.citations(V.raw_works(spark, sf)), "refs")
 
 
-HELD = "h AS (SELECT 'W' || o_orderkey AS work_id FROM orders WHERE o_orderkey % 2 = 0)"
+HELD = "h AS (SELECT 'W' || o_orderkey AS work_id FROM orders WHERE o_orderstatus <> 'P')"
 REFS = V.with_flat("", "fc").rstrip() + ", " + HELD
 
 
 @query("jn01_fk_resolution", """
-  WITH r AS (SELECT l_orderkey, l_suppkey, l_orderkey % 7 <> 0 AS ok_w, l_suppkey % 5 <> 0 AS ok_a FROM lineitem
-             WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND l_suppkey IN (SELECT s_suppkey FROM supplier))
+  WITH r AS (SELECT l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '5-LOW') AS ok_w,
+               l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 2000) AS ok_a FROM lineitem)
   SELECT CASE WHEN ok_w AND ok_a THEN 'resolved' ELSE concat_ws('+', CASE WHEN NOT ok_w THEN 'l_orderkey' END, CASE WHEN NOT ok_a THEN 'l_suppkey' END) END AS outcome,
     count(*) AS n FROM r GROUP BY 1""")
 def jn01(spark, sf):
     link = V.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-    works = V.table(spark, sf, "orders").filter("o_orderkey % 7 <> 0").select("o_orderkey")
-    authors = V.table(spark, sf, "supplier").filter("s_suppkey % 5 <> 0").select("s_suppkey")
+    works = V.table(spark, sf, "orders").filter("o_orderpriority <> '5-LOW'").select("o_orderkey")
+    authors = V.table(spark, sf, "supplier").filter("s_acctbal >= 2000").select("s_suppkey")
     ok, skipped = J.resolve_links(link, {"l_orderkey": works, "l_suppkey": authors})
     return ok.agg(F.count(F.lit(1)).alias("n")).select(F.lit("resolved").alias("outcome"), "n").unionByName(
         skipped.select(F.col("missing").alias("outcome"), F.col("skipped").alias("n"))
@@ -451,12 +450,13 @@ def ups08(spark, sf):
 
 
 @query("ups10_skip_unchanged", """
-  SELECT doc_id, left(sha256(text), 32) AS content_hash FROM documents WHERE NOT (doc_id % 3 = 0 OR (doc_id % 3 = 1 AND lang = 'en'))""")
+  SELECT doc_id, left(sha256(text), 32) AS content_hash FROM documents WHERE lang IS DISTINCT FROM 'en'""")
 def ups10(spark, sf):
+    """English texts are stored as they are, French ones in an older form, others not at all."""
     d = V.table(spark, sf, "documents")
     now = d.select("doc_id", F.substring(F.sha2("text", 256), 1, 32).alias("content_hash"))
-    stored = d.filter("doc_id % 3 = 0 OR doc_id % 3 = 1").select(
-        "doc_id", F.substring(F.sha2(F.when((F.col("doc_id") % 3 == 1) & (F.col("lang") != "en"), F.lit("changed")).otherwise(F.col("text")), 256), 1, 32).alias("content_hash"))
+    older = F.when(F.col("lang") == "fr", F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
+    stored = d.filter("lang IN ('en', 'fr')").select("doc_id", F.substring(F.sha2(older, 256), 1, 32).alias("content_hash"))
     return U.changed_content(now, stored, ["doc_id"])
 
 
@@ -536,7 +536,7 @@ def bm25_sql(terms: list[str], fields: dict[str, tuple[str, float]], key: str, s
             f" HAVING round(max(s), 6) > 0 ORDER BY score DESC, {key} LIMIT {k}")
 
 
-@query("idx06_search", bm25_sql(["the", "question", "le", "de"], {"title": ("left(text, 60)", 3.0), "abstract": ("text", 1.0), "concepts": ("source || ' ' || lang", 2.0)}, "doc_id", "documents", 50))
+@query("idx06_search", bm25_sql(["the", "question", "le", "de", "src3", "fr"], {"title": ("source", 3.0), "abstract": ("text", 1.0), "concepts": ("lang", 2.0)}, "doc_id", "documents", 50))
 def idx06(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("abstract"), F.concat_ws(" ", "source", "lang").alias("concepts"))
-    return D.bm25_search(d, "doc_id", D.BOOSTS, "The question le de", 50)
+    d = V.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("abstract"), F.col("lang").alias("concepts"))
+    return D.bm25_search(spread(d), "doc_id", D.BOOSTS, "The question le de src3 fr", 50)

@@ -98,11 +98,11 @@ def dsn02(spark, sf):
 
 
 @query("dsn03_quality", V.with_graph("""
-  SELECT round(count(*) FILTER (id % 4 = 0) / count(*), 6) AS topic_purity, round((SELECT count(*) FROM citations) / count(*), 6) AS citation_density,
+  SELECT round(count(*) FILTER (publication_year >= 1998) / count(*), 6) AS topic_purity, round((SELECT count(*) FROM citations) / count(*), 6) AS citation_density,
     round(count(DISTINCT publication_year) / (max(publication_year) - min(publication_year) + 1), 6) AS year_coverage FROM papers""", True))
 def dsn03(spark, sf):
     cites = V.citations(spark, sf)
-    return D.corpus_quality(V.papers(spark, sf, cites), cites, F.col("id") % 4 == 0)
+    return D.corpus_quality(V.papers(spark, sf, cites), cites, F.col("publication_year") >= 1998)
 
 
 @query("dsn06_topic_drift", """

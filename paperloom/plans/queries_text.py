@@ -252,10 +252,10 @@ def vec02f(spark, sf):
 
 
 @query("vec01_append", """
-  SELECT label AS collection, vec_id::VARCHAR AS id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS version FROM embeddings""")
+  SELECT label AS collection, vec_id::VARCHAR AS id, CASE WHEN label < 4 THEN 1 ELSE 0 END AS version FROM embeddings""")
 def vec01(spark, sf):
     v = V.table(spark, sf, "embeddings").select(F.col("label").alias("collection"), F.col("vec_id").cast("string").alias("id"), F.lit(0).alias("version"))
-    return E.append(v, v.filter("cast(id as long) % 3 = 0").withColumn("version", F.lit(1)), "overwrite")
+    return E.append(v, v.filter("collection < 4").withColumn("version", F.lit(1)), "overwrite")
 
 
 @query("vec03_delete", "SELECT count(*) FILTER (label <> 4) AS kept, count(*) FILTER (label = 4) AS deleted FROM embeddings")

@@ -88,7 +88,7 @@ def work_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One JSON record per order, built by arithmetic on its two keys; read back through
 # the declared schema. The SQL side works on the flat author and topic rows.
 
-PREFIX = "https://openalex.org/"
+PREFIX = "https://works.example.org/"
 
 
 def works_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,18 +11,18 @@ from paperloom.sources import works as W
 from tests.conftest import rows
 
 WORK = {
-    "id": "https://openalex.org/W1", "title": " A work ", "publication_year": 2024, "type": "article", "cited_by_count": 5,
+    "id": "https://works.example.org/W1", "title": " A work ", "publication_year": 2024, "type": "article", "cited_by_count": 5,
     "authorships": [
-        {"author": {"id": "https://openalex.org/A1", "display_name": "Ann"}, "author_position": "first", "is_corresponding": True,
-         "institutions": [{"id": "https://openalex.org/I1", "display_name": "One", "country_code": "US"},
-                          {"id": "https://openalex.org/I2", "display_name": "Two", "country_code": "GB"}],
+        {"author": {"id": "https://works.example.org/A1", "display_name": "Ann"}, "author_position": "first", "is_corresponding": True,
+         "institutions": [{"id": "https://works.example.org/I1", "display_name": "One", "country_code": "US"},
+                          {"id": "https://works.example.org/I2", "display_name": "Two", "country_code": "GB"}],
          "raw_affiliation_strings": ["Dept, One"]},
-        {"author": {"id": "https://openalex.org/A2", "display_name": "Bob"}, "institutions": [{"id": "https://openalex.org/I1", "display_name": "One", "country_code": "US"}]},
-        {"author": {"id": "https://openalex.org/A3"}},
+        {"author": {"id": "https://works.example.org/A2", "display_name": "Bob"}, "institutions": [{"id": "https://works.example.org/I1", "display_name": "One", "country_code": "US"}]},
+        {"author": {"id": "https://works.example.org/A3"}},
     ],
-    "topics": [{"id": "https://openalex.org/C1", "display_name": "Topic", "score": 0.9}],
-    "primary_location": {"source": {"id": "https://openalex.org/V1", "display_name": "Venue", "issn": ["12345678"], "is_oa": True}},
-    "referenced_works": ["https://openalex.org/W2", "https://openalex.org/W2/"],
+    "topics": [{"id": "https://works.example.org/C1", "display_name": "Topic", "score": 0.9}],
+    "primary_location": {"source": {"id": "https://works.example.org/V1", "display_name": "Venue", "issn": ["12345678"], "is_oa": True}},
+    "referenced_works": ["https://works.example.org/W2", "https://works.example.org/W2/"],
 }
 
 
