@@ -20,6 +20,23 @@ MAX_KEY_PAPERS = 15
 HOT_ROWS = 1_000_000  # edges of one node that one task may hold
 
 
+def keep_partitioned(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Persist ``df`` hash-partitioned, in a form whose partitioning later joins see.
+
+    An adaptive cached plan does not promise its partitioning, and every join
+    would exchange it again; so this one plan (a scan and an exchange) is static.
+    """
+    spark = df.sparkSession
+    adaptive = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(n, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    finally:
+        spark.conf.set(adaptive, before)
+
+
 class EdgeLayout:
     """Edges laid out once by one end, for the joins of an iterative job.
 
@@ -45,8 +62,9 @@ class EdgeLayout:
             rows = rows.withColumn("_salt", F.pmod(F.xxhash64(other), parts).cast("int"))
             self.hot = degree.filter(F.col("_rows") > hot_rows).select(F.col(key).alias("_hot"), parts.alias("_parts"))
             keys.append("_salt")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.rows = rows.drop("_rows").repartition(n, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+        # Written first, so that the join above may be re-planned around skew.
+        rows = cut(rows.drop("_rows"), "edges-laid-out")
+        self.rows = keep_partitioned(rows, keys)
 
     def meet(self, values: DataFrame) -> DataFrame:
         """Each edge with the value row (id, ...) of its key end."""

@@ -179,3 +179,17 @@ def test_lineage_order_and_labels(spark):
     got = [(r["work_id"], r["source"]) for r in out.collect()]
     assert got == [(1, "seed"), (2, "reference_depth_1"), (3, "reference_depth_1"), (5, "citing_depth_1"),
                    (4, "reference_depth_2"), (6, "citing_depth_2")]
+
+
+def test_loop_joins_do_not_exchange_the_edges(spark, capsys):
+    _, e = graph(spark, [], [(1, 2), (2, 3)])
+    layout = G.EdgeLayout(e, "src", "dst")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        layout.meet(spark.range(4).withColumn("v", F.lit(1.0))).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        layout.close()
+    plan = capsys.readouterr().out.split("InMemoryRelation")[0]
+    assert "InMemoryTableScan" in plan and "Exchange" not in plan
