@@ -26,7 +26,13 @@ def read_jdbc(
 
 
 def read_wide_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """SRC-04: a wide news sheet; quoted cells may span lines."""
+    """SRC-04: a wide news sheet; quoted cells may span lines.
+
+    Spark takes encodings such as GBK only with the Java character sets switched
+    on; the setting stays on because the read runs later.
+    """
+    if encoding.upper() not in ("UTF-8", "UTF-16", "ISO-8859-1", "US-ASCII"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"')
     return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns})
 

@@ -193,3 +193,11 @@ def test_loop_joins_do_not_exchange_the_edges(spark, capsys):
         layout.close()
     plan = capsys.readouterr().out.split("InMemoryRelation")[0]
     assert "InMemoryTableScan" in plan and "Exchange" not in plan
+
+
+def test_sampling_is_repeatable_and_bounded(spark):
+    v, e = graph(spark, range(20), [(i, j) for i in range(20) for j in range(20) if i != j])
+    e = e.withColumn("type", F.lit("CITES"))
+    a, b = (rows(G.sample_neighbourhood(v, e, 3, {"CITES": 4}, salt=7)) for _ in range(2))
+    assert a == b and len(a) == 12 and len({r[0] for r in a}) == 3
+    assert {(r[0], r[1]) for r in a} <= {(i, j) for i in range(20) for j in range(20)}

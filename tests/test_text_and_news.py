@@ -224,3 +224,13 @@ def test_plan(spark):
     p = A.download_plan(raw, 10, 2.0).first()
     assert p["recommended_filter"] == "topics.id:T1,publication_year:2012-2024,type:article"
     assert p["seed_ids"] == "W1|W2|W3"
+
+
+def test_wide_csv(spark, tmp_path):
+    f = tmp_path / "s.csv"
+    f.write_text('﻿duty_id,news1_text\na1,"line one\nline ""two"""\n', encoding="utf-8")
+    got = T.read_wide_csv(spark, str(f))
+    assert got.columns == ["duty_id", "news1_text"] and rows(got) == [("a1", 'line one\nline "two"')]
+    g = tmp_path / "g.csv"
+    g.write_bytes("duty_id,news1_text\na1,违约\n".encode("gbk"))
+    assert rows(T.read_wide_csv(spark, str(g), "GBK"), "news1_text") == [("违约",)]
