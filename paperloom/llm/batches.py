@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     of very long texts fits a Python worker.
     """
     tune(spark)
+    # Workers import this package from where the driver has it; on a cluster, from its install.
+    spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
@@ -69,3 +73,50 @@ def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBa
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
+
+
+END = 0x110000  # the sign that ends each text of a batch
+
+
+@lru_cache(maxsize=2)
+def folding(letters_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Lower case of each code point (where it is one code point), and whether it counts."""
+    fold, counts = np.arange(END + 2, dtype=np.uint32), np.zeros(END + 2, bool)
+    for c in range(END):
+        ch = chr(c)
+        if ch.isalpha() if letters_only else ch.isalnum():
+            counts[c] = True
+            low = ch.lower()
+            if len(low) == 1:
+                fold[c] = ord(low)
+    counts[END] = True
+    return fold, counts
+
+
+def normalised(
+    raw: np.ndarray, off: np.ndarray, letters_only: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, place, row, first): folded letters (and digits), any other run as one space.
+
+    ``place`` is the code point's index in its text, ``row`` the text's number. Each
+    text ends with END. ``first`` holds where each text begins.
+    """
+    fold, counts = folding(letters_only)
+    code = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    begins = (raw & 0xC0) != 0x80
+    at = np.concatenate([[0], np.cumsum(begins)])[off]  # code point where each text begins
+    size = np.diff(at)
+    n = len(size)
+    row = np.repeat(np.arange(n), size + 1)
+    ends = at[1:] + np.arange(n)
+    full = np.full(len(code) + n, END, np.uint32)
+    inside = np.ones(len(full), bool)
+    inside[ends] = False
+    full[inside] = code
+    place = np.arange(len(full)) - (at[:-1] + np.arange(n))[row]
+    ok = counts[full]
+    keep = ok.copy()
+    keep[1:] |= ok[:-1]  # the first sign after a letter stands for its whole run
+    codes = np.where(ok, fold[full], 32).astype(np.uint32)[keep]
+    row, place = row[keep], place[keep]
+    return codes, place, row, np.searchsorted(row, np.arange(n))

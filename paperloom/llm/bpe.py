@@ -20,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import utf8
+from paperloom.llm.batches import BATCH_ROWS, utf8
 from paperloom.session import spread
 
-CHUNK_BYTES = 16 << 20  # text of one chunk; a longer single text is a chunk of its own
+CHUNK_BYTES = 32 << 20  # text of one chunk; a longer single text is a chunk of its own
+SPLIT_BYTES = 1 << 20  # text split at once
 PACK_ROWS = 1 << 18  # word rows answered at once by the owner of the words
+ENCODE_WORDS = 1 << 13  # words given to the tokenizer at once
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 # The endings that the public split pattern takes as words of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -146,6 +148,18 @@ def split_words(raw: np.ndarray, off: np.ndarray, specials: tuple[bytes, ...] =
     return words, np.searchsorted(words, off)
 
 
+def split_chunk(raw: np.ndarray, off: np.ndarray, specials: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """``split_words`` of a whole chunk, a few texts at a time."""
+    words, first, at, n = [np.zeros(1, np.int32)], [np.zeros(1, np.int64)], 0, 0
+    while at < len(off) - 1:
+        end = max(at + 1, int(np.searchsorted(off, off[at] + SPLIT_BYTES, "right")) - 1)
+        w, f = split_words(raw[off[at] : off[end]], off[at : end + 1] - off[at], specials)
+        words.append((w[1:] + off[at]).astype(np.int32 if off[-1] < 2**31 else np.int64))
+        first.append(f[1:] + n)
+        at, n = end, n + len(w) - 1
+    return np.concatenate(words), np.concatenate(first)
+
+
 def word_list(raw: np.ndarray, words: np.ndarray) -> pa.DictionaryArray:
     """The words with their distinct list, in order of first occurrence."""
     if words[-1] < 2**31:
@@ -203,7 +217,7 @@ def chunk_words(chunks: DataFrame, path: str) -> DataFrame:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob"), strict=True):
                 rows = pa.ipc.open_stream(blob.as_buffer()).read_all()
                 raw, off = utf8(rows.column("text").combine_chunks())
-                words, _ = split_words(raw, off, added_tokens(path))
+                words, _ = split_chunk(raw, off, added_tokens(path))
                 distinct = word_list(raw, words).dictionary.cast(pa.binary())
                 for at in range(0, len(distinct), 1 << 16):
                     part = distinct.slice(at, 1 << 16)
@@ -224,9 +238,12 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 
     def answer(held: pa.Table) -> Iterator[pa.RecordBatch]:
         coded = held.column("word").combine_chunks().dictionary_encode()
-        texts = [w.decode("utf-8") for w in coded.dictionary.to_pylist()]
-        encodings = tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)
-        ids = pa.array([e.ids for e in encodings], pa.list_(pa.int32()))
+        parts = []
+        for at in range(0, len(coded.dictionary), ENCODE_WORDS):
+            texts = [w.decode("utf-8") for w in coded.dictionary.slice(at, ENCODE_WORDS).to_pylist()]
+            encodings = tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)
+            parts.append(pa.array([e.ids for e in encodings], pa.list_(pa.int32())))
+        ids = pa.concat_arrays(parts)
         chunk = held.column("chunk").to_numpy()
         order = np.argsort(chunk, kind="stable")
         place = held.column("place").to_numpy()[order]
@@ -267,7 +284,7 @@ def set_in(chunks: DataFrame, answers: DataFrame, fields: str, path: str) -> Dat
             ids += t.column("ids").chunks
         rows = pa.ipc.open_stream(left.column("blob")[0].as_buffer()).read_all()
         raw, off = utf8(rows.column("text").combine_chunks())
-        words, first = split_words(raw, off, added_tokens(path))
+        words, first = split_chunk(raw, off, added_tokens(path))
         if at:
             order = np.empty(sum(map(len, at)), np.int64)
             order[np.concatenate(at)] = np.arange(len(order))
@@ -277,7 +294,8 @@ def set_in(chunks: DataFrame, answers: DataFrame, fields: str, path: str) -> Dat
         else:
             values, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         column = pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32)), pa.array(values, pa.int32()))
-        return rows.append_column("ids", column)
+        # In short batches: the JVM reads them one at a time.
+        return pa.Table.from_batches(rows.append_column("ids", column).combine_chunks().to_batches(int(BATCH_ROWS)))
 
     pairs = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return pairs.applyInArrow(run, fields)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, simhash
+from paperloom.llm import bpe, decontaminate, simhash, surrogates
 from paperloom.llm.batches import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# The demonstration key of the query; a user passes a secret of their own.
+SURROGATE_KEY = b"paperloom-demonstration-key"
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replaced(docs, SURROGATE_KEY)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
@@ -36,6 +50,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op4_surrogates": op4_surrogates,
     "op6_simhash": op6_simhash,
     "op10_bpe": op10_bpe,
 }
