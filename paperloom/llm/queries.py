@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, decontaminate, simhash, surrogates
-from paperloom.llm.batches import prepare, table
+from paperloom.llm import ann, bpe, decontaminate, language, simhash, surrogates, wordpiece
+from paperloom.llm.batches import crc_bucket, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,11 +28,28 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(prepare(spark), sf_dir, "embeddings"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.token_counts(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     return surrogates.replaced(docs, SURROGATE_KEY)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    bucket = crc_bucket(F.col("doc_id"), 3)
+    model = language.train(docs.filter(bucket != 1))
+    out = docs.select("doc_id", "text", language.held_out(bucket, 1).alias("held_out"))
+    return language.identified(out, model)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
@@ -51,7 +68,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_multi_index": op2_multi_index,
+    "op3_token_counts": op3_token_counts,
     "op4_surrogates": op4_surrogates,
+    "op5_language": op5_language,
     "op6_simhash": op6_simhash,
     "op10_bpe": op10_bpe,
 }
