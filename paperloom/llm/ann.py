@@ -3,7 +3,8 @@
 Vectors are cut into two halves; each half is quantised to its own centroids. A
 cell is a pair of centroids. A query walks the cells in order of the summed
 distance of its halves, by a heap, until the cells hold enough vectors; these are
-ranked again by the exact inner product.
+ranked again by the exact inner product. Queries go to the index in blocks of
+bounded size; the index is never exchanged for them.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import mix64
 from paperloom.operators.skew import top_n
-from paperloom.session import cut
+from paperloom.session import cut, spread
 
-CELL = 200  # distinct vectors that a cell holds on average; sets the number of centroids
-MOST_CENTROIDS = 1024  # of each half
+CENTROIDS = 64  # of each half
 SAMPLE = 20_000  # vectors that the centroids are fitted on: those of the least hashes
 ROUNDS = 12
-REACH = 4_000  # distinct vectors that the visited cells of a query must hold
-BLOCK = 4_096  # vectors, and queries, of a cell compared at once; larger cells are dealt to several groups
+SHARE = 0.5  # of the distinct vectors, which the cells on a query's walk must hold
+LEAST = 4_000  # distinct vectors that a walk holds at least, if there are as many
+QUERY_BLOCK = 8_192  # queries sent to the index at once
+LANES = 256  # queries compared with a batch at once
 
 
 @dataclass
@@ -88,21 +89,24 @@ def cells_of(v: np.ndarray, q: Quantizer, query: bool = False) -> list[np.ndarra
     return [distances(p, c) for p, c in zip(split(extended(v, q.bound, query)), q.halves, strict=True)]
 
 
-def walk(a: np.ndarray, b: np.ndarray, size: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Cells in order of a[i] + b[j] until they hold ``reach`` vectors (multi-sequence heap)."""
+def walk(a: np.ndarray, b: np.ndarray, size: np.ndarray, reach: int) -> float:
+    """How far the multi-sequence heap gets: the sum a[i] + b[j] of the cell that fills ``reach``.
+
+    Cells are popped in order of their sum until those popped hold ``reach``
+    vectors; the cells on the walk are those with a sum up to the result.
+    """
     ia, ib = a.argsort(kind="stable"), b.argsort(kind="stable")
-    heap, seen, out, held = [(a[ia[0]] + b[ib[0]], 0, 0)], {(0, 0)}, [], 0
+    da, db, grid = a[ia].tolist(), b[ib].tolist(), size[np.ix_(ia, ib)].tolist()
+    # A row's next cell enters when the row above has got as far, or further.
+    heap, held, far = [(da[0] + db[0], 0, 0)], 0, -np.inf
     while heap and held < reach:
-        _, i, j = heapq.heappop(heap)
-        n = int(size[ia[i], ib[j]])
-        if n:
-            out.append((int(ia[i]), int(ib[j])))
-            held += n
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(ia) and y < len(ib) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (a[ia[x]] + b[ib[y]], x, y))
-    return out
+        far, i, j = heapq.heappop(heap)
+        held += grid[i][j]
+        if j + 1 < len(db):
+            heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(da):
+            heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
+    return far
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -110,9 +114,23 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def best_of(score: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, entry) pairs of the k largest scores of each row, ties to the smaller first id; -inf takes no part."""
+    if score.shape[1] > k:
+        edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    else:
+        edge = np.full(len(score), -np.inf)
+    q, e = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+    order = np.lexsort((first[e], -score[q, e], q))
+    q, e = q[order], e[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < k], e[rank < k]
+
+
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, query_step: int = 20,
-    centroids: int | None = None, sample: int = SAMPLE, reach: int = REACH, block: int = BLOCK,
+    centroids: int = CENTROIDS, sample: int = SAMPLE, share: float = SHARE,
+    least: int = LEAST, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by ``query_step`` the k nearest found.
 
@@ -121,9 +139,11 @@ def nearest(
     in an answer; so copies, however many, fill no cell. A row is never its own
     neighbour; of rows that repeat an id the least vector counts. Vectors must have
     one length: those of another than the commonest (then longest) take no part.
-    Every usable row is indexed; the centroids are fitted on a sample.
+    Every usable row is indexed; the centroids are fitted on a sample. ``share``
+    trades work for recall: vectors without clusters need a large one.
     """
     spark = vectors.sparkSession
+    schema = "query_id long, vec_id long, score double"
     rows = usable(vectors, id_col, vector)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if sizes is None:
@@ -135,8 +155,6 @@ def nearest(
     part = top_n(salted, ["v", "salt"], ["vec_id"], k + 1).groupBy("v", "salt").agg(F.collect_list("vec_id").alias("ids"))
     ids = F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1)
     classes = cut(part.groupBy("v").agg(ids.alias("ids")).withColumn("vec_id", F.element_at("ids", 1)), "vector-classes")
-    if centroids is None:
-        centroids = int(min(max(round((classes.count() / CELL) ** 0.5), 2), MOST_CENTROIDS))
     quantizer = fit(classes, centroids, sample)
     shared = spark.sparkContext.broadcast(quantizer)
     shape = tuple(len(h) for h in quantizer.halves)
@@ -147,74 +165,56 @@ def nearest(
             cell = pa.array(i * shape[1] + j, pa.int64())
             yield pa.RecordBatch.from_arrays([cell, b.column("v"), b.column("ids")], names=["cell", "v", "ids"])
 
-    placed = cut(classes.select("v", "ids").mapInArrow(place, "cell long, v array<double>, ids array<long>"), "vector-cells")
+    placed = classes.select("v", "ids").mapInArrow(place, "cell long, v array<double>, ids array<long>")
+    # Cells lie together, so most batches are off the walk of most queries.
+    index = cut(placed.repartitionByRange("cell").sortWithinPartitions("cell"), "vector-cells")
+    size = np.zeros(shape[0] * shape[1], np.int64)
+    for r in index.groupBy("cell").count().collect():  # one row per cell; their number is fixed
+        size[r["cell"]] = r["count"]
+    reach = max(int(np.ceil(share * size.sum())), least)
+    plan = spark.sparkContext.broadcast(size.reshape(shape))
 
-    def per_cell(df: DataFrame) -> np.ndarray:
-        """Rows of each cell: at most one number per cell, MOST_CENTROIDS squared at most."""
-        out = np.zeros(shape[0] * shape[1], np.int64)
-        for r in df.groupBy("cell").count().collect():
-            out[r["cell"]] = r["count"]
-        return out
-
-    held = per_cell(placed)
-    plan = spark.sparkContext.broadcast(held.reshape(shape))
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = matrix(b.column("v"))
-            da, db = cells_of(v, shared.value, query=True)
-            paths = [walk(da[r], db[r], plan.value, reach) for r in range(len(v))]
-            at = pa.array(np.repeat(np.arange(len(v)), [len(p) for p in paths]))
-            cell = pa.array([i * shape[1] + j for p in paths for i, j in p], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), cell, b.column("v").take(at)], names=["query_id", "cell", "v"])
+            da, db = cells_of(matrix(b.column("v")), shared.value, query=True)
+            far = [walk(da[r], db[r], plan.value, reach) for r in range(len(da))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(far, pa.float64())], names=["vec_id", "v", "far"])
 
     queries = rows.filter(F.col("vec_id") % query_step == 0).select("vec_id", "v")
-    visits = cut(queries.mapInArrow(visit, "query_id long, cell long, v array<double>"), "visits")
-    # A cell's entries go to ``parts`` groups, its queries to ``turns``; each pair of those meets once.
-    parts = spark.sparkContext.broadcast(np.maximum(-(-held // block), 1))
-    turns = spark.sparkContext.broadcast(np.maximum(-(-per_cell(visits) // block), 1))
-
-    def deal(own, other, key):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    queries = cut(spread(queries).mapInArrow(start, "vec_id long, v array<double>, far double"), "vector-queries")
+    blocks = -(-queries.count() // query_block)
+    found = None
+    for n in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).orderBy("vec_id").collect()
+        block = (np.array([r["vec_id"] for r in own]), np.array([r["v"] for r in own]), np.array([r["far"] for r in own]))
+        asked = spark.sparkContext.broadcast(block)
+
+        def rank(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            who, x, far = asked.value
+            da, db = cells_of(x, shared.value, query=True)
             for b in batches:
-                cell = b.column("cell").to_numpy()
-                ids = key(b)
-                mine = (mix64(ids.view(np.uint64)) % own.value[cell].astype(np.uint64)).astype(np.int64)
-                times = other.value[cell]
-                at = np.repeat(np.arange(len(cell)), times)
-                theirs = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                out = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays(
-                    [*out.columns, pa.array(mine[at]), pa.array(theirs)], names=[*out.schema.names, "mine", "theirs"]
-                )
-
-        return run
-
-    first = lambda b: np.array([x[0].as_py() for x in b.column("ids")], np.int64)
-    asked = visits.mapInArrow(
-        deal(turns, parts, lambda b: b.column("query_id").to_numpy().astype(np.int64)),
-        "query_id long, cell long, v array<double>, mine long, theirs long",
-    ).selectExpr("cell", "theirs as part", "mine as turn", "query_id", "v")
-    entries = placed.mapInArrow(deal(parts, turns, first), "cell long, v array<double>, ids array<long>, mine long, theirs long")
-    entries = entries.selectExpr("cell", "mine as part", "theirs as turn", "ids", "v")
-
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, x = left.column("query_id").to_numpy(), matrix(left.column("v").combine_chunks())
-        lists, y = right.column("ids").to_pylist(), matrix(right.column("v").combine_chunks())
-        out: tuple[list, list, list] = ([], [], [])
-        for lo in range(0, len(x) if len(y) else 0, 256):
-            s = x[lo : lo + 256] @ y.T
-            top = min(k + 1, s.shape[1])
-            edge = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
-            for r, c in zip(*np.nonzero(s >= (edge - 1e-9 * np.abs(edge))[:, None]), strict=True):
-                near = [i for i in lists[c] if i != ids[lo + r]][:k]
-                out[0].extend([int(ids[lo + r])] * len(near))
-                out[1].extend(near)
-                out[2].extend([float(np.dot(x[lo + r], y[c]))] * len(near))
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score"])
-
-    keys = ["cell", "part", "turn"]
-    found = asked.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
+                cell, y = b.column("cell").to_numpy(), matrix(b.column("v"))
+                lists = b.column("ids").to_pylist()
+                first = np.array([i[0] for i in lists], np.int64)
+                for lo in range(0, len(who), LANES):
+                    on = slice(lo, lo + LANES)
+                    visited = da[on][:, cell // shape[1]] + db[on][:, cell % shape[1]] <= far[on][:, None]
+                    if not visited.any():
+                        continue
+                    score = np.where(visited, x[on] @ y.T, -np.inf)
+                    q, e = best_of(score, first, k + 1)  # one of them may be the query itself
+                    out: tuple[list, list, list] = ([], [], [])
+                    for r, c in zip((q + lo).tolist(), e.tolist(), strict=True):
+                        near = [i for i in lists[c] if i != who[r]][:k]
+                        out[0].extend([int(who[r])] * len(near))
+                        out[1].extend(near)
+                        out[2].extend([float(np.dot(x[r], y[c]))] * len(near))
+                    kinds = (pa.int64(), pa.int64(), pa.float64())
+                    cols = [pa.array(o, t) for o, t in zip(out, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score"])
+
+        part = index.mapInArrow(rank, schema)
+        found = part if found is None else found.unionByName(part)
+    found = spark.createDataFrame([], schema) if found is None else found
     best = top_n(found, ["query_id"], [F.desc("score"), F.col("vec_id")], k, "rank")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,21 +1,24 @@
 """Byte-level BPE by a table of distinct words (operator 10).
 
-Texts are packed into chunks. Each chunk sends each of its distinct words once, with
-its place in the chunk's word list, to the task that owns the word; there each
-distinct word is encoded once and its ids go back to the chunks, where they are
-set in by position. Decoding joins ids to the pieces of the vocabulary.
+Texts are packed into chunks. Each chunk sends each of its distinct words once to
+the task that owns the word; there each distinct word is encoded once and its ids
+go back to the chunks, where they are set in by position. A word as frequent as
+"the" travels once per chunk, not once per position. Decoding joins ids to the
+pieces of the vocabulary.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 from paperloom.llm.batches import BATCH_ROWS, utf8
 from paperloom.session import spread
 
-CHUNK_BYTES = 32 << 20  # text of one chunk; a longer single text is a chunk of its own
+CHUNK_BYTES = 16 << 20  # text of one chunk; a longer single text is a chunk of its own
 SPLIT_BYTES = 1 << 20  # text split at once
-PACK_ROWS = 1 << 18  # word rows answered at once by the owner of the words
+KNOWN_WORDS = 1 << 18  # encoded words that a task keeps; beyond, it starts anew
 ENCODE_WORDS = 1 << 13  # words given to the tokenizer at once
+BUCKETS_PER_PARTITION = 2  # of words, for each shuffle partition of the session
+PRESS_LEVEL = 3
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 # The endings that the public split pattern takes as words of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -170,11 +175,54 @@ def word_list(raw: np.ndarray, words: np.ndarray) -> pa.DictionaryArray:
     return column.dictionary_encode()
 
 
-def ipc(t: pa.Table | pa.RecordBatch) -> bytes:
+def press(*parts: bytes) -> bytes:
+    """Byte strings with their lengths, compressed."""
+    head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=PRESS_LEVEL).compress(b"".join([head, *parts]))
+
+
+def unpress(blob: bytes) -> list[memoryview]:
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    size = np.frombuffer(raw[8 : 8 * (n + 1)], np.int64)
+    ends = 8 * (n + 1) + np.concatenate([[0], np.cumsum(size)])
+    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Integers with their high bytes apart from the low ones, which compresses better."""
+    return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(raw: memoryview) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+
+
+def rows_blob(t: pa.Table) -> bytes:
+    """Whole rows; the texts lie together, apart from the other columns."""
+    raw, off = utf8(t.column("text").combine_chunks())
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write(t)
-    return sink.getvalue().to_pybytes()
+    rest = t.drop_columns(["text"]).append_column("size", pa.array(np.diff(off)))
+    rest = rest.append_column("null", pa.array(t.column("text").is_null()))
+    with pa.ipc.new_stream(sink, rest.schema) as w:
+        w.write_table(rest)
+    return press(sink.getvalue().to_pybytes(), raw.tobytes())
+
+
+def rows_of(blob: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(other columns with ``null``, text bytes, offsets)"""
+    head, text = unpress(blob)
+    rest = pa.ipc.open_stream(pa.py_buffer(head)).read_all().combine_chunks()
+    off = np.concatenate([[0], np.cumsum(rest.column("size").to_numpy())]).astype(np.int64)
+    return rest.drop_columns(["size"]), np.frombuffer(text, np.uint8), off
+
+
+def dealt(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(order, ends, words) of a word list: words by the bucket of a fixed hash, then by place."""
+    texts = words.to_pylist()
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in texts), np.int64, len(texts))
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1)), texts
 
 
 def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -186,7 +234,7 @@ def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         def close(held):
             t = pa.Table.from_batches(held)
             return pa.RecordBatch.from_arrays(
-                [pa.array([task << 32 | number], pa.int64()), pa.array([ipc(t)], pa.binary())], names=["chunk", "blob"]
+                [pa.array([task << 32 | number], pa.int64()), pa.array([rows_blob(t)], pa.binary())], names=["chunk", "blob"]
             )
 
         held, size = [], 0
@@ -209,98 +257,97 @@ def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, blob binary")
 
 
-def chunk_words(chunks: DataFrame, path: str) -> DataFrame:
-    """(chunk, place, word): each distinct word of a chunk once."""
+def chunk_words(chunks: DataFrame, path: str, buckets: int) -> DataFrame:
+    """(bucket, chunk, words): the distinct words of a chunk, one row per bucket of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob"), strict=True):
-                rows = pa.ipc.open_stream(blob.as_buffer()).read_all()
-                raw, off = utf8(rows.column("text").combine_chunks())
+            for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                _, raw, off = rows_of(blob)
                 words, _ = split_chunk(raw, off, added_tokens(path))
-                distinct = word_list(raw, words).dictionary.cast(pa.binary())
-                for at in range(0, len(distinct), 1 << 16):
-                    part = distinct.slice(at, 1 << 16)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), chunk)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part],
-                        names=["chunk", "place", "word"],
-                    )
+                order, ends, texts = dealt(word_list(raw, words).dictionary, buckets)
+                out = []
+                for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    own = [texts[i] for i in order[a:z].tolist()]
+                    out.append(press(planes(np.fromiter(map(len, own), np.int32, len(own))), b"".join(own)) if own else None)
+                full = [i for i, w in enumerate(out) if w is not None]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([out[i] for i in full], pa.binary())],
+                    names=["bucket", "chunk", "words"],
+                )
 
-    return chunks.mapInArrow(run, "chunk long, place int, word binary")
+    return chunks.mapInArrow(run, "bucket int, chunk long, words binary")
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(chunk, answer): ids of the words, packed by chunk.
+    """(chunk, bucket, answer): the ids of the words, in the words' order.
 
-    All rows of a word are in one partition and sorted, so each distinct word is
-    encoded once (again at most where a batch ends inside its run).
+    All rows of a bucket meet in one task, which encodes each distinct word once and
+    keeps it (a task with more than KNOWN_WORDS forgets, and encodes again).
     """
 
-    def answer(held: pa.Table) -> Iterator[pa.RecordBatch]:
-        coded = held.column("word").combine_chunks().dictionary_encode()
-        parts = []
-        for at in range(0, len(coded.dictionary), ENCODE_WORDS):
-            texts = [w.decode("utf-8") for w in coded.dictionary.slice(at, ENCODE_WORDS).to_pylist()]
-            encodings = tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)
-            parts.append(pa.array([e.ids for e in encodings], pa.list_(pa.int32())))
-        ids = pa.concat_arrays(parts)
-        chunk = held.column("chunk").to_numpy()
-        order = np.argsort(chunk, kind="stable")
-        place = held.column("place").to_numpy()[order]
-        index = coded.indices.to_numpy()[order]
-        chunk = chunk[order]
-        cuts = np.concatenate([[0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, [len(chunk)]])
-        blobs = [
-            ipc(pa.table({"place": place[a:b], "ids": ids.take(pa.array(index[a:b]))}))
-            for a, b in zip(cuts, cuts[1:], strict=False)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(chunk[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["chunk", "answer"]
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        known: dict[bytes, bytes] = {}
         for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= PACK_ROWS:
-                yield from answer(pa.Table.from_batches(held))
-                held, n = [], 0
-        if n:
-            yield from answer(pa.Table.from_batches(held))
-
-    owned = words.repartition("word").sortWithinPartitions("word")
-    return owned.mapInArrow(run, "chunk long, answer binary")
-
-
-def set_in(chunks: DataFrame, answers: DataFrame, fields: str, path: str) -> DataFrame:
+            out = []
+            for blob in b.column("words").to_pylist():
+                size, text = unpress(blob)
+                ends = np.cumsum(unplanes(size)).tolist()
+                text = text.tobytes()
+                own = [text[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+                if len(known) > KNOWN_WORDS:
+                    known = {}
+                new = [w for w in dict.fromkeys(own) if w not in known]
+                for at in range(0, len(new), ENCODE_WORDS):
+                    part = new[at : at + ENCODE_WORDS]
+                    found = tokenizer(path).encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
+                    known.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(part, found, strict=True))
+                ids = [known[w] for w in own]
+                out.append(press(planes(np.fromiter((len(i) // 4 for i in ids), np.int32, len(ids))), planes(np.frombuffer(b"".join(ids), np.int32))))
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("bucket"), pa.array(out, pa.binary())], names=["chunk", "bucket", "answer"])
+
+    return words.repartition("bucket").mapInArrow(run, "chunk long, bucket int, answer binary")
+
+
+def set_in(chunks: DataFrame, answers: DataFrame, fields: str, path: str, buckets: int) -> DataFrame:
     """Whole rows again, each with the ids of its words in order."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        at, ids = [], []
-        for blob in right.column("answer"):
-            t = pa.ipc.open_stream(blob.as_buffer()).read_all()
-            at.append(t.column("place").to_numpy())
-            ids += t.column("ids").chunks
-        rows = pa.ipc.open_stream(left.column("blob")[0].as_buffer()).read_all()
-        raw, off = utf8(rows.column("text").combine_chunks())
+        rest, raw, off = rows_of(left.column("blob")[0].as_py())
         words, first = split_chunk(raw, off, added_tokens(path))
-        if at:
-            order = np.empty(sum(map(len, at)), np.int64)
-            order[np.concatenate(at)] = np.arange(len(order))
-            per_word = pa.concat_arrays(ids).take(pa.array(order)).take(word_list(raw, words).indices)
-            values = per_word.flatten().to_numpy()
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(per_word).to_numpy())])
-        else:
-            values, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        values, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        if len(words) > 1:
+            coded = word_list(raw, words)
+            order = dealt(coded.dictionary, buckets)[0]
+            size, ids = [], []
+            for i in np.argsort(right.column("bucket").to_numpy(), kind="stable").tolist():
+                a, z = unpress(right.column("answer")[i].as_py())
+                size.append(unplanes(a))
+                ids.append(unplanes(z))
+            size, ids = np.concatenate(size), np.concatenate(ids)
+            start = np.empty(len(order), np.int64)
+            count = np.empty(len(order), np.int64)
+            start[order], count[order] = np.cumsum(size) - size, size
+            # A list view per distinct word, set in by the words of the text.
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(ids[_spans(start, count)]))
+            per_word = lists.take(coded.indices)
+            values = per_word.values.to_numpy()
+            ends = per_word.offsets.to_numpy()
         column = pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32)), pa.array(values, pa.int32()))
+        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(raw)])
+        text = pc.if_else(rest.column("null").combine_chunks(), None, text.cast(pa.large_string()).cast(pa.string()))
+        out = rest.drop_columns(["null"]).append_column("text", text).append_column("ids", column)
         # In short batches: the JVM reads them one at a time.
-        return pa.Table.from_batches(rows.append_column("ids", column).combine_chunks().to_batches(int(BATCH_ROWS)))
+        return pa.Table.from_batches(out.combine_chunks().to_batches(int(BATCH_ROWS)))
 
     pairs = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return pairs.applyInArrow(run, fields)
 
 
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """All columns of ``docs`` and ``ids array<int>``, as the tokenizer of ``path`` encodes whole texts.
 
@@ -312,9 +359,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", chu
     inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
     # A chunk is one blob row: what the words and the answers read is the same exchange.
     chunks = packed(spread(inner), chunk_bytes).repartition("chunk")
-    answers = encoded_words(chunk_words(chunks, path), path)
+    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = encoded_words(chunk_words(chunks, path, buckets), path)
     fields = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    out = set_in(chunks, answers, ", ".join([*fields, "text string", "ids array<int>"]), path)
+    out = set_in(chunks, answers, ", ".join([*fields, "text string", "ids array<int>"]), path, buckets)
     named = {c: F.col(f"k{i}") for i, c in enumerate(keep)} | {text: F.col("text")}
     return out.select(*[named[c].alias(c) for c in docs.columns if c != ids], F.col("ids").alias(ids))
 
