@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, bpe, decontaminate, language, simhash, surrogates, wordpiece
+from paperloom.llm import ann, archive, bpe, decontaminate, language, simhash, surrogates, wordpiece
 from paperloom.llm.batches import crc_bucket, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.round_trip(table(prepare(spark), sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +77,20 @@ QUERIES: dict[str, Query] = {
     "op4_surrogates": op4_surrogates,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
+    "op9_archive": op9_archive,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_archive": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM f
+    """,
+}
