@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, archive, bpe, decontaminate, language, simhash, surrogates, wordpiece
+from paperloom.llm import ann, archive, bpe, decontaminate, extract, language, simhash, surrogates, wordpiece
 from paperloom.llm.batches import crc_bucket, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(prepare(spark), sf_dir, "pages")
+    weights = extract.train(pages)
+    out = extract.extracted(pages.select("page_id", "url", "html"), weights)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.round_trip(table(prepare(spark), sf_dir, "pages"))
 
@@ -77,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op4_surrogates": op4_surrogates,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
+    "op7_main_text": op7_main_text,
     "op9_archive": op9_archive,
     "op10_bpe": op10_bpe,
 }
