@@ -32,6 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template head iframe object svg math canvas audio video select textarea button datalist map".split())
 BOILER = frozenset("nav aside footer header form menu dialog".split())
 FLOW = frozenset("html body main article section div center td tr table tbody thead tfoot th blockquote figure figcaption".split())
+ROOT = frozenset("html body main article".split())
 BLOCK = FLOW | BOILER | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre address hr fieldset details summary caption title".split())
 # Words in class and id values that name parts beside the article.
 BESIDE = frozenset(
@@ -93,7 +94,7 @@ def child_of(top: Element, tag: str, attr: str) -> Element:
         zone, beside = tag, True
     if own:
         zone, beside = f"{zone}.{own}" if zone else own, True
-    kind = tag if tag not in FLOW and tag != "header" else "flow"
+    kind = "root" if tag in ROOT else "flow" if tag in FLOW or tag == "header" else tag
     return Element(tag, zone, beside, hidden, top.inside or tag == "article", f"{zone}>{kind}")
 
 
