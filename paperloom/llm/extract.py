@@ -127,7 +127,7 @@ def pieces(page: str) -> Iterator[Piece]:
             e = stack[depth] if depth else child_of(stack[-1], tag, "")
             if tag == "article" and depth:
                 article = max(article - 1, 0)
-            yield Piece(f"t {e.key}", 0, "", tag in BLOCK, False, article > 0, "/" + tag)
+            yield Piece(f"t {e.key}", 0, "", tag in BLOCK, e.beside or e.hidden, article > 0, "/" + tag)
             if depth:
                 del stack[depth:]
             continue
@@ -136,7 +136,7 @@ def pieces(page: str) -> Iterator[Piece]:
             if last and stack[last].tag == "p" or last and tag == "li" and stack[last].tag == "li":
                 del stack[last:]
         e = child_of(stack[-1], tag, m.group("attr"))
-        yield Piece(f"t {e.key}", 0, "", tag in BLOCK, False, article > 0, tag)
+        yield Piece(f"t {e.key}", 0, "", tag in BLOCK, e.beside or e.hidden, article > 0, tag)
         if tag == "article":
             article += 1
         if tag not in VOID and not m.group("attr").endswith("/"):
