@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, archive, bpe, decontaminate, extract, language, simhash, surrogates, wordpiece
+from paperloom.llm import ann, archive, bpe, decontaminate, extract, language, simhash, surrogates, toxicity, wordpiece
 from paperloom.llm.batches import crc_bucket, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,15 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    bucket = crc_bucket(F.col("doc_id"), 4)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), bucket != 2)
+    out = toxicity.scored(docs, model)
+    flag = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return out.select("doc_id", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "score", flag)
+
+
 def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.round_trip(table(prepare(spark), sf_dir, "pages"))
 
@@ -85,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
     "op7_main_text": op7_main_text,
+    "op8_toxicity": op8_toxicity,
     "op9_archive": op9_archive,
     "op10_bpe": op10_bpe,
 }
