@@ -27,6 +27,7 @@ ROUNDS = 12
 SHARE = 0.5  # of the distinct vectors, which the cells on a query's walk must hold
 LEAST = 4_000  # distinct vectors that a walk holds at least, if there are as many
 QUERY_BLOCK = 8_192  # queries sent to the index at once
+MOST_HELD = 1_000_000  # candidates that a task holds before it drops all but k of each query
 LANES = 256  # queries compared with a batch at once
 
 
@@ -127,6 +128,15 @@ def best_of(score: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, n
     return q[rank < k], e[rank < k]
 
 
+def kept(held: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The k best ids of each query."""
+    q, near, score = (np.concatenate([h[i] for h in held]) for i in range(3))
+    order = np.lexsort((near, -score, q))
+    q, near, score = q[order], near[order], score[order]
+    ok = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[ok], near[ok], score[ok]
+
+
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, query_step: int = 20,
     centroids: int = CENTROIDS, sample: int = SAMPLE, share: float = SHARE,
@@ -192,6 +202,7 @@ def nearest(
         def rank(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             who, x, far = asked.value
             da, db = cells_of(x, shared.value, query=True)
+            held, n = [], 0  # (query, id, score) arrays; a task keeps k of each query
             for b in batches:
                 cell, y = b.column("cell").to_numpy(), matrix(b.column("v"))
                 lists = b.column("ids").to_pylist()
@@ -203,15 +214,20 @@ def nearest(
                         continue
                     score = np.where(visited, x[on] @ y.T, -np.inf)
                     q, e = best_of(score, first, k + 1)  # one of them may be the query itself
-                    out: tuple[list, list, list] = ([], [], [])
-                    for r, c in zip((q + lo).tolist(), e.tolist(), strict=True):
-                        near = [i for i in lists[c] if i != who[r]][:k]
-                        out[0].extend([int(who[r])] * len(near))
-                        out[1].extend(near)
-                        out[2].extend([float(np.dot(x[r], y[c]))] * len(near))
-                    kinds = (pa.int64(), pa.int64(), pa.float64())
-                    cols = [pa.array(o, t) for o, t in zip(out, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score"])
+                    q += lo
+                    exact = np.einsum("ij,ij->i", x[q], y[e])
+                    size = np.array([len(lists[c]) for c in e.tolist()], np.int64)
+                    near = np.array([i for c in e.tolist() for i in lists[c]], np.int64)
+                    q, exact = np.repeat(q, size), np.repeat(exact, size)
+                    other = near != who[q]
+                    held.append((q[other], near[other], exact[other]))
+                    n += int(other.sum())
+                    if n > MOST_HELD:
+                        held = [kept(held, k)]
+                        n = len(held[0][0])
+            if held:
+                q, near, exact = kept(held, k)
+                yield pa.RecordBatch.from_arrays([pa.array(who[q]), pa.array(near), pa.array(exact)], names=["query_id", "vec_id", "score"])
 
         part = index.mapInArrow(rank, schema)
         found = part if found is None else found.unionByName(part)
