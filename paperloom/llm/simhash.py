@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import mix64
+from paperloom.llm.batches import fresh, mix64
 from paperloom.operators.graph import connected_components
 from paperloom.session import cut
 
@@ -270,18 +270,22 @@ def keep_one(
     A row with a null id stays only if its component has no id. Of rows that agree
     in id and text one stays. Texts without words are near-duplicates of each other.
     """
-    key = F.md5(F.concat_ws("\u0000", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull().cast("string"), F.coalesce(text, F.lit(""))))
-    keyed = docs.withColumn("_row", key)
-    prints = fingerprints(keyed.select("_row", F.col(id_col).alias("doc_id"), F.col(text).alias("text")))
+    row = fresh(docs, "_row")
+    has_id = F.col(id_col).isNull().cast("string")
+    key = F.md5(F.concat_ws("\u0000", F.coalesce(F.col(id_col).cast("string"), F.lit("")), has_id, F.coalesce(text, F.lit(""))))
+    keyed = docs.withColumn(row, key)
+    prints = fingerprints(keyed.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("text")))
     prints = cut(prints, "simhash")
-    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     names = named(prints, first, max_bits, bucket)
     joined = prints.join(names, prints["fingerprint"] == names["fp"])
     # Rows that go are fewer than rows that stay: the texts meet the smaller table.
-    gone = cut(joined.filter(F.col("_row") != F.col("name._row")).select("_row").distinct(), "simhash-gone")
-    left = keyed.join(gone, "_row", "left_anti")
-    again = cut(prints.groupBy("_row").count().filter("count > 1").join(gone, "_row", "left_anti").select("_row"), "simhash-again")
+    gone = cut(joined.filter(F.col("row") != F.col("name.row")).select(F.col("row").alias(row)).distinct(), "simhash-gone")
+    left = keyed.join(gone, row, "left_anti")
+    again = prints.groupBy(F.col("row").alias(row)).count().filter("count > 1").select(row)
+    again = cut(again.join(gone, row, "left_anti"), "simhash-again")
+    own = [F.col(f"`{c}`") for c in docs.columns]
     if again.isEmpty():
-        return left.select(docs.columns)
-    one = left.join(again, "_row", "left_semi").dropDuplicates(["_row"])
-    return left.join(again, "_row", "left_anti").unionByName(one).select(docs.columns)
+        return left.select(*own)
+    one = left.join(again, row, "left_semi").dropDuplicates([row])
+    return left.join(again, row, "left_anti").unionByName(one).select(*own)

@@ -304,42 +304,41 @@ def assigned(found: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError(f"no distinct surrogates after {MAX_DRAWS} draws")
 
 
-def replaced(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, entities of ``text`` replaced, and ``n_entities long``.
+def replaced(docs: DataFrame, key: bytes, text: str = "text", out: str = "n_entities") -> DataFrame:
+    """All columns of ``docs``, entities of ``text`` replaced, and their number as ``out``.
 
     Null texts stay null with 0 entities; repeated rows get the same result; an
-    existing column ``n_entities`` is replaced. Rows without entities are not
-    exchanged. Same key, same corpus: same values; the values of entities that do
-    not collide do not depend on the rest of the corpus.
+    existing column ``out`` is replaced. Rows without entities are not exchanged.
+    Same key, same corpus: same values; the values of entities that do not
+    collide do not depend on the rest of the corpus.
     """
-    keep = [c for c in docs.columns if c != "n_entities"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
-    row = F.md5(F.col(text))
-    found = cut(detected(docs, text, True), "with-entities").withColumn("_text_key", row)
-    # Copies of a text hold the same entities: one list for each distinct text.
-    spans = found.select("_text_key", F.explode(F.array_distinct("spans")).alias("s")).select("_text_key", "s.*")
-    spans = spans.distinct()
-    values = assigned(spans, key)
-    render = F.collect_list(F.struct("start", "end", "kind", "mention", "value"))
-    lists = spans.join(values, ["kind", "form"]).groupBy("_text_key").agg(render.alias("_new"))
+    keep = [c for c in docs.columns if c != out]
     names = [f"k{i}" for i in range(len(keep))]
     at = keep.index(text)
-    joined = found.join(lists, "_text_key").select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], "_new")
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)])
+    found = cut(detected(inner, names[at], True), "with-entities").withColumn("text_key", F.md5(names[at]))
+    # Copies of a text hold the same entities: one list for each distinct text.
+    spans = found.select("text_key", F.explode("spans").alias("s")).select("text_key", "s.*").distinct()
+    values = assigned(spans, key)
+    new = F.collect_list(F.struct("start", "end", "kind", "mention", "value")).alias("new")  # of one text
+    lists = spans.join(values, ["kind", "form"]).groupBy("text_key").agg(new)
+    joined = found.join(lists, "text_key").select(*names, "new")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, count = [], []
-            for old, new in zip(b.column(f"k{at}").to_pylist(), b.column("_new").to_pylist(), strict=True):
+            texts, count = [], []
+            for old, changes in zip(b.column(names[at]).to_pylist(), b.column("new").to_pylist(), strict=True):
                 raw, parts, here = old.encode(), [], 0
-                for s in sorted(new, key=lambda s: s["start"]):
+                for s in sorted(changes, key=lambda s: s["start"]):
                     parts += [raw[here : s["start"]], rendered(s["kind"], s["mention"], s["value"]).encode()]
                     here = s["end"]
-                out.append(b"".join([*parts, raw[here:]]).decode())
-                count.append(len(new))
-            cols = [pa.array(out, pa.string()) if i == at else b.column(f"k{i}") for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64())], names=[*names, "n_entities"])
-
-    fields = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    changed = joined.mapInArrow(run, f"{fields}, n_entities long")
-    changed = changed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_entities")
-    return detected(docs, text, False).withColumn("n_entities", F.lit(0).cast("long")).unionByName(changed)
+                texts.append(b"".join([*parts, raw[here:]]).decode())
+                count.append(len(changes))
+            cols = [pa.array(texts, pa.string()) if n == names[at] else b.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64())], names=[*names, "n"])
+
+    fields = ", ".join(f"{n} {inner.schema[n].dataType.simpleString()}" for n in names)
+    changed = joined.mapInArrow(run, f"{fields}, n long")
+    plain = detected(inner, names[at], False).withColumn("n", F.lit(0).cast("long"))
+    both = plain.unionByName(changed)
+    return both.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("n").alias(out))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import END, normalised, slices, utf8
+from paperloom.llm.batches import END, fresh, normalised, slices, utf8
 
 WINDOW = 32  # words
 STRIDE = 16
@@ -398,13 +398,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: tuple[int, in
     return train([t for _, t, _ in got], np.array([int(y > 0) for *_, y in got]), rate if rate is not None else 0.0)
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1), over all windows of the whole text.
+def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``out`` (0 to 1), over all windows of the whole text.
 
     Null and empty texts, and texts without letters or digits, get the share of
-    toxic labels as their score. Repeated rows stay repeated.
+    toxic labels as their score. Repeated rows stay repeated; a column named as
+    ``out`` is replaced.
     """
-    keep = [c for c in docs.columns if c != "score"]
+    keep = [c for c in docs.columns if c != out]
     at = f"k{keep.index(text)}"
     inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -416,5 +417,13 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "score"])
 
     fields = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = inner.mapInArrow(run, f"{fields}, score double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    got = inner.mapInArrow(run, f"{fields}, score double")
+    return got.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(out))
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, unchanged. Texts without words stay."""
+    name = fresh(docs, "_score")
+    got = scored(docs, model, text, name)
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[\p{L}\p{N}]")
+    return got.filter((F.col(name) < threshold) | wordless).select(*[F.col(f"`{c}`") for c in docs.columns])
