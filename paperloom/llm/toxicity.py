@@ -32,8 +32,8 @@ STEPS = 900
 BATCH = 96
 RATE = 0.07
 DROP = 0.5  # of the word and n-gram vectors, in training
-SAMPLE = (3_000, 5_000)  # toxic and other labelled documents that training takes at most
-SAMPLE_CHARS = 6_000  # longer documents are not trained on
+SAMPLE = (2_000, 4_000)  # toxic and other labelled documents that training takes at most
+SAMPLE_CHARS = 4_000  # longer documents are not trained on
 CLIP = 5.0
 SHRINK = 10  # texts of no evidence that each word and n-gram is given
 COMMON = 3  # texts that a word or n-gram must occur in to have a vector
@@ -51,7 +51,7 @@ class Words:
     row: np.ndarray  # text of each word, ascending
     which: np.ndarray  # distinct word of each word
     word: np.ndarray  # hash of each distinct word
-    grams: np.ndarray  # hashes of the distinct words' n-grams
+    grams: np.ndarray  # buckets of the distinct words' n-grams
     owner: np.ndarray  # distinct word of each n-gram, ascending
 
 
@@ -62,7 +62,7 @@ def words_of(raw: np.ndarray, off: np.ndarray) -> Words:
     start, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return Words(none, none, none.astype(np.uint64), none.astype(np.uint64), none)
+        return Words(none, none, none.astype(np.uint64), none, none)
     size = end - start
     power = np.cumprod(np.full(int(size.max()) + 2, POWER, np.uint64))
     at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
@@ -80,11 +80,37 @@ def words_of(raw: np.ndarray, off: np.ndarray) -> Words:
         g = np.full(len(ok), order, np.uint64)
         for k in range(order):
             g = g * POWER + sign[ok + k]
-        grams.append(g)
-        owner.append(who[ok])
+        grams.append(bucket(g, CHAR_BITS).astype(np.int32))
+        owner.append(who[ok].astype(np.int32))
     grams, owner = np.concatenate(grams), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return Words(row[start], which.reshape(-1), word, grams[order], owner[order])
+    return Words(row[start].astype(np.int32), which.reshape(-1).astype(np.int32), word, grams[order], owner[order])
+
+
+def joined(texts: list[str]) -> Words:
+    """The words of many texts, read some texts at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    parts, at = [], 0
+    for b in slices(batch, "text", STEP_BYTES):
+        w = words_of(*utf8(b.column("text")))
+        parts.append(Words(w.row + at, w.which, w.word, w.grams, w.owner))
+        at += b.num_rows
+    if not parts:
+        return words_of(*utf8(pa.array([], pa.string())))
+    begin = np.cumsum([0, *(len(p.word) for p in parts)])
+    word, first, back = np.unique(np.concatenate([p.word for p in parts]), return_index=True, return_inverse=True)
+    back = back.reshape(-1).astype(np.int32)
+    kept = np.zeros(begin[-1], bool)
+    kept[first] = True
+    grams, owner = [], []
+    for p, lo in zip(parts, begin[:-1].tolist(), strict=True):
+        ok = kept[lo + p.owner]
+        grams.append(p.grams[ok])
+        owner.append(back[lo + p.owner[ok]])
+    grams, owner = np.concatenate(grams), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    which = np.concatenate([back[lo + p.which] for p, lo in zip(parts, begin[:-1].tolist(), strict=True)])
+    return Words(np.concatenate([p.row for p in parts]), which, word, grams[order], owner[order])
 
 
 def bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -133,7 +159,7 @@ def inputs(net: Net, w: Words, kept_word: np.ndarray | None = None, kept_gram: n
     if len(w.owner):
         first = np.flatnonzero(np.diff(w.owner, prepend=-1))
         count = np.diff(np.append(first, len(w.owner)))
-        chars = net["char"][bucket(w.grams, CHAR_BITS)]
+        chars = net["char"][w.grams]
         if kept_gram is not None:
             chars *= kept_gram[:, None]
         sums = np.add.reduceat(chars, first, axis=0)
@@ -260,20 +286,36 @@ class Model:
     prior: float  # score of a text without words
 
 
-def log_odds(keys: np.ndarray, text: np.ndarray, label: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(odds, common): shrunk log odds of a bucket to occur in toxic texts, by texts that hold it.
+def log_odds(pos: np.ndarray, neg: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(odds, common): shrunk log odds to occur in toxic texts, from numbers of texts.
 
     Buckets of fewer than COMMON texts say nothing.
     """
-    pairs = np.unique(text.astype(np.int64) * buckets + keys)
-    bad = label[pairs // buckets] > 0
-    pos = np.bincount(pairs[bad] % buckets, minlength=buckets)
-    neg = np.bincount(pairs[~bad] % buckets, minlength=buckets)
     odds = np.log((pos + 0.5) / (label.sum() + 1)) - np.log((neg + 0.5) / ((1 - label).sum() + 1))
     common = pos + neg >= COMMON
     return np.where(common, odds * (pos + neg) / (pos + neg + SHRINK), 0), common
 
 
+def text_counts(w: Words, label: np.ndarray, texts: int = 200) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """[toxic, other] numbers of texts that hold each word bucket, and each n-gram bucket; some texts at a time."""
+    word = [np.zeros(1 << WORD_BITS, np.int64) for _ in range(2)]
+    char = [np.zeros(1 << CHAR_BITS, np.int64) for _ in range(2)]
+    many = np.bincount(w.owner, minlength=len(w.word))
+    start = np.cumsum(many) - many
+    for lo in range(0, len(label), texts):
+        a, z = np.searchsorted(w.row, (lo, lo + texts))
+        own = np.unique((w.row[a:z].astype(np.int64) - lo) * len(w.word) + w.which[a:z])
+        text, which = own // max(len(w.word), 1), own % max(len(w.word), 1)
+        n = many[which]
+        each = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[which], n)
+        for out, key, at in ((word, bucket(w.word[which], WORD_BITS), text), (char, w.grams[each].astype(np.int64), np.repeat(text, n))):
+            pair = np.unique(at * len(out[0]) + key)
+            bad = label[lo + pair // len(out[0])] > 0
+            for side, on in zip(out, (bad, ~bad), strict=True):
+                side += np.bincount(pair[on] % len(side), minlength=len(side))
+    return word, char
+
+
 def train(texts: list[str], label: np.ndarray, rate: float, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit the network on whole labelled texts; ``rate`` is the share of toxic texts it is used on.
 
@@ -284,19 +326,15 @@ def train(texts: list[str], label: np.ndarray, rate: float, epochs: int = EPOCHS
     net = new_net(seed)
     label = np.asarray(label, np.float64)
     prior = float(np.clip(rate, 1e-4, 1 - 1e-4))
-    w = words_of(*utf8(pa.array(texts, pa.string())))
+    w = joined(texts)
     text, first, count = windows(w.row, len(texts))
     if not len(text) or label.min() == label.max():
         net["d"][:] = np.log(prior / (1 - prior))
         net["o"][:] = 0
         return Model(net, prior)
-    by_word, common_word = log_odds(bucket(w.word, WORD_BITS)[w.which], w.row, label, 1 << WORD_BITS)
-    many = np.bincount(w.owner, minlength=len(w.word))
-    grams = bucket(w.grams, CHAR_BITS)
-    start = np.cumsum(many) - many
-    times = many[w.which]
-    each = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[w.which], times)
-    by_char, common_gram = log_odds(grams[each], np.repeat(w.row, times), label, 1 << CHAR_BITS)
+    word_texts, char_texts = text_counts(w, label)
+    by_word, common_word = log_odds(*word_texts, label)
+    by_char, common_gram = log_odds(*char_texts, label)
     # Rare words and n-grams would only be learnt by heart: their vectors are zero and stay so.
     for name, odds, common in (("word", by_word, common_word), ("char", by_char, common_gram)):
         net[name][~common] = 0
@@ -318,13 +356,13 @@ def train(texts: list[str], label: np.ndarray, rate: float, epochs: int = EPOCHS
             part, f, c = part_of(w, first[at], count[at])
             # A word is often seen by its n-grams only, and the other way round.
             kept_word = common_word[bucket(part.word, WORD_BITS)] * keep(rng, len(part.word))
-            kept_gram = common_gram[bucket(part.grams, CHAR_BITS)] * keep(rng, len(part.grams))
+            kept_gram = common_gram[part.grams] * keep(rng, len(part.grams))
             g, dx = gradients(net, part, f, c, label[text[at]], weight[text[at]], kept_word, kept_gram)
             rate_now = RATE * (1 - epoch / (epochs + 1))
             step(net, slow, g, rate_now)
             step_rows(net, slow, "word", bucket(part.word, WORD_BITS), dx * kept_word[:, None], rate_now)
             share = (kept_gram / np.sqrt(np.bincount(part.owner, minlength=len(part.word)).clip(1))[part.owner]).astype(np.float32)
-            step_rows(net, slow, "char", bucket(part.grams, CHAR_BITS), dx[part.owner] * share[:, None], rate_now)
+            step_rows(net, slow, "char", part.grams, dx[part.owner] * share[:, None], rate_now)
     # Trained on balanced classes: shift to the share of toxic texts in use.
     net["d"] += np.float32(np.log(prior / (1 - prior)))
     return Model(net, prior)
