@@ -177,7 +177,7 @@ def nearest(
 
     placed = classes.select("v", "ids").mapInArrow(place, "cell long, v array<double>, ids array<long>")
     # Cells lie together, so most batches are off the walk of most queries.
-    index = cut(placed.repartitionByRange("cell").sortWithinPartitions("cell"), "vector-cells")
+    index = cut(placed.repartitionByRange("cell", F.xxhash64("v")).sortWithinPartitions("cell"), "vector-cells")
     size = np.zeros(shape[0] * shape[1], np.int64)
     for r in index.groupBy("cell").count().collect():  # one row per cell; their number is fixed
         size[r["cell"]] = r["count"]

@@ -25,7 +25,7 @@ SEED = 42
 SHINGLE = 4
 MAX_BITS = 4
 PARTS = 3  # 4 differing bits in 3 segments: one segment holds at most one
-BUCKET = 2048  # members one bucket may have before it is split by further segments
+BUCKET = 1 << 15  # members one bucket may have before it is split by further segments
 COUNT_BLOCK = 1 << 18  # shingles whose bits are counted at once
 
 
