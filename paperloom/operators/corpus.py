@@ -99,13 +99,15 @@ def frontier_score(cited: Column, title: Column, topics: Column, question: str)
 
 
 def seed_lineage(
-    refs: DataFrame, works: DataFrame, seed: object, depth: int = LINEAGE_DEPTH, size: int = LINEAGE_SIZE
+    refs: DataFrame, works: DataFrame, seed: object, depth: int = LINEAGE_DEPTH,
+    size: int | None = None, max_references: int | None = None, max_citers: int | None = None,
 ) -> DataFrame:
     """CRP-06: (work_id, depth, source, path) in queue order of a breadth-first walk.
 
     ``path`` is the queue position as an array: per level the kind (reference or
     citer) and the place in its list. Arrays compare element by element, which is
-    exactly queue order, so no counter runs over the queue.
+    exactly queue order, so no counter runs over the queue. The walk is whole
+    unless a fan-out or the size is limited.
     """
     held = works.select("work_id")
     layer = held.filter(F.col("work_id") == F.lit(seed)).select(
@@ -114,10 +116,11 @@ def seed_lineage(
     seen = cut(layer, "lineage")
     layer = seen
     for d in range(1, depth + 1):
-        down = refs.filter(F.col("pos") < MAX_REFERENCES).join(layer.select("work_id", "path"), "work_id").select(
+        listed = refs if max_references is None else refs.filter(F.col("pos") < max_references)
+        down = listed.join(layer.select("work_id", "path"), "work_id").select(
             F.col("ref_id").alias("work_id"), F.lit(0).alias("kind"), F.col("pos").cast("long").alias("p"), "path"
         )
-        up = citing_works(refs, layer, MAX_CITERS).join(layer.select(F.col("work_id").alias("seed"), "path"), "seed").select(
+        up = citing_works(refs, layer, max_citers or 0).join(layer.select(F.col("work_id").alias("seed"), "path"), "seed").select(
             F.col("citing_id").alias("work_id"), F.lit(1).alias("kind"), F.col("position").cast("long").alias("p"), "path"
         )
         found = (
@@ -131,7 +134,7 @@ def seed_lineage(
             found.select("work_id", F.lit(d).alias("depth"), label.alias("source"), F.col("f.path").alias("path")), "lineage"
         )
         seen = seen.unionByName(layer)
-    return seen.orderBy("depth", "path").limit(size)
+    return seen if size is None else seen.orderBy("depth", "path").limit(size)
 
 
 # --- layered expansion -------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import tokens
@@ -12,18 +12,22 @@ from paperloom.operators.aggregates import author_counts, institution_counts, re
 from paperloom.operators.skew import sort_columns, top_n
 from paperloom.session import cut
 
-# --- fixed values: nested list caps of a work document; BM25; boosts ------------
-MAX_AUTHORS, MAX_CONCEPTS, MAX_INSTITUTIONS = 50, 20, 50
+# --- fixed values: BM25; boosts ------------
 BM25_K1, BM25_B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "abstract": 1.0, "concepts": 2.0}
 
 
-def nested(child: DataFrame, parent: str, order: Sequence[str | Column], n: int, fields: list[str], name: str) -> DataFrame:
-    """(parent, array of structs): the first n children in order.
+def nested(child: DataFrame, parent: str, order: Sequence[str | Column], n: int | None, fields: list[str], name: str) -> DataFrame:
+    """(parent, array of structs): the children in order, the first n where n is given.
 
-    The cap works before the exchange, so no parent gathers more than n rows.
+    A cap works before the exchange, so no parent gathers more than n rows.
+    Without one a parent's list is as long as its record.
     """
-    rows = top_n(child, [parent], sort_columns(order), n, "_rn")
+    if n is None:
+        keys = [F.row_number().over(Window.partitionBy(parent).orderBy(*sort_columns(order))).alias("_rn")]
+        rows = child.select("*", *keys)
+    else:
+        rows = top_n(child, [parent], sort_columns(order), n, "_rn")
     return rows.groupBy(parent).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_rn", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields])
@@ -32,17 +36,19 @@ def nested(child: DataFrame, parent: str, order: Sequence[str | Column], n: int,
 
 
 def work_documents(
-    works: DataFrame, authors: DataFrame, concepts: DataFrame, institutions: DataFrame, venues: DataFrame
+    works: DataFrame, authors: DataFrame, concepts: DataFrame, institutions: DataFrame, venues: DataFrame,
+    max_authors: int | None = None, max_concepts: int | None = None, max_institutions: int | None = None, max_venues: int | None = None,
 ) -> DataFrame:
     """IDX-01: scalars, nested lists (empty, never null), and the full text.
 
-    The child frames carry work_id and their display fields.
+    The child frames carry work_id and their display fields. Lists are whole
+    unless a cap is given.
     """
     parts = {
-        "authors": nested(authors, "work_id", ["author_order", "author_id"], MAX_AUTHORS, ["author_id", "name"], "authors"),
-        "concepts": nested(concepts, "work_id", [F.desc("score"), F.asc("concept")], MAX_CONCEPTS, ["concept", "score"], "concepts"),
-        "institutions": nested(institutions, "work_id", ["name", "institution_id"], MAX_INSTITUTIONS, ["institution_id", "name"], "institutions"),
-        "venues": nested(venues, "work_id", [F.desc("is_primary"), F.asc("name")], MAX_INSTITUTIONS, ["name", "is_primary"], "venues"),
+        "authors": nested(authors, "work_id", ["author_order", "author_id"], max_authors, ["author_id", "name"], "authors"),
+        "concepts": nested(concepts, "work_id", [F.desc("score"), F.asc("concept")], max_concepts, ["concept", "score"], "concepts"),
+        "institutions": nested(institutions, "work_id", ["name", "institution_id"], max_institutions, ["institution_id", "name"], "institutions"),
+        "venues": nested(venues, "work_id", [F.desc("is_primary"), F.asc("name")], max_venues, ["name", "is_primary"], "venues"),
     }
     out = works
     for name, part in parts.items():

@@ -15,7 +15,6 @@ from paperloom.session import cut, new_table_path
 # --- fixed values: ranking weights -------------------------------------------
 KEY_PAPER_WEIGHTS = {"pagerank": 0.45, "citations": 0.30, "representative": 0.15, "bridge": 0.10}
 RECENT_FROM_YEAR = 2022
-MAX_KEY_PAPERS = 15
 
 HOT_ROWS = 1_000_000  # edges of one node that one task may hold
 
@@ -406,21 +405,42 @@ def rank_key_papers(
             "cited_by_count", "publication_year",
         )
         .orderBy(F.desc("score"), F.asc("work_id"))
-        .limit(min(limit, MAX_KEY_PAPERS))
+        .limit(limit)
     )
 
 
-def field_structure(papers: DataFrame, edges: DataFrame, limit: int = 10) -> dict[str, DataFrame]:
-    """GRA-07: every metric of one corpus, sharing the intermediate tables."""
+def field_structure(
+    papers: DataFrame, edges: DataFrame, limit: int = 10, method: str = "labels", topics: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """GRA-07: every metric of one corpus, sharing the intermediate tables.
+
+    ``method`` names the communities: "labels" (label propagation), "modularity" or
+    "components"; no edge leaves a component, so with those no paper is a bridge.
+    ``topics(id, topic)`` adds the topic counts.
+    """
     ranks = cut(pagerank(papers, edges), "ranks")
-    communities = cut(
-        connected_components(papers, edges).withColumnRenamed("component", "community"), "communities"
-    )
+    if method == "labels":
+        found = label_propagation(papers, edges)
+    elif method == "modularity":
+        found = modularity_communities(papers, edges)
+    elif method == "components":
+        found = connected_components(papers, edges).withColumnRenamed("component", "community")
+    else:
+        raise ValueError(f"unknown community method {method}")
+    communities = cut(found, "communities")
     bridges = cut(bridge_scores(edges, communities), "bridges")
-    return {
+    count = F.count(F.lit(1))
+    parts = [papers.agg(F.lit("nodes").alias("metric"), count.alias("n")), edges.agg(F.lit("edges").alias("metric"), count.alias("n"))]
+    parts.append(communities.agg(F.lit("communities").alias("metric"), F.count_distinct("community").alias("n")))
+    out = {
         "pagerank": ranks, "communities": communities, "bridge": bridges,
         "key_papers": rank_key_papers(papers, ranks, communities, bridges, limit),
+        "yearly": papers.groupBy("publication_year").agg(count.alias("n_papers")),
+        "counts": reduce(DataFrame.unionByName, parts),
     }
+    if topics is not None:
+        out["topics"] = topics.groupBy("topic").agg(F.count_distinct("id").alias("n_papers"))
+    return out
 
 
 # --- typed graph ----------------------------------------------------------------

@@ -79,8 +79,13 @@ def top_n(
     """The first ``n`` rows per group, with their rank.
 
     Spark turns ``row_number() <= n`` into a partial limit before the exchange
-    (``WindowGroupLimit``), so a hot group sends n rows per map task, not all.
+    (``WindowGroupLimit``), so a hot group sends n rows per map task, not all. It does
+    so up to a threshold; a larger n is cut out of the distributed numbering, for
+    which ``order`` must be total.
     """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limit >= 0:
+        return numbered(df, order, group, name, "top").filter(F.col(name) <= n)
     w = Window.partitionBy(*group).orderBy(*sort_columns(order))
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 

@@ -26,22 +26,25 @@ def append(old: DataFrame, new: DataFrame, on_conflict: str = "keep_all") -> Dat
 
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
-    """Cosine similarity with the small constant on both norms."""
+    """Cosine similarity with the small constant on both norms; null for a vector of another size."""
     q = [float(x) for x in query]
     length = sum(x * x for x in q) ** 0.5 + NORM_EPSILON
     scaled = [x / length for x in q]
-    return X.fixed_dot(vector, scaled) / (X.fixed_norm(vector, len(q)) + NORM_EPSILON)
+    value = X.fixed_dot(vector, scaled) / (X.fixed_norm(vector, len(q)) + NORM_EPSILON)
+    return F.when(F.size(vector) == len(q), value)
 
 
 def search(
     vectors: DataFrame, query: Sequence[float], k: int = 10, where: Column | None = None, filter_first: bool = True, key: str = "id"
 ) -> DataFrame:
-    """VEC-02: k nearest rows by cosine.
+    """VEC-02: k nearest rows by cosine, among the vectors of the query's size.
 
+    Vectors of another size have no cosine with the query and are left out.
     ``filter_first=False`` filters the k nearest, and may return fewer. The take
     is a partial sort per task, so k rows per task reach the driver.
     """
     rows = vectors.filter(where) if where is not None and filter_first else vectors
+    rows = rows.filter(F.size("embedding") == len(query))
     top = rows.withColumn("score", F.round(cosine(F.col("embedding"), query), 6)).orderBy(F.desc("score"), F.asc(key)).limit(k)
     return top.filter(where) if where is not None and not filter_first else top
 

@@ -84,7 +84,7 @@ LINEAGE_SQL = f"""
 @query("crp06_lineage", LINEAGE_SQL)
 def crp06(spark, sf):
     seed = V.table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").first()["o_orderkey"]
-    out = C.seed_lineage(V.ref_links(spark, sf), works(spark, sf), seed)
+    out = C.seed_lineage(V.ref_links(spark, sf), works(spark, sf), seed, size=2000, max_references=50, max_citers=25)
     return out.select("work_id", "depth", "source", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("place"))
 
 

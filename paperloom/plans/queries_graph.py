@@ -101,18 +101,21 @@ def gra05(spark, sf):
 
 
 KEY_PAPERS_SQL = V.with_graph(
-    f""", {pagerank_sql()}, comp AS MATERIALIZED ({COMPONENTS_SQL}),
-    rep AS (SELECT id FROM (SELECT r.id, row_number() OVER (PARTITION BY component ORDER BY round(r.r, 12) DESC, r.id) AS rn
-            FROM r30 r JOIN comp ON comp.id = r.id) WHERE rn = 1),
-    scored AS (SELECT p.id AS work_id, title, publication_year, cited_by_count, component AS community, r.r,
-        rep.id IS NOT NULL AS is_rep, 0.0::DOUBLE AS bridge_score,
+    f""", {pagerank_sql()}, {labels_sql()},
+    rep AS (SELECT id FROM (SELECT r.id, row_number() OVER (PARTITION BY l3.l ORDER BY round(r.r, 12) DESC, r.id) AS rn
+            FROM r30 r JOIN l3 ON l3.id = r.id) WHERE rn = 1),
+    bridge AS (SELECT id, count(*)::DOUBLE AS b FROM (SELECT unnest([c.src, c.dst]) AS id
+        FROM citations c JOIN l3 a ON a.id = c.src JOIN l3 b ON b.id = c.dst WHERE a.l <> b.l) GROUP BY id),
+    scored AS (SELECT p.id AS work_id, title, publication_year, cited_by_count, l3.l AS community, r.r,
+        rep.id IS NOT NULL AS is_rep, coalesce(bridge.b, 0.0) AS bridge_score,
         0.45 * r.r + 0.30 * cited_by_count / (SELECT max(cited_by_count)::DOUBLE FROM papers)
-          + CASE WHEN rep.id IS NOT NULL THEN 0.15 ELSE 0 END AS s
-      FROM papers p JOIN r30 r ON r.id = p.id JOIN comp ON comp.id = p.id LEFT JOIN rep ON rep.id = p.id)
+          + CASE WHEN rep.id IS NOT NULL THEN 0.15 ELSE 0 END + 0.10 * least(1.0, coalesce(bridge.b, 0.0) / 3.0) AS s
+      FROM papers p JOIN r30 r ON r.id = p.id JOIN l3 ON l3.id = p.id LEFT JOIN rep ON rep.id = p.id LEFT JOIN bridge ON bridge.id = p.id)
     SELECT work_id, title, round(s, 6) AS score,
-      CASE WHEN publication_year >= 2022 THEN 'recent_representative' WHEN is_rep THEN 'community_representative' ELSE 'influential_paper' END AS role,
+      CASE WHEN publication_year >= 2022 THEN 'recent_representative' WHEN bridge_score > 0 THEN 'bridge_paper'
+        WHEN is_rep THEN 'community_representative' ELSE 'influential_paper' END AS role,
       round(r, 6) AS pagerank, community, bridge_score, cited_by_count, publication_year::INTEGER AS publication_year
-    FROM scored ORDER BY score DESC, work_id LIMIT 10""",
+    FROM scored ORDER BY score DESC, work_id LIMIT 30""",
     True,
 ).replace("  ,", ",")
 
@@ -121,7 +124,18 @@ KEY_PAPERS_SQL = V.with_graph(
 def gra06(spark, sf):
     cites = V.citations(spark, sf)
     papers = cut(V.papers(spark, sf, cites), "papers")
-    return G.field_structure(papers, cites, 10)["key_papers"]
+    return G.field_structure(papers, cites, 30)["key_papers"]
+
+
+@query("gra07_field", V.with_graph(f"""
+  , {labels_sql()}
+  SELECT 'nodes' AS metric, NULL::INTEGER AS year, count(*) AS n FROM papers UNION ALL SELECT 'edges', NULL, count(*) FROM citations UNION ALL
+  SELECT 'communities', NULL, count(DISTINCT l) FROM l3 UNION ALL SELECT 'papers', publication_year::INTEGER, count(*) FROM papers GROUP BY 2""", True).replace("  ,", ","))
+def gra07(spark, sf):
+    cites = V.citations(spark, sf)
+    f = G.field_structure(cut(V.papers(spark, sf, cites), "papers"), cites)
+    return f["counts"].select("metric", F.lit(None).cast("int").alias("year"), "n").unionByName(
+        f["yearly"].select(F.lit("papers").alias("metric"), F.col("publication_year").cast("int").alias("year"), F.col("n_papers").alias("n")))
 
 
 @query("gra10_collaborators", f"""
@@ -234,9 +248,9 @@ EDGES_SQL = SNAPSHOT_SQL + """,
 """
 
 
-@query("gra01_edges", EDGES_SQL + " SELECT 'paper:W' || o AS src, dst, type FROM (SELECT *, row_number() OVER (ORDER BY o, k, pos) AS nth FROM e) WHERE nth <= 50000")
+@query("gra01_edges", EDGES_SQL + " SELECT 'paper:W' || o AS src, dst, type FROM e")
 def gra01e(spark, sf):
-    return G.snapshot_edges(snapshot_papers(spark, sf), max_edges=50000)
+    return G.snapshot_edges(snapshot_papers(spark, sf))
 
 
 @query("gra15_snapshot", EDGES_SQL + """

@@ -465,7 +465,7 @@ def ups10(spark, sf):
 
 @query("idx01_work_docs", f"""
   WITH au AS (SELECT work_id, string_agg(author_id::VARCHAR, ',' ORDER BY author_order, author_id) AS a, count(*) AS n FROM (
-        SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY author_order, author_id) AS rn FROM ({V.WORK_AUTHORS_SQL})) WHERE rn <= 50 GROUP BY 1),
+        SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY author_order, author_id) AS rn FROM ({V.WORK_AUTHORS_SQL})) WHERE rn <= 2 GROUP BY 1),
     co AS (SELECT work_id, string_agg(concept || ':' || score, ',' ORDER BY score DESC, concept) AS c FROM (
         SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY score DESC, concept) AS rn FROM ({V.WORK_CONCEPTS_SQL})) WHERE rn <= 20 GROUP BY 1),
     ii AS (SELECT work_id, string_agg(n_name, ',' ORDER BY n_name, n_nationkey) AS i FROM (
@@ -482,7 +482,7 @@ def idx01(spark, sf):
         t("nation").select(F.col("n_nationkey").alias("institution_id"), F.col("n_name").alias("name")), "institution_id")
     venues = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("work_id"), F.col("c_mktsegment").alias("name"), F.lit(True).alias("is_primary"))
-    d = D.work_documents(works, authors, V.work_concepts(spark, sf), inst, venues)
+    d = D.work_documents(works, authors, V.work_concepts(spark, sf), inst, venues, max_authors=2, max_concepts=20)
     return d.select(
         "work_id", F.array_join("authors.name", ",").alias("authors"), F.size("authors").alias("n_authors"),
         F.array_join(F.transform("concepts", lambda c: F.concat_ws(":", c["concept"], c["score"])), ",").alias("concepts"),

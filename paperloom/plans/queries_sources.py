@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import clean as C
 from paperloom.plans import views as V
 from paperloom.plans.registry import query
+from paperloom.schemas import WORK
 from paperloom.session import cut, new_table_path
 from paperloom.sources import tables as T
 from paperloom.sources import works as W
@@ -85,14 +86,21 @@ def src10(spark, sf):
     return T.read_vectors(spark, path, 3).select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
-@query("src11_resumable", "SELECT 'W' || o_orderkey AS work_id, 1 AS copies FROM orders")
+@query("src11_resumable", """
+  SELECT 'W' || o_orderkey AS work_id, 1 AS copies, year(o_orderdate)::INTEGER AS publication_year, (1 + o_orderkey % 3)::INTEGER AS n_authors, true AS whole
+  FROM orders""")
 def src11(spark, sf):
-    """Two drops, two runs; the second run takes only what is new."""
+    """Two drops, two runs; the second run takes only what is new. Every field of a record arrives as it was sent."""
     drop, table, check = (new_table_path(spark, n) for n in ("drop", "table", "checkpoint"))
     lines = cut(V.works_json(spark, sf), "drop-lines")
     lines.filter("seq % 2 = 0").select("json").write.mode("append").text(drop)
     W.ingest_new_works(spark, drop, table, check)
     lines.filter("seq % 2 = 1").select("json").write.mode("append").text(drop)
     W.ingest_new_works(spark, drop, table, check)
-    got = spark.read.parquet(table)
-    return got.groupBy(C.normalize_id(F.col("id")).alias("work_id")).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    fields = WORK.fieldNames()
+    digest = F.sha2(F.to_json(F.struct(*fields)), 256)
+    sent = W.parse_works(lines).select(F.col("id").alias("sent_id"), digest.alias("sent"))
+    got = spark.read.parquet(table).withColumn("arrived", digest)
+    same = got.join(sent, got["id"] == sent["sent_id"])
+    return same.groupBy(C.normalize_id(F.col("id")).alias("work_id"), "publication_year", F.size("authorships").alias("n_authors")).agg(
+        F.count(F.lit(1)).cast("int").alias("copies"), F.bool_and(F.col("sent") == F.col("arrived")).alias("whole"))

@@ -241,6 +241,28 @@ def vec02(spark, sf):
     return E.search(V.table(spark, sf, "embeddings"), probe(spark, sf), 25, key="vec_id").select("vec_id", "score")
 
 
+def mixed_sql(times: int) -> str:
+    """Vectors repeated ``times`` over, every seventh one element short; the query is that of vector 0."""
+    long = "list_concat(" * (times - 1) + "embedding::DOUBLE[]" + ", embedding::DOUBLE[])" * (times - 1)
+    return f"""
+  SELECT {times * 64} AS dim, vec_id, score FROM (SELECT vec_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) + 1e-8) / (sqrt(list_dot_product(q, q)) + 1e-8), 6) AS score
+    FROM (SELECT vec_id, {long} AS v FROM embeddings WHERE vec_id % 7 <> 3), (SELECT {long} AS q FROM embeddings WHERE vec_id = 0)) ORDER BY score DESC, vec_id LIMIT 20"""
+
+
+@query("vec02_mixed_sizes", f"SELECT * FROM ({mixed_sql(1)}) UNION ALL SELECT * FROM ({mixed_sql(3)})")
+def vec02m(spark, sf):
+    """Below and above the unrolled size, vectors of another size are left out alike."""
+    out = None
+    for times in (1, 3):
+        long = F.flatten(F.array_repeat(F.col("embedding"), times))
+        v = V.table(spark, sf, "embeddings").select("vec_id", long.alias("embedding"))
+        q = list(v.filter("vec_id = 0").first()["embedding"])
+        short = F.when(F.col("vec_id") % 7 == 3, F.slice("embedding", 1, len(q) - 1)).otherwise(F.col("embedding"))
+        got = E.search(v.withColumn("embedding", short), q, 20, key="vec_id").select(F.lit(len(q)).alias("dim"), "vec_id", "score")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query("vec02_filtered", f"""
   SELECT 'first' AS mode, vec_id, score FROM (FROM ({COSINE_SQL}) WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 20) UNION ALL
   SELECT 'after', vec_id, score FROM (FROM ({COSINE_SQL}) ORDER BY score DESC, vec_id LIMIT 20) WHERE label = 3""")

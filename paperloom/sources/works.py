@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.schemas import WORK
+from paperloom.session import path_exists
 
 
 def parse_works(df: DataFrame, json_column: str = "json", seq: str = "seq") -> DataFrame:
@@ -73,14 +74,21 @@ def works_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def ingest_new_works(spark: SparkSession, path: str, table: str, checkpoint: str) -> int:
-    """SRC-11: append what arrived since the last call; returns the rows added."""
+    """SRC-11: append what arrived since the last call, whole records; returns the rows added.
+
+    The count is that of the sink, from its footers, however many batches ran.
+    """
+    def rows() -> int:
+        return spark.read.parquet(table).count() if path_exists(spark, f"{table}/_spark_metadata") else 0
+
+    before = rows()
     query = (
-        works_stream(spark, path).select("id", "title", "publication_year", "referenced_works")
+        works_stream(spark, path).select(*WORK.fieldNames())
         .writeStream.format("parquet").option("path", table)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return rows() - before
 
 
 def select_fields(df: DataFrame, fields: list[str]) -> DataFrame:
