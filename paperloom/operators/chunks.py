@@ -169,17 +169,39 @@ def search_evidence(
     )
 
 
-def evidence_bundle(evidence: DataFrame) -> DataFrame:
-    """TXT-09: one row per query (at most k records each), with a warning if empty."""
-    bundle = evidence.groupBy("query_no", "query").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "evidence_id", "work_id", "retrieval_score"))).alias("records")
-    )
+# --- fixed value: the warning of a bundle without records
+NO_EVIDENCE = "No matching child chunks were available; summary should fall back to abstract-level evidence."
+
+
+def evidence_bundle(evidence: DataFrame, queries: list[str] | None = None, works: DataFrame | None = None) -> DataFrame:
+    """TXT-09: one row per query (at most k records each), with a warning if empty.
+
+    ``queries``, numbered from 0 as in the search, also gives those without records
+    a row. ``works(work_id, title, publication_year)`` adds the metadata of the
+    works a bundle names.
+    """
+    record = F.struct("rank", "evidence_id", "work_id", "retrieval_score")
+    bundle = evidence.groupBy("query_no", "query").agg(F.array_sort(F.collect_list(record)).alias("records"))
+    kind = bundle.schema["records"].dataType
+    if queries is not None:
+        number = bundle.schema["query_no"].dataType
+        asked = evidence.sparkSession.createDataFrame(list(enumerate(queries)), "query_no int, query string")
+        asked = asked.withColumn("query_no", F.col("query_no").cast(number))
+        bundle = asked.join(bundle, ["query_no", "query"], "left").withColumn("records", F.coalesce("records", F.array().cast(kind)))
+    metadata = []
+    if works is not None:
+        meta = F.struct("work_id", "title", "publication_year")
+        known = evidence.select("query_no", "work_id").distinct().join(works, "work_id")
+        known = known.groupBy("query_no").agg(F.array_sort(F.collect_list(meta)).alias("works"))
+        kind = known.schema["works"].dataType
+        bundle = bundle.join(known, "query_no", "left").withColumn("works", F.coalesce("works", F.array().cast(kind)))
+        metadata = ["works"]
     ids = F.concat(F.lit("["), F.array_join(F.transform("records", lambda r: F.concat(F.lit('"'), r["evidence_id"], F.lit('"'))), ", "), F.lit("]"))
     key = X.stable_hash({"question": X.json_text(F.col("query")), "records": ids}, 14)
     return bundle.select(
         F.concat(F.lit("EB_"), key).alias("evidence_bundle_id"), "query", "records",
         F.size(F.array_distinct("records.work_id")).alias("n_works"),
-        F.when(F.size("records") == 0, F.array(F.lit("No matching child chunks were available."))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        F.when(F.size("records") == 0, F.array(F.lit(NO_EVIDENCE))).otherwise(F.array().cast("array<string>")).alias("warnings"), *metadata,
     )
 
 

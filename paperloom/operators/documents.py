@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from paperloom.functions.text import tokens
 from paperloom.operators.aggregates import author_counts, institution_counts, research_areas, venue_counts
@@ -87,18 +88,31 @@ def institution_documents(institutions: DataFrame, links: DataFrame, countries:
     return institution_counts(institutions, links).join(countries, "country_code", "left").withColumn("is_deleted", F.lit(False))
 
 
-def sync_documents(docs: DataFrame, path: str, key: str, since: tuple[str, str] | None = None, members: DataFrame | None = None) -> dict:
-    """IDX-05: full, incremental or by-corpus load, with success and failure counts."""
+def sync_documents(
+    docs: DataFrame, path: str, key: str, since: tuple[str, str] | None = None, members: DataFrame | None = None, batch: str = "0"
+) -> dict:
+    """IDX-05: full, incremental or by-corpus load, with success and failure counts.
+
+    Each batch has a folder of its own; a repeated batch replaces itself, so a
+    sync that is run again changes nothing. ``synced_documents`` reads the index.
+    """
     if since:
         docs = docs.filter(F.col(since[0]) > F.lit(since[1]).cast(docs.schema[since[0]].dataType))
     if members is not None:
         docs = docs.join(members.select(key).distinct(), key, "left_semi")
     ok = F.col(key).isNotNull()
     seen = Observation()
-    docs.observe(seen, F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed")).filter(ok).write.mode("append").json(path)
+    docs.observe(seen, F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed")).filter(ok).write.mode("overwrite").json(f"{path}/batch={batch}")
     return {k: int(v) for k, v in seen.get.items()}
 
 
+def synced_documents(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
+    """IDX-05: the documents of an index; of a key in several batches the last batch counts."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", StringType())])).json(path)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in schema.fieldNames() if c != key]), "batch").alias("_d"))
+    return last.select(*[F.col(c) if c == key else F.col(f"_d.{c}").alias(c) for c in schema.fieldNames()])
+
+
 def analysed(c: Column, stop_words: list[str]) -> Column:
     """IDX-07: lower-case tokens without stop words; CJK by character."""
     if not stop_words:

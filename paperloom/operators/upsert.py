@@ -23,7 +23,7 @@ def upsert(
     """
     cols = [*keys, *update, version, *([created] if created else [])]
     rows = old.select(*cols).withColumn("_in", F.lit(0)).unionByName(new.select(*cols).withColumn("_in", F.lit(1)))
-    order = F.struct(version, "_in", *[F.hash(c) for c in update])
+    order = F.struct(version, "_in", *update)  # equal versions: the greatest row, in any run
     aggs = [F.max_by(F.struct(*update, version), order).alias("_v")]
     if created:
         aggs.append(F.min(created).alias(created))
@@ -69,11 +69,14 @@ def pending(frontier: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def doi_mapping(works: DataFrame, work: str, doi: str) -> DataFrame:
-    """UPS-06: every work with the work that holds its DOI (the smallest id)."""
-    holder = works.filter(F.col(doi).isNotNull()).groupBy(doi).agg(F.min(work).alias("_holder"))
-    return works.select(work, doi).join(holder, doi, "left").select(
-        work, F.coalesce("_holder", work).alias("canonical_id")
-    )
+    """UPS-06: every work with the work that holds its DOI (the smallest id).
+
+    Works without a DOI name themselves and are not exchanged.
+    """
+    held = works.filter(F.col(doi).isNotNull())
+    holder = held.groupBy(doi).agg(F.min(work).alias("canonical_id"))
+    alone = works.filter(F.col(doi).isNull()).select(work, F.col(work).alias("canonical_id"))
+    return held.select(work, doi).join(holder, doi).select(work, "canonical_id").unionByName(alone)
 
 
 def soft_delete(rows: DataFrame, gone: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -9,6 +9,7 @@ from paperloom.operators import entities as E
 from paperloom.plans import views as V
 from paperloom.plans.registry import query
 from paperloom.session import cut
+from paperloom.sources.works import parse_works_checked
 
 
 @query("ent01_works", """
@@ -157,3 +158,17 @@ def cln10(spark, sf):
     urls = E.with_work_id(raw).select("work_id", C.pdf_url(F.col("open_access.oa_url"), F.col("pdf_url"), F.col("doi")).alias("pdf"))
     rows = E.demo_work_row(raw).select("work_id", C.clean_string(F.col("title")).alias("title"), "doi", F.date_format("publication_date", "yyyy-MM-dd").alias("day"))
     return rows.join(urls, "work_id")
+
+
+@query("lnk09_rejects", """
+  SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 11 = 0 THEN 'malformed' WHEN o_orderkey % 13 = 0 THEN 'missing id' ELSE 'work' END AS state FROM orders""")
+def lnk09_rejects(spark, sf):
+    """Records broken on purpose: each is a work or a reject with its reason."""
+    lines = V.works_json(spark, sf).select("seq", "json")
+    broken = (
+        F.when(F.col("seq") % 11 == 0, F.expr("left(json, length(json) - 5)"))
+        .when(F.col("seq") % 13 == 0, F.regexp_replace("json", '"id":"[^"]*W[0-9]+",', ""))
+        .otherwise(F.col("json"))
+    )
+    works, rejects = parse_works_checked(cut(lines.select("seq", broken.alias("json")), "broken-lines"))
+    return works.select("seq", F.lit("work").alias("state")).unionByName(rejects.select("seq", F.col("reason").alias("state")))

@@ -14,7 +14,7 @@ from paperloom.operators import upsert as U
 from paperloom.operators import entities as E
 from paperloom.plans import views as V
 from paperloom.plans.registry import query
-from paperloom.session import cut, spread
+from paperloom.session import cut, new_table_path, spread
 
 # --- joins -----------------------------------------------------------------------
 # Held works: orders that are not pending. Citations: the flat reference lists of the records.
@@ -540,3 +540,16 @@ def bm25_sql(terms: list[str], fields: dict[str, tuple[str, float]], key: str, s
 def idx06(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("abstract"), F.col("lang").alias("concepts"))
     return D.bm25_search(spread(d), "doc_id", D.BOOSTS, "The question le de src3 fr", 50)
+
+
+@query("idx05_sync", """
+  SELECT o_orderkey AS work_id, CASE WHEN o_orderkey % 4 = 0 THEN 'new ' ELSE 'old ' END || o_orderpriority AS title, true AS same FROM orders WHERE o_orderkey % 2 = 0""")
+def idx05(spark, sf):
+    """Two batches, the second synced twice: the index holds each document once, in its last form."""
+    path = new_table_path(spark, "index")
+    orders = V.table(spark, sf, "orders")
+    form = lambda w, n: orders.filter(n).select(F.col("o_orderkey").alias("work_id"), F.concat(F.lit(w), "o_orderpriority").alias("title"))
+    first, second = form("old ", "o_orderkey % 2 = 0"), form("new ", "o_orderkey % 4 = 0")
+    D.sync_documents(first, path, "work_id", batch="1")
+    counts = [D.sync_documents(second, path, "work_id", batch="2") for _ in range(2)]
+    return D.synced_documents(spark, path, first.schema, "work_id").withColumn("same", F.lit(counts[0] == counts[1]))

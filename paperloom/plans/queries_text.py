@@ -150,6 +150,17 @@ def txt09(spark, sf):
     return K.evidence_bundle(evidence(spark, sf)).select("evidence_bundle_id", "query", "n_works")
 
 
+@query("txt09_empty", SEARCH_SQL + f""",
+  b AS (SELECT query, count(*) AS n, string_agg('"' || evidence_id || '"', ', ' ORDER BY rank) AS ids FROM ev WHERE query_no <> 1 GROUP BY query UNION ALL
+    SELECT query, 0, '' FROM q WHERE query_no = 1)
+  SELECT 'EB_' || left(sha256('{{"question": ' || to_json(query) || ', "records": [' || ids || ']}}'), 14) AS evidence_bundle_id, query, n::INTEGER AS n_records,
+    CASE WHEN n = 0 THEN '{K.NO_EVIDENCE}' ELSE '' END AS warning FROM b""")
+def txt09_empty(spark, sf):
+    """A query without matching chunks keeps its row, with the warning."""
+    bundle = K.evidence_bundle(evidence(spark, sf).filter("query_no <> 1"), QUERIES)
+    return bundle.select("evidence_bundle_id", "query", F.size("records").alias("n_records"), F.array_join("warnings", "").alias("warning"))
+
+
 CLAIM = "the question of other is in this que main"
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.session import cut
+
 TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 NESTED = (T.StructType, T.MapType, T.ArrayType, T.VariantType)
 
@@ -144,11 +146,17 @@ def read_vectors(spark: SparkSession, path: str, collection: str) -> DataFrame:
 
 
 def store_binaries(spark: SparkSession, path: str, glob: str = "*.pdf") -> tuple[DataFrame, DataFrame]:
-    """SRC-12: (content store, file links); equal content is stored once."""
+    """SRC-12: (content store, file links); equal content is stored once.
+
+    One path is chosen per digest; only paths and digests are exchanged, and the
+    chosen files are read where they are.
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
         .load(path).withColumn("sha256", F.sha2("content", 256))
     )
     key = F.concat(F.lit("pdfs/"), F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"), F.lit(".pdf"))
     links = files.select("path", "sha256", "length", key.alias("object_key"))
-    return files.select("sha256", key.alias("object_key"), "content").dropDuplicates(["sha256"]), links
+    chosen = cut(files.groupBy("sha256").agg(F.min("path").alias("_first")), "contents").select("_first")
+    store = files.select("path", "sha256", key.alias("object_key"), "content")
+    return store.join(chosen, store["path"] == chosen["_first"]).select("sha256", "object_key", "content"), links

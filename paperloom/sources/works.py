@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from paperloom.schemas import WORK
 from paperloom.session import path_exists
@@ -19,6 +20,25 @@ def parse_works(df: DataFrame, json_column: str = "json", seq: str = "seq") -> D
     return df.select(seq, F.inline(parsed))
 
 
+def parse_works_checked(df: DataFrame, json_column: str = "json", seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """LNK-09: (works, rejects) of a batch of JSON texts.
+
+    Rejects are (seq, reason, raw): "malformed" where the text is no record of the
+    declared schema, "missing id" where it has no id. No record is in neither.
+    """
+    schema = StructType([*WORK.fields, StructField("_corrupt", StringType())])
+    parsed = F.from_json(json_column, schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = df.select(seq, F.col(json_column).alias("_raw"), F.inline(F.array(parsed)))
+    reason = (
+        F.when(F.col("_raw").isNull() | F.col("_corrupt").isNotNull(), "malformed")
+        .when(F.coalesce("id", F.lit("")) == "", "missing id")
+    )
+    rows = rows.withColumn("_reason", reason)
+    works = rows.filter("_reason IS NULL").drop("_raw", "_corrupt", "_reason")
+    rejects = rows.filter("_reason IS NOT NULL").select(seq, F.col("_reason").alias("reason"), F.col("_raw").alias("raw"))
+    return works, rejects
+
+
 def read_works_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """SRC-01: one record per line; a broken line fails the read.
 
