@@ -59,7 +59,7 @@ ENTITY = re.compile(
     |(?P<card>(?<![\w.+-])(?:\d{{13,19}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}})(?!\w))
     |(?P<phone>(?<![\w.+])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)|\d{{2,4}})[ .-]?\d{{3,4}}[ .-]\d{{3,4}}(?:[ .-]?\d{{2,4}})?(?!\w))
     |(?P<secret>(?<!\w)[0-9A-Fa-f]{{32,128}}(?!\w))
-    |(?i:password|passwd|secret|api[_-]?key|token)\s*[:=]\s*["']?(?P<key>[^\s"'<>]{{8,128}})
+    |(?i:password|passwd|secret|api[_-]?key|token)\s*[:=]\s*["']?(?P<key>[^\s"'<>]{{7,127}}[^\s"'<>.,;:!?)])
     |(?<!\w)(?P<title>{TITLE_PATTERN})\.?[ ](?P<name>{WORD}(?:[ ]{WORD}){{0,2}})""",
     re.X,
 )
