@@ -267,14 +267,18 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     ).select("id", F.coalesce("_root", "id").alias("component"))
 
 
-def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
+def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 3, own_vote: bool = False) -> DataFrame:
     """GRA-04: (id, community) by synchronous label propagation.
 
     A node takes the most frequent label around it, ties to the smallest label.
     Labels are counted per (node, label) before the choice, so a hub never sends
-    its whole neighbourhood to one task.
+    its whole neighbourhood to one task. With ``own_vote`` a node's own label counts
+    once, so that the ends of a lone edge agree instead of trading labels.
     """
-    layout = EdgeLayout(undirected(edges), "src", "dst")
+    links = undirected(edges)
+    if own_vote:
+        links = links.unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    layout = EdgeLayout(links, "src", "dst")
     labels = vertices.select("id", F.col("id").alias("community"))
     for _ in range(rounds):
         votes = layout.meet(labels).groupBy(F.col("dst").alias("_n"), "community").agg(F.count(F.lit(1)).alias("_c"))
@@ -420,7 +424,7 @@ def field_structure(
     """
     ranks = cut(pagerank(papers, edges), "ranks")
     if method == "labels":
-        found = label_propagation(papers, edges)
+        found = label_propagation(papers, edges, own_vote=True)
     elif method == "modularity":
         found = modularity_communities(papers, edges)
     elif method == "components":

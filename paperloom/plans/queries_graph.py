@@ -50,9 +50,10 @@ def gra03(spark, sf):
     return G.connected_components(ids, cites)
 
 
-def labels_sql(rounds: int = 3) -> str:
+def labels_sql(rounds: int = 3, own_vote: bool = False) -> str:
+    own = " UNION SELECT id, id FROM papers" if own_vote else ""
     parts = [
-        "und AS MATERIALIZED (SELECT src, dst FROM citations UNION SELECT dst, src FROM citations)",
+        f"und AS MATERIALIZED (SELECT src, dst FROM citations UNION SELECT dst, src FROM citations{own})",
         "l0 AS MATERIALIZED (SELECT id, id AS l FROM papers)",
     ]
     for i in range(1, rounds + 1):
@@ -101,7 +102,7 @@ def gra05(spark, sf):
 
 
 KEY_PAPERS_SQL = V.with_graph(
-    f""", {pagerank_sql()}, {labels_sql()},
+    f""", {pagerank_sql()}, {labels_sql(own_vote=True)},
     rep AS (SELECT id FROM (SELECT r.id, row_number() OVER (PARTITION BY l3.l ORDER BY round(r.r, 12) DESC, r.id) AS rn
             FROM r30 r JOIN l3 ON l3.id = r.id) WHERE rn = 1),
     bridge AS (SELECT id, count(*)::DOUBLE AS b FROM (SELECT unnest([c.src, c.dst]) AS id
@@ -128,7 +129,7 @@ def gra06(spark, sf):
 
 
 @query("gra07_field", V.with_graph(f"""
-  , {labels_sql()}
+  , {labels_sql(own_vote=True)}
   SELECT 'nodes' AS metric, NULL::INTEGER AS year, count(*) AS n FROM papers UNION ALL SELECT 'edges', NULL, count(*) FROM citations UNION ALL
   SELECT 'communities', NULL, count(DISTINCT l) FROM l3 UNION ALL SELECT 'papers', publication_year::INTEGER, count(*) FROM papers GROUP BY 2""", True).replace("  ,", ","))
 def gra07(spark, sf):
