@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.batches import BATCH_ROWS, utf8
 from paperloom.session import spread
 
-CHUNK_BYTES = 16 << 20  # text of one chunk; a longer single text is a chunk of its own
+CHUNK_BYTES = 8 << 20  # text of one chunk; a longer single text is a chunk of its own
 SPLIT_BYTES = 1 << 20  # text split at once
 KNOWN_WORDS = 1 << 18  # encoded words that a task keeps; beyond, it starts anew
 ENCODE_WORDS = 1 << 13  # words given to the tokenizer at once
