@@ -75,9 +75,13 @@ def split(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(classes: DataFrame, centroids: int, sample: int = SAMPLE) -> Quantizer:
     """Centroids from at most ``sample`` distinct vectors, those whose hashes are least."""
     bound = classes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
-    rows = classes.orderBy(F.xxhash64("v"), "vec_id").limit(sample).select("v").collect()
-    if not rows:
+    keyed = classes.select("v", F.xxhash64("v").alias("h"), "vec_id")
+    # The bound is found on hashes and ids alone; only the vectors below it are collected.
+    last = keyed.select("h", "vec_id").orderBy("h", "vec_id").limit(sample).agg(F.max(F.struct("h", "vec_id")).alias("m")).first()["m"]
+    if last is None:
         return Quantizer([np.zeros((0, 0)), np.zeros((0, 0))], 0.0)
+    below = (F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("vec_id") <= last["vec_id"]))
+    rows = sorted(keyed.filter(below).collect(), key=lambda r: (r["h"], r["vec_id"]))
     x = extended(np.array([r["v"] for r in rows]), bound)
     return Quantizer([kmeans(part, centroids) for part in split(x)], bound)
 

@@ -174,7 +174,10 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE, sample_cha
     """
     c = F.col(html)
     rows = pages.select(c.alias("html")).filter(c.isNotNull() & (F.length(c) <= sample_chars) & F.lower(c).contains("<article"))
-    keyed = rows.withColumn("h", F.xxhash64("html")).orderBy("h", F.length("html")).limit(sample)
+    keyed = rows.withColumn("h", F.xxhash64("html"))
+    # The bound is found on hashes alone; only pages below it are exchanged, copies once.
+    last = keyed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    keyed = keyed.filter(F.col("h") <= F.lit(last if last is not None else 0)).groupBy("h").agg(F.min("html").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
