@@ -22,6 +22,19 @@ def src01(spark, sf):
     return w.select(C.normalize_id(F.col("id")).alias("work_id"), "publication_year", F.size("authorships").alias("n_authors"))
 
 
+@query("src02_tree", """
+  SELECT 'W' || o_orderkey AS work_id, year(o_orderdate)::INTEGER AS publication_year, (1 + o_orderkey % 3)::INTEGER AS n_authors FROM orders""")
+def src02(spark, sf):
+    """A folder tree of files, each one object with a list of results."""
+    path = new_table_path(spark, "tree")
+    works = W.parse_works(V.works_json(spark, sf))
+    part = F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")  # each part is one file of its own folder
+    grouped = works.select(part, F.struct(*WORK.fieldNames()).alias("w")).groupBy("part").agg(F.collect_list("w").alias("results"))
+    grouped.write.partitionBy("part").json(path)
+    w = W.read_works_tree(spark, path)
+    return w.select(C.normalize_id(F.col("id")).alias("work_id"), "publication_year", F.size("authorships").alias("n_authors"))
+
+
 @query("src03_table_scan", "SELECT o_orderstatus AS status, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY 1")
 def src03(spark, sf):
     return T.read_table(spark, f"{sf}/orders.parquet").groupBy(F.col("o_orderstatus").alias("status")).agg(
@@ -104,3 +117,14 @@ def src11(spark, sf):
     same = got.join(sent, got["id"] == sent["sent_id"])
     return same.groupBy(C.normalize_id(F.col("id")).alias("work_id"), "publication_year", F.size("authorships").alias("n_authors")).agg(
         F.count(F.lit(1)).cast("int").alias("copies"), F.bool_and(F.col("sent") == F.col("arrived")).alias("whole"))
+
+
+@query("src12_content_store", """
+  SELECT sha256(s_nationkey || chr(10)) AS sha256, count(*) AS n_files, 1 AS n_stored FROM supplier GROUP BY 1""")
+def src12(spark, sf):
+    """One file per supplier, written first; equal contents are stored once, every file keeps its link."""
+    path = new_table_path(spark, "files")
+    V.table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("value")).write.partitionBy("s_suppkey").text(path)
+    store, links = T.store_binaries(spark, path, "*.txt")
+    n = links.groupBy("sha256").agg(F.count(F.lit(1)).alias("n_files"))
+    return n.join(store.groupBy("sha256").agg(F.count(F.lit(1)).cast("int").alias("n_stored")), "sha256")
