@@ -27,8 +27,8 @@ from paperloom.llm.batches import BATCH_ROWS, utf8
 from paperloom.session import spread
 
 CHUNK_BYTES = 8 << 20  # text of one chunk; a longer single text is a chunk of its own
-SPLIT_BYTES = 1 << 20  # text split at once
-KNOWN_WORDS = 1 << 18  # encoded words that a task keeps; beyond, it starts anew
+SPLIT_BYTES = 1 << 18  # text split at once
+KNOWN_WORDS = 1 << 17  # encoded words that a task keeps; beyond, it starts anew
 ENCODE_WORDS = 1 << 13  # words given to the tokenizer at once
 BUCKETS_PER_PARTITION = 2  # of words, for each shuffle partition of the session
 PRESS_LEVEL = 3
@@ -259,17 +259,20 @@ def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
 def chunk_words(chunks: DataFrame, path: str, buckets: int) -> DataFrame:
     """(bucket, chunk, words): the distinct words of a chunk, one row per bucket of words."""
+    specials = added_tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 _, raw, off = rows_of(blob)
-                words, _ = split_chunk(raw, off, added_tokens(path))
+                words, _ = split_chunk(raw, off, specials)
                 order, ends, texts = dealt(word_list(raw, words).dictionary, buckets)
                 out = []
                 for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     own = [texts[i] for i in order[a:z].tolist()]
                     out.append(press(planes(np.fromiter(map(len, own), np.int32, len(own))), b"".join(own)) if own else None)
+                del raw, words, order, texts
+                pa.default_memory_pool().release_unused()
                 full = [i for i, w in enumerate(out) if w is not None]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([out[i] for i in full], pa.binary())],
@@ -311,10 +314,12 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 
 def set_in(chunks: DataFrame, answers: DataFrame, fields: str, path: str, buckets: int) -> DataFrame:
     """Whole rows again, each with the ids of its words in order."""
+    specials = added_tokens(path)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rest, raw, off = rows_of(left.column("blob")[0].as_py())
-        words, first = split_chunk(raw, off, added_tokens(path))
+        pa.default_memory_pool().release_unused()
+        words, first = split_chunk(raw, off, specials)
         values, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         if len(words) > 1:
             coded = word_list(raw, words)
@@ -372,26 +377,11 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
     Special tokens are kept. Null and empty id lists give an empty text; ids
     outside the vocabulary and null ids give nothing; bytes that are no UTF-8
-    become replacement characters. The vocabulary is a file of fixed size.
+    become replacement characters. The vocabulary is a constant of the plan, of the
+    fixed size of its file; no Python runs. Pieces travel as one character per byte.
     """
-    keep = [c for c in docs.columns if c != out]
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
-    column = f"k{keep.index(ids)}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path)
-        for b in batches:
-            lists = b.column(column)
-            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), np.int64)
-            ids_in = lists.flatten()
-            known = pc.fill_null(pc.and_(pc.greater_equal(ids_in, 0), pc.less(ids_in, len(table))), False)
-            found = table.take(pc.if_else(known, ids_in, None)).fill_null(b"")
-            raw, off = utf8(found)
-            ends = off[np.concatenate([[0], np.cumsum(size)])]
-            blob = raw.tobytes()
-            texts = [blob[a:z].decode("utf-8", "replace") for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "out"])
-
-    schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "out string"])
-    made = renamed.mapInArrow(run, schema)
-    return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("out").alias(out))
+    mark = "\u0100"  # no byte
+    table = F.split(F.lit(mark.join(p.decode("latin-1") for p in pieces(path).to_pylist())), mark)
+    parts = F.transform(F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")), lambda i: F.coalesce(F.get(table, i), F.lit("")))
+    raw = F.encode(F.array_join(parts, ""), "ISO-8859-1")
+    return docs.withColumn(out, F.make_valid_utf8(raw.cast("string")))
