@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import END, normalised, slices, utf8
+from paperloom.llm.batches import normalised, slices, utf8
 
 Q = 10
 WINDOW = 66  # normalised characters; every passage of WINDOW + STRIDE holds a whole window
@@ -28,6 +28,7 @@ BLOCK_CHARS = 2_000_000  # benchmark characters that one pass over the documents
 STEP = 1 << 18  # text positions searched at once
 HITS = 4_000_000  # hits held at once
 GAP = 0x110001
+FAR = 1 << 40  # the cost of a place outside the text
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,11 +102,14 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     return Index(*cols, padded, unique, np.append(first, len(key)), win[order], offs[order], seen)
 
 
-def aligned(codes: np.ndarray, ix: Index, window: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Banded alignment of windows against the text from their band on.
+def aligned(
+    codes: np.ndarray, ix: Index, window: np.ndarray, diagonal: np.ndarray, first: np.ndarray, stop: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Banded alignment of windows against one text each, from their band on.
 
-    The text may go on at both ends. Returns (edits, start, end) in ``codes``; a
-    cell holds edits * 1024 + the diagonal where the alignment began.
+    The text, codes ``first`` to ``stop``, may go on at both ends, but no alignment
+    leaves it. Returns (edits, start, end) in ``codes``; a cell holds edits * 1024 +
+    the diagonal where the alignment began.
     """
     width = 4 * EDITS + 2
     lane = np.arange(width)
@@ -114,13 +118,15 @@ def aligned(codes: np.ndarray, ix: Index, window: np.ndarray, diagonal: np.ndarr
     for size in np.unique(ix.size[window]).tolist():
         at = np.flatnonzero(ix.size[window] == size)
         pattern, base = ix.codes[window[at]], begin[at]
-        cost = np.tile(lane, (len(at), 1))
+        lo, hi = first[at][:, None], stop[at][:, None]
+        text = base[:, None] + lane
+        cost = np.where((text >= lo) & (text <= hi), lane, FAR)
         for r in range(size):
-            text = base[:, None] + lane + r
-            sign = np.where((text >= 0) & (text < len(codes)), codes[np.clip(text, 0, len(codes) - 1)], END)
-            new = cost + 1024 * (sign != pattern[:, r : r + 1])
+            new = cost + 1024 * (codes[np.clip(text, 0, len(codes) - 1)] != pattern[:, r : r + 1])
             new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1024)
             cost = np.minimum.accumulate(new - 1024 * lane, axis=1) + 1024 * lane
+            text = text + 1
+            cost[(text < lo) | (text > hi)] = FAR
         best = cost.argmin(axis=1)
         value = cost[np.arange(len(at)), best]
         out[0][at], out[1][at], out[2][at] = value >> 10, base + (value & 1023), base + best + size
@@ -129,7 +135,8 @@ def aligned(codes: np.ndarray, ix: Index, window: np.ndarray, diagonal: np.ndarr
 
 def find(raw: np.ndarray, off: np.ndarray, ix: Index) -> dict[str, np.ndarray]:
     """Verified windows in back-to-back texts: row, window, edits, start, end (code points)."""
-    codes, place, row, _ = normalised(raw, off)
+    codes, place, row, begin = normalised(raw, off)
+    stop = np.append(begin[1:], len(codes)) - 1  # the END of each text
     found: list[tuple[np.ndarray, ...]] = []
     reach = WINDOW + EDITS - Q
 
@@ -173,22 +180,23 @@ def find(raw: np.ndarray, off: np.ndarray, ix: Index) -> dict[str, np.ndarray]:
         last = np.arange(len(pos)) + ix.need[window] - 1
         ok = last < len(pos)
         last[~ok] = 0
-        ok &= (window[last] == window) & (band[last] == band) & (pos[last] - pos <= reach)
+        ok &= (window[last] == window) & (band[last] == band) & (row[pos[last]] == row[pos]) & (pos[last] - pos <= reach)
         if not ok.any():
             return
-        pairs = np.unique(np.stack([window[ok], band[ok]], 1), axis=0)
-        edits, start, end = aligned(codes, ix, pairs[:, 0], (pairs[:, 1] - 1) * step)
+        pairs = np.unique(np.stack([window[ok], band[ok], row[pos[ok]]], 1), axis=0)
+        of = pairs[:, 2]
+        edits, start, end = aligned(codes, ix, pairs[:, 0], (pairs[:, 1] - 1) * step, begin[of], stop[of])
         good = edits <= ix.edits[pairs[:, 0]]
-        found.append((pairs[good, 0], edits[good], start[good], end[good]))
+        found.append((pairs[good, 0], edits[good], start[good], end[good], of[good]))
 
     for lo in range(0, max(len(codes) - Q + 1, 0), STEP):
         search(lo, min(lo + STEP + 2 * WINDOW, len(codes)))
     if not found:
         return {k: np.zeros(0, np.int64) for k in ("row", "window", "edits", "start", "end")}
-    window, edits, start, end = (np.concatenate([f[i] for f in found]) for i in range(4))
+    window, edits, start, end, of = (np.concatenate([f[i] for f in found]) for i in range(5))
     order = np.lexsort((end, start, edits, window))
-    window, edits, start, end = window[order], edits[order], start[order], end[order]
-    return {"row": row[start], "window": window, "edits": edits, "start": place[start], "end": place[end - 1] + 1}
+    window, edits, start, end, of = window[order], edits[order], start[order], end[order], of[order]
+    return {"row": of, "window": window, "edits": edits, "start": place[start], "end": place[end - 1] + 1}
 
 
 def blocks(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str) -> Iterator[Index]:
