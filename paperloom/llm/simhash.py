@@ -237,6 +237,11 @@ def named(prints: DataFrame, least: Column, max_bits: int, bucket: int) -> DataF
     """(fp, name): for each fingerprint the least value of ``least`` over its component."""
     nodes = cut(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(least).alias("least")), "simhash-nodes")
     pairs = cut(links(nodes.select("fp"), max_bits, bucket), "simhash-pairs")
+    return named_by(nodes, pairs)
+
+
+def named_by(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(fp, name): the least ``least`` of ``nodes(fp, least)`` over each component of ``pairs(src, dst)``."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     roots = connected_components(ends, pairs)
     joined = nodes.join(roots, nodes["fp"] == roots["id"], "left").withColumn("root", F.coalesce("component", "fp"))
@@ -271,13 +276,21 @@ def keep_one(
     in id and text one stays. Texts without words are near-duplicates of each other.
     """
     row = fresh(docs, "_row")
-    has_id = F.col(id_col).isNull().cast("string")
-    key = F.md5(F.concat_ws("\u0000", F.coalesce(F.col(id_col).cast("string"), F.lit("")), has_id, F.coalesce(text, F.lit(""))))
-    keyed = docs.withColumn(row, key)
+    keyed = docs.withColumn(row, row_key(id_col, text))
     prints = fingerprints(keyed.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("text")))
     prints = cut(prints, "simhash")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
-    names = named(prints, first, max_bits, bucket)
+    return kept_rows(docs, keyed, row, prints, named(prints, first, max_bits, bucket))
+
+
+def row_key(id_col: str, text: str) -> Column:
+    """The same for rows that agree in id and text."""
+    has_id = F.col(id_col).isNull().cast("string")
+    return F.md5(F.concat_ws("\u0000", F.coalesce(F.col(id_col).cast("string"), F.lit("")), has_id, F.coalesce(text, F.lit(""))))
+
+
+def kept_rows(docs: DataFrame, keyed: DataFrame, row: str, prints: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows that name their component; of equal rows one."""
     joined = prints.join(names, prints["fingerprint"] == names["fp"])
     # Rows that go are fewer than rows that stay: the texts meet the smaller table.
     gone = cut(joined.filter(F.col("row") != F.col("name.row")).select(F.col("row").alias(row)).distinct(), "simhash-gone")
