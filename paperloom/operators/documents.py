@@ -107,9 +107,15 @@ def sync_documents(
 
 
 def synced_documents(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
-    """IDX-05: the documents of an index; of a key in several batches the last batch counts."""
+    """IDX-05: the documents of an index; of a key in several batches the last batch counts.
+
+    Numbered batches go by their number; other names (time stamps, say) sort as text,
+    before numbers.
+    """
     rows = spark.read.schema(StructType([*schema.fields, StructField("batch", StringType())])).json(path)
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in schema.fieldNames() if c != key]), "batch").alias("_d"))
+    number = F.when(F.col("batch").rlike("^[0-9]{1,38}$"), F.col("batch").cast("decimal(38,0)"))
+    order = F.struct(number.alias("number"), F.col("batch").alias("name"))
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in schema.fieldNames() if c != key]), order).alias("_d"))
     return last.select(*[F.col(c) if c == key else F.col(f"_d.{c}").alias(c) for c in schema.fieldNames()])
 
 

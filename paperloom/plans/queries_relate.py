@@ -550,6 +550,6 @@ def idx05(spark, sf):
     orders = V.table(spark, sf, "orders")
     form = lambda w, n: orders.filter(n).select(F.col("o_orderkey").alias("work_id"), F.concat(F.lit(w), "o_orderpriority").alias("title"))
     first, second = form("old ", "o_orderkey % 2 = 0"), form("new ", "o_orderkey % 4 = 0")
-    D.sync_documents(first, path, "work_id", batch="1")
-    counts = [D.sync_documents(second, path, "work_id", batch="2") for _ in range(2)]
+    D.sync_documents(first, path, "work_id", batch="9")
+    counts = [D.sync_documents(second, path, "work_id", batch="10") for _ in range(2)]
     return D.synced_documents(spark, path, first.schema, "work_id").withColumn("same", F.lit(counts[0] == counts[1]))
