@@ -47,6 +47,13 @@ def crc_bucket(id_col: Column, n: int) -> Column:
     return F.crc32(id_col.cast("string")) % n
 
 
+def parts_by_bytes(df: DataFrame, part_bytes: int) -> int:
+    """Partitions of about ``part_bytes`` for a table, by its size on disk; at least the session's shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // part_bytes)) if size < 1 << 60 else least  # beyond: a size that Spark does not know
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null is an empty text.
 

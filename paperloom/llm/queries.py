@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, archive, bpe, decontaminate, extract, language, simhash, surrogates, toxicity, wordpiece
+from paperloom.llm import ann, archive, bpe, decontaminate, extract, language, payload, simhash, surrogates, toxicity, wordpiece
 from paperloom.llm.batches import crc_bucket, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    out = payload.round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("payload").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_multi_index": op2_multi_index,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_archive": op9_archive,
     "op10_bpe": op10_bpe,
+    "op13_token_ids": op13_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_archive": """
