@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,7 +40,7 @@ from paperloom.session import new_table_path
 END_ID = 0
 FILE_BYTES = 64 << 20  # of a payload file; a longer single document is a file of its own
 PART_BYTES = 64 << 20  # of text a task encodes, by the table's size on disk
-SLICE_BYTES = 2 << 20  # text encoded at once
+SLICE_BYTES = 4 << 20  # text encoded at once
 KNOWN_WORDS = 1 << 18  # encoded words that a task keeps; beyond, it starts anew
 BUCKET_KEYS = 1 << 16  # document keys of an index file
 READ_BYTES = 8 << 20  # payload read at once; a longer document is read alone
@@ -54,6 +55,7 @@ class WordIds:
     """Ids of texts; each distinct word is given to the tokenizer once while it is kept."""
 
     def __init__(self, path: str, most: int = KNOWN_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each of the machine
         self.path, self.most, self.specials = path, most, added_tokens(path)
         self.known: dict[bytes, np.ndarray] = {}
 
@@ -329,7 +331,9 @@ def read_ids(spark: SparkSession, folder: str, ids: DataFrame, path: str, id_col
         if f is not None:
             f.close()
 
-    sorted_spans = spans.repartition("file").sortWithinPartitions("file", "row")
+    # A span is a few bytes and stands for a whole range, so small partitions are not merged.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), files.count())
+    sorted_spans = spans.repartition(parts, "file").sortWithinPartitions("file", "row")
     return sorted_spans.mapInArrow(run, f"doc_id {wide}, start long, n_tokens long, payload binary")
 
 
