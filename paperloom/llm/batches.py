@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -90,6 +91,18 @@ def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBa
         start = end
 
 
+def arrays(**named: np.ndarray) -> bytes:
+    """Numpy arrays as the bytes of an uncompressed npz file."""
+    buffer = io.BytesIO()
+    np.savez(buffer, **named)
+    return buffer.getvalue()
+
+
+def arrays_of(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(data)) as z:
+        return {k: z[k] for k in z.files}
+
+
 END = 0x110000  # the sign that ends each text of a batch
 
 

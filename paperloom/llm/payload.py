@@ -17,7 +17,6 @@ that was lost are not named and never read.
 
 from __future__ import annotations
 
-import io
 import json
 import os
 import uuid
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import parts_by_bytes, slices, utf8
+from paperloom.llm.batches import arrays, arrays_of, parts_by_bytes, slices, utf8
 from paperloom.llm.bpe import ENCODE_WORDS, added_tokens, split_chunk, tokenizer, word_list
 from paperloom.llm.perfect import build, joined
 from paperloom.session import new_table_path
@@ -110,16 +109,10 @@ def put(folder: str, name: str, data: bytes | memoryview) -> None:
         out.write(data)
 
 
-def arrays(**named: np.ndarray) -> bytes:
-    buffer = io.BytesIO()
-    np.savez(buffer, **named)
-    return buffer.getvalue()
-
-
 def load(folder: str, name: str) -> dict[str, np.ndarray]:
     fs, base = pafs.FileSystem.from_uri(folder)
-    with fs.open_input_file(f"{base}/{name}") as f, np.load(io.BytesIO(f.read())) as z:
-        return {k: z[k] for k in z.files}
+    with fs.open_input_file(f"{base}/{name}") as f:
+        return arrays_of(f.read())
 
 
 def doc_key(id_col: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, archive, bpe, decontaminate, extract, language, payload, simhash, surrogates, toxicity, wordpiece
+from paperloom.llm import ann, archive, bpe, decontaminate, divergence, extract, language, payload, simhash, surrogates, toxicity, wordpiece
 from paperloom.llm.batches import crc_bucket, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(prepare(spark), sf_dir, "documents"))
+
+
 def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     out = payload.round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -103,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_archive": op9_archive,
     "op10_bpe": op10_bpe,
+    "op12_divergence": op12_divergence,
     "op13_token_ids": op13_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +123,42 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN first <> page_id THEN first END AS refers_to
         FROM f
     """,
+    "op12_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+            FROM documents
+        ), t AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM d
+        ), kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+        ), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+        ), c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+        ), g AS (SELECT DISTINCT lang, source FROM d
+        ), gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+        ), p AS (
+            SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n,
+                1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (gn.total + v.v) AS p
+            FROM gn JOIN v USING (lang) JOIN kept k USING (lang)
+            LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term
+        ), cl AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL
+        ), ln AS (SELECT lang, sum(n) AS total FROM cl GROUP BY lang
+        ), q AS (
+            SELECT lang, term, 1 + (1000000000::HUGEINT * (cl.n + 1)) // (ln.total + v.v) AS q FROM cl JOIN ln USING (lang) JOIN v USING (lang)
+        ), sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), pair AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ), term AS (
+            SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value
+            FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+            FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+        )
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
