@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import ann, archive, bpe, decontaminate, divergence, extract, language, payload, simhash, surrogates, toxicity, wordpiece
+from paperloom.llm import ann, archive, bpe, decontaminate, divergence, extract, language, payload, simhash, spelling, surrogates, toxicity, wordpiece
 from paperloom.llm.batches import crc_bucket, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(prepare(spark), sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(prepare(spark), sf_dir, "documents"))
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_archive": op9_archive,
     "op10_bpe": op10_bpe,
+    "op11_spelling": op11_spelling,
     "op12_divergence": op12_divergence,
     "op13_token_ids": op13_token_ids,
 }
