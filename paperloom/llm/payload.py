@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,7 @@ END_ID = 0
 FILE_BYTES = 64 << 20  # of a payload file; a longer single document is a file of its own
 PART_BYTES = 64 << 20  # of text a task encodes, by the table's size on disk
 SLICE_BYTES = 4 << 20  # text encoded at once
-KNOWN_WORDS = 1 << 18  # encoded words that a task keeps; beyond, it starts anew
+KNOWN_WORDS = 1 << 19  # encoded words that a worker keeps, also for its next task; beyond, it starts anew
 BUCKET_KEYS = 1 << 16  # document keys of an index file
 READ_BYTES = 8 << 20  # payload read at once; a longer document is read alone
 FILE_BITS = 24  # files of one task
@@ -56,16 +57,16 @@ class WordIds:
     def __init__(self, path: str, most: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each of the machine
         self.path, self.most, self.specials = path, most, added_tokens(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def of_words(self, words: list[bytes]) -> list[np.ndarray]:
+    def of_words(self, words: list[bytes]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known = {}
         new = [w for w in words if w not in self.known]
         for at in range(0, len(new), ENCODE_WORDS):
             part = new[at : at + ENCODE_WORDS]
             found = tokenizer(self.path).encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(part, found, strict=True))
+            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
         return [self.known[w] for w in words]
 
     def of_texts(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +78,8 @@ class WordIds:
             coded = word_list(raw, words)
             lists = self.of_words(coded.dictionary.to_pylist())
             per_word = coded.indices.to_numpy()
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.concatenate([np.zeros(0, np.uint32), *lists])
+        size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), np.uint32)
         start = np.cumsum(size) - size
         count = size[per_word]
         ends = np.concatenate([[0], np.cumsum(count)])
@@ -91,6 +92,11 @@ class WordIds:
         return out, np.concatenate([[0], text_ends + np.arange(1, n + 1)])
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordIds:
+    return WordIds(path)
+
+
 @lru_cache(maxsize=4)
 def id_type(path: str) -> str:
     """Width of an id in the files: 2 bytes if the vocabulary of ``path`` fits, else 4."""
@@ -135,7 +141,7 @@ def written(docs: DataFrame, path: str, folder: str, file_bytes: int = FILE_BYTE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        encoder, task = WordIds(path), TaskContext.get().partitionId()
+        encoder, task = encoder_of(path), TaskContext.get().partitionId()
         state = {"number": 0, "size": 0, "held": [], "sizes": [], "keys": []}
 
         def close() -> pa.RecordBatch:
