@@ -12,7 +12,7 @@ import corpus_pipeline
 from paperloom.llm import bpe, queries, surrogates, toxicity
 from paperloom.llm.batches import crc_bucket, prepare, utf8
 from paperloom.session import cut
-from tests.llm.test_duplicates_and_search import components, plain_simhash
+from tests.llm.test_near_copies import plain_kept
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[2]
@@ -52,8 +52,8 @@ def test_toxicity_stage(spark, stages):
 def test_near_duplicate_stage(stages):
     given, kept = rows(stages[1][0]), rows(stages[1][1])
     ids = sorted(given)
-    names = components([plain_simhash(given[i]["text"]) for i in ids], ids)
-    assert set(kept) == set(names) and all(given[i] == r for i, r in kept.items())
+    names = {ids[k] for k in plain_kept([given[i]["text"] for i in ids])}
+    assert set(kept) == names and all(given[i] == r for i, r in kept.items())
 
 
 def test_decontamination_stage(spark, stages):
