@@ -313,46 +313,6 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     )
 
 
-def modularity_communities(vertices: DataFrame, edges: DataFrame, rounds: int = 4, start: DataFrame | None = None) -> DataFrame:
-    """GRA-04: greedy modularity moves on top of label propagation.
-
-    Each round lets the nodes of one hash parity move to the neighbouring
-    community with the best gain, so two neighbours rarely swap labels; a round
-    that would lower the modularity is not taken. The result is therefore never
-    worse than its start.
-    """
-    links = cut(undirected(edges), "mod-links")
-    labels = cut(start if start is not None else label_propagation(vertices, edges), "mod-start")
-    degree = cut(links.groupBy("src").agg(F.count(F.lit(1)).alias("k")), "mod-degree")
-    two_m = links.count()
-    score = modularity(links, labels).first()["modularity"] or 0.0
-    for step in range(rounds):
-        own = labels.join(degree, labels["id"] == degree["src"]).select("id", "community", "k")
-        totals = own.groupBy("community").agg(F.sum("k").alias("tot"))
-        around = (
-            links.join(labels, links["src"] == labels["id"])
-            .groupBy(F.col("dst").alias("id"), F.col("community").alias("to")).agg(F.count(F.lit(1)).alias("k_in"))
-        )
-        options = (
-            around.join(own, "id")
-            .join(totals.select(F.col("community").alias("to"), "tot"), "to")
-            .withColumn("_rest", F.col("tot") - F.when(F.col("to") == F.col("community"), F.col("k")).otherwise(0))
-            .withColumn("gain", F.col("k_in") - F.col("_rest") * F.col("k") / F.lit(float(two_m)))
-        )
-        best = options.groupBy("id").agg(F.max_by("to", F.struct("gain", (F.col("to") == F.col("community")).alias("stay"))).alias("to"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == step % 2
-        moved = cut(
-            labels.join(best, "id", "left").select(
-                "id", F.when(turn, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community")
-            ),
-            "mod-labels",
-        )
-        new_score = modularity(links, moved).first()["modularity"] or 0.0
-        if new_score >= score:
-            labels, score = moved, new_score
-    return labels
-
-
 # --- scores -------------------------------------------------------------------
 
 
@@ -426,7 +386,9 @@ def field_structure(
     if method == "labels":
         found = label_propagation(papers, edges, own_vote=True)
     elif method == "modularity":
-        found = modularity_communities(papers, edges)
+        from paperloom.operators.communities import louvain  # which builds on this module
+
+        found = louvain(papers, edges)
     elif method == "components":
         found = connected_components(papers, edges).withColumnRenamed("component", "community")
     else:

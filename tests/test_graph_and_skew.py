@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.operators import corpus as K
+from paperloom.operators import communities as C
 from paperloom.operators import graph as G
 from paperloom.operators import skew as S
 from tests.conftest import rows
@@ -62,7 +63,7 @@ def test_bridge_and_labels(spark):
     comm = spark.createDataFrame([(i, 1 if i < 10 else 2) for i in (1, 2, 3, 11, 12, 13)], "id long, community int")
     assert rows(G.bridge_scores(e, comm)) == [(11, 1.0), (3, 1.0)]
     labels = G.label_propagation(v, e, 5)
-    moved = G.modularity_communities(v, e, 4, labels)
+    moved = C.louvain(v, e, labels)
     m = lambda c: G.modularity(e, c).first()["modularity"]
     assert m(moved) >= m(labels)
 
