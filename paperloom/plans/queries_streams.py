@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from paperloom.operators import aggregates as A
@@ -39,31 +37,50 @@ def change_log(spark, sf):
     return spark.read.schema(c.schema).parquet(path)
 
 
-@query("str02_apply_changes", """
-  WITH c AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS t FROM events WHERE event_type <> 'view')
-  SELECT user_id, coalesce(arg_max(event_id, event_id) FILTER (event_type <> 'error'), max(event_id)) AS event_id,
-    coalesce(arg_max(value, event_id) FILTER (event_type <> 'error'), arg_max(value, event_id)) AS value,
-    arg_max(event_type, event_id) = 'error' AS is_deleted, count(*) AS n FROM c GROUP BY 1""".replace(", count(*) AS n", ""))
+STATE_SQL = """
+  WITH c AS (SELECT * FROM events WHERE event_type <> 'view')
+  SELECT user_id, coalesce(arg_max(event_id, {order}) FILTER (event_type <> 'error'), arg_max(event_id, {order})) AS event_id,
+    coalesce(arg_max(value, {order}) FILTER (event_type <> 'error'), arg_max(value, {order})) AS value,
+    arg_max(event_type, {order}) = 'error' AS is_deleted FROM c GROUP BY 1""".replace("{order}", "(date_trunc('millisecond', ts), event_id)")
+
+
+@query("str02_apply_changes", STATE_SQL)
 def str02(spark, sf):
     state = S.current_state(change_log(spark, sf), ["user_id"], ["event_id", "value"], order=F.col("event_id"))
     return state.select("user_id", "event_id", "value", "is_deleted")
 
 
+@query("str05_increment", STATE_SQL)
+def str05(spark, sf):
+    """Two increments of the log, the later half of the events first, and the first once more."""
+    log = change_log(spark, sf)
+    table = S.StateTable(spark, new_table_path(spark, "state"), ["user_id"], ["event_id", "value"], order="event_id")
+    middle = log.agg(F.avg("event_id").alias("m")).scalar()
+    later = F.col("event_id") >= middle
+    for batch, part in enumerate((later, ~later, later)):
+        table.apply(log.filter(part), batch)
+    return table.state().select("user_id", "event_id", "value", "is_deleted")
+
+
+def written(spark, result, keys):
+    return S.run_to_table(result, keys, new_table_path(spark, "updates"), new_table_path(spark, "checkpoint"))
+
+
 @query("str04_counters", """
   SELECT 'users' AS "table", count(*) FILTER (event_type <> 'view') AS processed, count(*) FILTER (event_type = 'view') AS failed FROM events""")
 def str04(spark, sf):
-    return S.run_to_table(S.handler_counts(change_stream(spark, sf)), f"counters_{uuid.uuid4().hex}")
+    return written(spark, S.handler_counts(change_stream(spark, sf)), ["table"])
 
 
 @query("str06_live_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def str06(spark, sf):
-    return S.run_to_table(S.live_counts(event_stream(spark, sf), "event_type"), f"live_{uuid.uuid4().hex}")
+    return written(spark, S.live_counts(event_stream(spark, sf), "event_type"), ["event_type"])
 
 
 @query("str06_daily_windows", """
   SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def str06w(spark, sf):
-    w = S.run_to_table(S.window_counts(event_stream(spark, sf), "event_type", "1 day"), f"windows_{uuid.uuid4().hex}")
+    w = written(spark, S.window_counts(event_stream(spark, sf), "event_type", "1 day"), ["window_start", "event_type"])
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -72,8 +89,58 @@ def str06w(spark, sf):
     concat_ws(',', CASE WHEN count(*) FILTER (event_type = 'click') > 15 THEN 'click' END, CASE WHEN count(*) FILTER (event_type = 'error') > 12 THEN 'error' END) AS exceeded
   FROM events GROUP BY 1""")
 def str07(spark, sf):
-    b = S.budget_state(event_stream(spark, sf), "user_id", "event_type", {"click": 15, "error": 12})
-    return S.run_to_table(b, f"budget_{uuid.uuid4().hex}")
+    return written(spark, S.budget_state(event_stream(spark, sf), "user_id", "event_type", {"click": 15, "error": 12}), ["user_id"])
+
+
+CHANGES_SQL = """SELECT event_id, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' WHEN 'view' THEN {unknown} ELSE 'UPDATE' END AS operation,
+  'users' AS "table", user_id, epoch_ms(date_trunc('{unit}', ts)) AS at_ms, event_type <> 'view' AS ok FROM events"""
+
+
+def parsed_changes(lines, form):
+    return S.parse_changes(lines, form=form).select(
+        F.try_variant_get("data", "$.event_id", "long").alias("event_id"), "operation", "table",
+        F.try_variant_get("data", "$.user_id", "long").alias("user_id"), F.unix_millis("ts").alias("at_ms"), "ok")
+
+
+@query("str01_maxwell", CHANGES_SQL.replace("{unknown}", "'BOOTSTRAP-START'").replace("{unit}", "second"))
+def str01_maxwell(spark, sf):
+    kind = F.col("event_type")
+    op = F.when(kind == "signup", "insert").when(kind == "error", "delete").when(kind == "view", "bootstrap-start").otherwise("update")
+    data = F.struct("user_id", "event_id", "value")
+    lines = V.table(spark, sf, "events").withColumn("ts", F.unix_seconds(F.col("ts").cast("timestamp"))).select(F.to_json(F.struct(
+        F.lit("library").alias("database"), F.lit("users").alias("table"), op.alias("type"), F.col("ts"), data.alias("data"))).alias("value"))
+    return parsed_changes(lines, "maxwell")
+
+
+@query("str01_debezium", CHANGES_SQL.replace("{unknown}", "NULL").replace("{unit}", "millisecond"))
+def str01_debezium(spark, sf):
+    kind = F.col("event_type")
+    op = F.when(kind == "signup", "c").when(kind == "error", "d").when(kind == "view", "m").otherwise("u")
+    data, gone = F.struct("user_id", "event_id", "value"), kind == "error"
+    lines = V.table(spark, sf, "events").select(F.to_json(F.struct(
+        op.alias("op"), F.struct(F.lit("users").alias("table")).alias("source"), F.when(~gone, data).alias("after"),
+        F.when(gone, data).alias("before"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))).alias("value"))
+    return parsed_changes(lines, "debezium")
+
+
+@query("str03_fan_out", """
+  SELECT 'deletes' AS sink, count(*) FILTER (event_type = 'error') AS n, sum(event_id) FILTER (event_type = 'error')::BIGINT AS ids FROM events
+  UNION ALL SELECT 'all', count(*), sum(event_id)::BIGINT FROM events""")
+def str03(spark, sf):
+    """Every batch of the stream in two sinks, each of which overwrites its own batch."""
+    rows = event_stream(spark, sf).select("event_id", "event_type")
+    paths = {"deletes": new_table_path(spark, "sink"), "all": new_table_path(spark, "sink")}
+
+    def sink(name, keep):
+        return lambda batch, n: batch.filter(keep).write.mode("overwrite").parquet(f"{paths[name]}/{n}")
+
+    S.fan_out(rows, {"deletes": sink("deletes", "event_type = 'error'"), "all": sink("all", "true")}, new_table_path(spark, "checkpoint"))
+    parts = [
+        spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(path).agg(
+            F.lit(name).alias("sink"), F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+        for name, path in paths.items()
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 # --- design notes ----------------------------------------------------------------------
