@@ -561,22 +561,42 @@ def sample_neighbourhood(
     return picked.filter(F.col("_rn") <= limit).select("seed", "other", "type")
 
 
-def pair_counts(links: DataFrame, group: str, member: str, a: str = "a", b: str = "b") -> DataFrame:
-    """GRA-14 / DSN-05: groups in which two members meet, a < b.
+PAIR_BLOCK = 1_024  # members of a group that one list holds, about
 
-    For members of a limited vocabulary (topics, institutions). Groups with the
-    same member set are counted first, and pairs are built once per distinct
-    set, so repeated groups add no pairs.
+
+def pair_counts(
+    links: DataFrame, group: str, member: str, a: str = "a", b: str = "b", block: int = PAIR_BLOCK
+) -> DataFrame:
+    """GRA-14 / DSN-05: groups in which two members meet, a < b. Null members and repeated links count nothing.
+
+    Small groups with the same member set are counted first, and pairs are built
+    once per distinct set, so repeated groups add no pairs. A group of more than
+    ``block`` links is cut into blocks by a hash of the member; each pair of blocks
+    is a row of its own, so no list grows with the group.
     """
+    links = links.select(F.col(group).alias("_g"), F.col(member).alias("_m")).filter("_m is not null")
+    large = links.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")).filter("_blocks > 1")
+    large = cut(large, "large-groups")
+    some = not large.isEmpty()
+    small = links.join(large, links["_g"].eqNullSafe(large["_g"]), "left_anti") if some else links
     sets = (
-        links.groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("_set"))
+        small.groupBy("_g").agg(F.array_sort(F.collect_set("_m")).alias("_set"))
         .filter(F.size("_set") > 1).groupBy("_set").agg(F.count(F.lit(1)).alias("_n"))
     )
     left = sets.select("_set", "_n", F.posexplode("_set").alias("_i", a))
     right = F.slice("_set", F.col("_i") + 2, F.size("_set"))
-    return (
-        left.select(a, "_n", F.explode(right).alias(b)).groupBy(a, b).agg(F.sum("_n").alias("n_groups"))
-    )
+    pairs = left.select(a, "_n", F.explode(right).alias(b))
+    if some:
+        dealt = links.join(large.withColumnRenamed("_g", "_l"), links["_g"].eqNullSafe(F.col("_l")))
+        own = F.pmod(F.xxhash64("_m"), F.col("_blocks")).cast("int").alias("_i")
+        lists = cut(dealt.groupBy("_g", own).agg(F.collect_set("_m").alias("_set")), "member-blocks")
+        other = lists.select(F.col("_g").alias("_o"), F.col("_i").alias("_j"), F.col("_set").alias("_with"))
+        met = lists.join(other, lists["_g"].eqNullSafe(other["_o"]) & (F.col("_i") <= F.col("_j")))
+        met = met.select("_i", "_j", "_with", F.explode("_set").alias("_x"))
+        met = met.select("_x", F.explode(F.filter("_with", lambda y: (F.col("_i") < F.col("_j")) | (y > F.col("_x")))).alias("_y"))
+        crossed = met.select(F.least("_x", "_y").alias(a), F.lit(1).cast("long").alias("_n"), F.greatest("_x", "_y").alias(b))
+        pairs = pairs.unionByName(crossed)
+    return pairs.groupBy(a, b).agg(F.sum("_n").alias("n_groups"))
 
 
 def hits(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:

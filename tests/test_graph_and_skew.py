@@ -1,11 +1,13 @@
 """Graph results against plain Python, and operators under one hot key."""
 
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from paperloom.operators import corpus as K
 from paperloom.operators import communities as C
+from paperloom.operators import corpus as K
 from paperloom.operators import graph as G
 from paperloom.operators import skew as S
 from tests.conftest import rows
@@ -119,6 +121,21 @@ def test_top_n_limits_before_the_exchange(hot, capsys):
     assert top.filter("k = 0").count() == 3
 
 
+@pytest.mark.parametrize("block", [3, 20, 1000])
+def test_pair_counts_of_large_groups_in_blocks(spark, block):
+    rng = random.Random(4)
+    links = [(g, f"m{rng.randrange(60):02d}") for g in (1, None, 2) for _ in range(90)]  # most links are in three groups
+    links += [(g, f"m{rng.randrange(8):02d}") for g in range(10, 40) for _ in range(3)] + [(1, None), (3, "m01")]
+    want = {}
+    for g in {g for g, _ in links}:
+        own = sorted({m for h, m in links if h == g and m is not None})
+        for i, x in enumerate(own):
+            for y in own[i + 1 :]:
+                want[x, y] = want.get((x, y), 0) + 1
+    got = G.pair_counts(spark.createDataFrame(links, "w long, t string"), "w", "t", block=block).collect()
+    assert {(r["a"], r["b"]): r["n_groups"] for r in got} == want and len(got) == len(want)
+
+
 def test_pair_counts_under_a_hot_group(spark):
     links = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "a"), (2, "a"), (2, "b"), (3, "a")], "w long, t string")
     assert rows(G.pair_counts(links, "w", "t")) == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
