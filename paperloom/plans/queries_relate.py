@@ -463,18 +463,20 @@ def ups10(spark, sf):
 # --- search documents -----------------------------------------------------------------
 
 
-@query("idx01_work_docs", f"""
+WORK_DOCS_SQL = f"""
   WITH au AS (SELECT work_id, string_agg(author_id::VARCHAR, ',' ORDER BY author_order, author_id) AS a, count(*) AS n FROM (
-        SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY author_order, author_id) AS rn FROM ({V.WORK_AUTHORS_SQL})) WHERE rn <= 2 GROUP BY 1),
+        SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY author_order, author_id) AS rn FROM ({V.WORK_AUTHORS_SQL})) WHERE rn <= [authors] GROUP BY 1),
     co AS (SELECT work_id, string_agg(concept || ':' || score, ',' ORDER BY score DESC, concept) AS c FROM (
-        SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY score DESC, concept) AS rn FROM ({V.WORK_CONCEPTS_SQL})) WHERE rn <= 20 GROUP BY 1),
+        SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY score DESC, concept) AS rn FROM ({V.WORK_CONCEPTS_SQL})) WHERE rn <= [concepts] GROUP BY 1),
     ii AS (SELECT work_id, string_agg(n_name, ',' ORDER BY n_name, n_nationkey) AS i FROM (
         SELECT DISTINCT l_orderkey AS work_id, n_nationkey, n_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey) GROUP BY 1)
   SELECT o_orderkey AS work_id, coalesce(a, '') AS authors, coalesce(n, 0)::INTEGER AS n_authors, coalesce(c, '') AS concepts, coalesce(i, '') AS institutions,
     c_mktsegment AS venues, 'Order ' || o_orderkey || ' ' || o_orderpriority AS full_text
   FROM orders LEFT JOIN au ON au.work_id = o_orderkey LEFT JOIN co ON co.work_id = o_orderkey LEFT JOIN ii ON ii.work_id = o_orderkey
-  LEFT JOIN customer ON c_custkey = o_custkey""")
-def idx01(spark, sf):
+  LEFT JOIN customer ON c_custkey = o_custkey"""
+
+
+def work_docs(spark, sf, **caps):
     t = lambda n: V.table(spark, sf, n)
     works = t("orders").select(F.col("o_orderkey").alias("work_id"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.col("o_orderpriority").alias("abstract"))
     authors = V.work_authors(spark, sf).withColumn("name", F.col("author_id").cast("string"))
@@ -482,7 +484,7 @@ def idx01(spark, sf):
         t("nation").select(F.col("n_nationkey").alias("institution_id"), F.col("n_name").alias("name")), "institution_id")
     venues = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("work_id"), F.col("c_mktsegment").alias("name"), F.lit(True).alias("is_primary"))
-    d = D.work_documents(works, authors, V.work_concepts(spark, sf), inst, venues, max_authors=2, max_concepts=20)
+    d = D.work_documents(works, authors, V.work_concepts(spark, sf), inst, venues, **caps)
     return d.select(
         "work_id", F.array_join("authors.name", ",").alias("authors"), F.size("authors").alias("n_authors"),
         F.array_join(F.transform("concepts", lambda c: F.concat_ws(":", c["concept"], c["score"])), ",").alias("concepts"),
@@ -490,6 +492,17 @@ def idx01(spark, sf):
     )
 
 
+@query("idx01_work_docs", WORK_DOCS_SQL.replace("rn <= [authors]", "true").replace("rn <= [concepts]", "true"))
+def idx01(spark, sf):
+    return work_docs(spark, sf)
+
+
+@query("idx01_capped", WORK_DOCS_SQL.replace("[authors]", "2").replace("[concepts]", "20"))
+def idx01_capped(spark, sf):
+    """The lists cut as a search index may want them."""
+    return work_docs(spark, sf, max_authors=2, max_concepts=20)
+
+
 @query("idx02_author_docs", V.with_graph(f"""
   , wa AS (SELECT DISTINCT author_id, work_id FROM ({V.WORK_AUTHORS_SQL})), n AS (SELECT dst, count(*) AS c FROM citations GROUP BY 1),
     k AS (SELECT author_id, count(*) AS w, coalesce(sum(c), 0)::BIGINT AS c FROM wa LEFT JOIN n ON dst = work_id GROUP BY 1),
