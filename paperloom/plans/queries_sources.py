@@ -128,3 +128,31 @@ def src12(spark, sf):
     store, links = T.store_binaries(spark, path, "*.txt")
     n = links.groupBy("sha256").agg(F.count(F.lit(1)).alias("n_files"))
     return n.join(store.groupBy("sha256").agg(F.count(F.lit(1)).cast("int").alias("n_stored")), "sha256")
+
+
+# Tables of the dictionary, with their columns' types; numbers also have ranges.
+LISTED = {
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+}
+DESCRIBED = {"supplier": "Authors of the derived works", "documents": "Texts"}
+
+
+def dictionary_sql() -> str:
+    parts = ["SELECT 'absent' AS table_name, NULL::INTEGER AS position, NULL AS column_name, NULL AS data_type, NULL AS description, 'not found' AS skipped,"
+             " NULL::BIGINT AS row_count, NULL::BIGINT AS null_count, NULL::DOUBLE AS low, NULL::DOUBLE AS high"]
+    for name, columns in LISTED.items():
+        about = f"'{DESCRIBED[name]}'" if name in DESCRIBED else "NULL"
+        for i, (c, kind) in enumerate(columns.items()):
+            ends = "NULL, NULL" if kind == "string" else f"min({c})::DOUBLE, max({c})::DOUBLE"
+            parts.append(f"SELECT '{name}', {i}, '{c}', '{kind}', {about}, NULL, count(*), count(*) - count({c}), {ends} FROM {name}")
+    return " UNION ALL ".join(parts)
+
+
+@query("src06_dictionary", dictionary_sql())
+def src06(spark, sf):
+    """Counts and ranges of the given tables from their footers; one table is not there."""
+    d = T.stored_dictionary(spark, {name: f"{sf}/{name}.parquet" for name in [*LISTED, "absent"]}, DESCRIBED)
+    return d.select("table_name", "position", "column_name", "data_type", F.col("table_description").alias("description"), "skipped", "row_count", "null_count", "low", "high")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.session import cut
+from paperloom.session import cut, path_exists
 
 TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 NESTED = (T.StructType, T.MapType, T.ArrayType, T.VariantType)
@@ -91,6 +95,79 @@ def data_dictionary(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(column, rows, nulls, low, high) of each row group of the parquet files below ``path``, from their footers.
+
+    Tasks read the footers, no data. ``low`` and ``high`` are given for numbers;
+    statistics that a file does not have are null.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        for b in batches:
+            for name in b.column("path").to_pylist():
+                # Spark writes file:/place, the reader wants file:///place.
+                local = name.startswith("file:/") and not name.startswith("file://")
+                system, place = fs.FileSystem.from_uri("file://" + name.removeprefix("file:") if local else name)
+                with system.open_input_file(place) as f:
+                    meta = parquet.ParquetFile(f).metadata
+                out = []
+                for g in range(meta.num_row_groups):
+                    group = meta.row_group(g)
+                    out.append((None, group.num_rows, None, None, None))
+                    for c in range(group.num_columns):
+                        column, stats = group.column(c), group.column(c).statistics
+                        if "." in column.path_in_schema:  # counts of a nested column are not those of its rows
+                            continue
+                        number = stats is not None and stats.has_min_max and isinstance(stats.min, int | float)
+                        low, high = (float(stats.min), float(stats.max)) if number else (None, None)
+                        nulls = stats.null_count if stats is not None and stats.has_null_count else None
+                        out.append((column.path_in_schema, None, nulls, low, high))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                cols = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(cols, names=["column", "rows", "nulls", "low", "high"])
+
+    return files.load(path).select("path").mapInArrow(run, "column string, rows long, nulls long, low double, high double")
+
+
+def stored_dictionary(
+    spark: SparkSession, paths: dict[str, str], tables: dict[str, str] | None = None, columns: dict[str, str] | None = None
+) -> DataFrame:
+    """SRC-06: one row per column of the parquet tables in ``paths``, and one per table that is not there.
+
+    Row counts, null counts and ranges come from the footers, without a scan of the
+    data. ``tables`` and ``columns`` hold descriptions by name. A table without a file has
+    no column, and the reason why it was skipped.
+    """
+    tables, columns = tables or {}, columns or {}
+    parts = []
+    schema = (
+        "table_name string, position int, column_name string, data_type string, nullable boolean,"
+        " table_description string, column_description string, skipped string"
+    )
+    numbers = {"row_count": "long", "null_count": "long", "low": "double", "high": "double"}
+    for name, path in paths.items():
+        there, about = path_exists(spark, path), tables.get(name)
+        fields = spark.read.parquet(path).schema.fields if there else []
+        rows = [(name, i, f.name, f.dataType.simpleString(), f.nullable, about, columns.get(f.name), None) for i, f in enumerate(fields)]
+        listed = spark.createDataFrame(rows or [(name, None, None, None, None, about, None, "not found")], schema)
+        if not there:
+            parts.append(listed.withColumns({c: F.lit(None).cast(kind) for c, kind in numbers.items()}))
+            continue
+        found = footers(spark, path).groupBy("column").agg(
+            F.sum("rows").alias("row_count"), F.when(F.count("nulls") == F.count(F.lit(1)), F.sum("nulls")).alias("null_count"),
+            F.min("low").alias("low"), F.max("high").alias("high"),
+        )
+        found = cut(found, "footers")
+        total = found.filter("column is null").agg(F.coalesce(F.max("row_count"), F.lit(0)).alias("row_count")).scalar()
+        facts = found.filter("column is not null").select(F.col("column").alias("column_name"), "null_count", "low", "high")
+        parts.append(listed.join(facts, "column_name", "left").withColumn("row_count", total))
+    order = [*(c.split()[0] for c in schema.split(",")), *numbers]
+    return reduce(DataFrame.unionByName, [p.select(*order) for p in parts])
+
+
 def write_artifact(df: DataFrame, root: str, run_id: str, name: str, form: str = "json") -> DataFrame:
     """SRC-07: run-scoped artifact; returns (run_id, artifact, rows)."""
     path = f"{root}/run_id={run_id}/{name}"
