@@ -34,12 +34,22 @@ BOILER = frozenset("nav aside footer header form menu dialog".split())
 FLOW = frozenset("html body main article section div center td tr table tbody thead tfoot th blockquote figure figcaption".split())
 ROOT = frozenset("html body main article".split())
 BLOCK = FLOW | BOILER | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre address hr fieldset details summary caption title".split())
-# Words in class and id values that name parts beside the article.
+# Words that, as the noun of a class or id name, make it a part beside the article.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo comment comments reply replies respond disqus cookie cookies "
     "consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended sidebar "
     "side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead widget toolbar pagination pager tags skip form".split()
 )
+# Words that follow the noun of such a name and say nothing of their own ("related-posts", "ad-slot-2").
+TAIL = frozenset(
+    "area bar block box button buttons col column container content group icon icons inner item items label left link links list main "
+    "outer panel post posts article articles right row section slot stories story top bottom text title unit wrap wrapper".split()
+)
+WITHOUT = frozenset("no has with without".split())  # "has-sidebar" tells of a part, it is none
+NAMES_IT = frozenset("article entry post story content".split())  # "article-header" is the article's own
+READERS = frozenset("comment comments reply replies respond disqus".split())
+WRAPPERS = frozenset("form sidebar side widget modal overlay".split())  # parts that sites also wrap whole pages in
+WRAPS = 0.9  # share of the paragraph words that a part holds only if it wraps the page
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 CLOSES_P = BLOCK - frozenset({"td", "th", "tr", "tbody", "thead", "tfoot", "title"})
 
@@ -50,17 +60,22 @@ TOKEN = re.compile(
     |(?P<text>(?:[^<]|<(?![a-zA-Z/!?]))+|<)""",
     re.X | re.S | re.I,
 )
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
 @dataclass(slots=True)
 class Element:
     tag: str
-    zone: str  # nearest surrounding part that is more than flow
-    beside: bool  # in a part that never belongs to an article
+    parent: int
+    part: str  # what its tag, class, id or role makes it, if that is a part beside an article
     hidden: bool
     inside: bool  # in an article
+    reader: bool  # in a part of reader comments
+    paragraph: bool  # in a paragraph
+    words: int = 0  # of paragraphs in it
+    zone: str = ""  # nearest surrounding part
     key: str = ""
+    beside: bool = False  # in a part that never belongs to an article
 
 
 @dataclass(slots=True)
@@ -74,73 +89,154 @@ class Piece:
     tag: str = ""
 
 
-def child_of(top: Element, tag: str, attr: str) -> Element:
-    """An open element in the context of the one around it."""
-    zone, beside, hidden = top.zone, top.beside, top.hidden or tag in HIDDEN
-    own = ""
+def part_of(name: str, inside: bool) -> str:
+    """The part beside an article that one class or id name stands for, or nothing.
+
+    The noun decides: the last word that is no mere place or box. Words before it
+    only describe it, so "related-work" and "ad-free" are text, "related-posts" is not.
+    """
+    words = [w for w in re.split(r"[_\W]+|(?<=[a-z])(?=[A-Z])", name) if w]
+    words = [w.lower() for w in words]
+    at = len(words) - 1
+    while at > 0 and (words[at] in TAIL or words[at].isdigit()):
+        at -= 1
+    if at < 0 or words[at] not in BESIDE or (at and words[at - 1] in WITHOUT):
+        return ""
+    if words[at] == "header" and (inside or words[0] in NAMES_IT):
+        return ""  # as the header element of an article, which names it
+    return words[at]
+
+
+def child_of(top: Element, at: int, tag: str, attr: str) -> Element:
+    """An element in the one at ``at`` of the list."""
+    part, hidden = "", top.hidden or tag in HIDDEN
     if attr:
         for m in NAMED.finditer(attr):
-            what, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
+            what, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if what in ("class", "id"):
-                for w in re.split(r"[\s_-]+", value):
-                    if w in BESIDE and tag not in ("html", "body", "article", "main"):
-                        own = own or w
-            elif what == "role" and value in ROLES:
-                own = own or value
-            elif what == "hidden" or (what == "aria-hidden" and value == "true"):
+                for name in value.split():
+                    got = part_of(name, top.inside)
+                    # Roots and articles are no parts, except that each reader comment may be an article.
+                    if got and (tag not in ROOT or tag == "article" and got in READERS):
+                        part = part or got
+            elif what == "role" and value.lower() in ROLES:
+                part = part or value.lower()
+            elif what == "hidden" or (what == "aria-hidden" and value.lower() == "true"):
                 hidden = True
     # The header of an article names it; a header of the page does not.
-    if tag in BOILER and not (tag == "header" and top.inside):
-        zone, beside = tag, True
-    if own:
-        zone, beside = f"{zone}.{own}" if zone else own, True
-    kind = "root" if tag in ROOT else "flow" if tag in FLOW or tag == "header" else tag
-    return Element(tag, zone, beside, hidden, top.inside or tag == "article", f"{zone}>{kind}")
+    if not part and tag in BOILER and not (tag == "header" and top.inside):
+        part = tag
+    return Element(tag, at, part, hidden, top.inside or tag == "article", top.reader or part in READERS, top.paragraph or tag == "p")
+
+
+def tree(page: str) -> tuple[list[Element], list[tuple[str, int, str]]]:
+    """Elements of a page, parents first, and its tokens: (what, element, text or tag). Linear in the page."""
+    elements = [Element("", 0, "", False, False, False, False)]
+    tokens: list[tuple[str, int, str]] = []
+    stack = [0]
+    # Depths of the open elements by tag, of those that are blocks, and of those an inline end tag leaves open.
+    depths: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    walls: list[int] = []
+
+    def add(tag: str, attr: str) -> int:
+        elements.append(child_of(elements[stack[-1]], stack[-1], tag, attr))
+        return len(elements) - 1
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            depths[elements[stack.pop()].tag].pop()
+        for marks in (blocks, walls):
+            while marks and marks[-1] >= depth:
+                marks.pop()
 
-
-def pieces(page: str) -> Iterator[Piece]:
-    """Words and tags of a page in order, each with its context."""
-    stack = [Element("", "", False, False, False, ">flow")]
-    article = 0
     for m in TOKEN.finditer(page):
         text = m.group("text")
         if text is not None:
-            top = stack[-1]
-            n = len(text.split())
-            yield Piece(f"w {top.key}", n, entities.unescape(text), False, top.beside or top.hidden, article > 0)
+            top = elements[stack[-1]]
+            if top.paragraph and not top.hidden:
+                top.words += len(text.split())
+            tokens.append(("text", stack[-1], text))
             continue
         raw = m.group("raw")
         if raw is not None:
-            raw = raw.lower()
-            e = child_of(stack[-1], raw, m.group("rawattr"))
-            # A title belongs to the head even where the head is not written out.
-            yield Piece(f"t {e.key}", 0, "", raw in BLOCK, True, article > 0, raw)
+            tokens.append(("raw", add(raw.lower(), m.group("rawattr")), raw.lower()))
             continue
         tag = m.group("name")
         if tag is None:
             continue
         tag = tag.lower()
         if m.group("close"):
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and tag not in BLOCK and any(e.tag in FLOW | BOILER for e in stack[depth + 1 :]):
+            depth = depths[tag][-1] if depths.get(tag) else 0
+            if depth and tag not in BLOCK and walls and walls[-1] > depth:
                 depth = 0  # an inline end tag does not close the blocks around it
-            e = stack[depth] if depth else child_of(stack[-1], tag, "")
-            if tag == "article" and depth:
-                article = max(article - 1, 0)
-            yield Piece(f"t {e.key}", 0, "", tag in BLOCK, e.beside or e.hidden, article > 0, "/" + tag)
+            tokens.append(("close" if depth else "lone", stack[depth] if depth else add(tag, ""), tag))
             if depth:
-                del stack[depth:]
+                close(depth)
             continue
-        if tag in CLOSES_P or tag == "li":
-            last = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCK), 0)
-            if last and stack[last].tag == "p" or last and tag == "li" and stack[last].tag == "li":
-                del stack[last:]
-        e = child_of(stack[-1], tag, m.group("attr"))
-        yield Piece(f"t {e.key}", 0, "", tag in BLOCK, e.beside or e.hidden, article > 0, tag)
-        if tag == "article":
-            article += 1
+        if (tag in CLOSES_P or tag == "li") and blocks:
+            last = elements[stack[blocks[-1]]].tag
+            if last == "p" or tag == "li" and last == "li":
+                close(blocks[-1])
+        new = add(tag, m.group("attr"))
+        tokens.append(("open", new, tag))
         if tag not in VOID and not m.group("attr").endswith("/"):
-            stack.append(e)
+            depths.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            if tag in FLOW or tag in BOILER:
+                walls.append(len(stack))
+            stack.append(new)
+    return elements, tokens
+
+
+def wrappers(elements: list[Element]) -> set[int]:
+    """Elements around the article, which are no parts beside it whatever they are called.
+
+    They hold the article element with most paragraph words (else the main element);
+    comments of readers do not count. On a page without either, a form, side bar or
+    the like is a wrapper if it holds nine tenths of the paragraph words.
+    """
+    for i in range(len(elements) - 1, 0, -1):
+        elements[elements[i].parent].words += elements[i].words
+    for tag in ("article", "main"):
+        own = [i for i, e in enumerate(elements) if e.tag == tag and not e.reader and not e.hidden]
+        if own:
+            at = max(own, key=lambda i: (elements[i].words, -i))
+            out = {at}
+            while at:
+                at = elements[at].parent
+                out.add(at)
+            return out
+    total = elements[0].words
+    return {i for i, e in enumerate(elements) if total and e.part in WRAPPERS and e.words >= WRAPS * total and not e.paragraph and not e.reader}
+
+
+def pieces(page: str) -> Iterator[Piece]:
+    """Words and tags of a page in order, each with its context."""
+    elements, tokens = tree(page)
+    around = wrappers(elements)
+    for i, e in enumerate(elements):
+        if i:
+            top = elements[e.parent]
+            e.zone, e.beside = top.zone, top.beside
+            if e.part and i not in around:
+                e.zone, e.beside = e.part, True
+        kind = "root" if e.tag in ROOT else "flow" if not i or e.tag in FLOW or e.tag == "header" else e.tag
+        e.key = f"{e.zone}>{kind}"
+    article = 0
+    for what, at, text in tokens:
+        e = elements[at]
+        if what == "text":
+            yield Piece(f"w {e.key}", len(text.split()), entities.unescape(text), False, e.beside or e.hidden, article > 0)
+            continue
+        if what == "close" and text == "article":
+            article = max(article - 1, 0)
+        # The text of a raw element is never part of the result; a title belongs to the head.
+        drop = what == "raw" or e.beside or e.hidden
+        yield Piece(f"t {e.key}", 0, "", text in BLOCK, drop, article > 0, "/" + text if what in ("close", "lone") else text)
+        if what == "open" and text == "article":
+            article += 1
 
 
 @dataclass
