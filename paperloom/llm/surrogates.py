@@ -3,13 +3,16 @@
 Entities are found per text; the distinct ones form a table. Each gets a value of
 the same kind and form, drawn from a keyed digest. Values that meet another
 entity's value or a real entity are drawn again until all differ, so the mapping
-keeps entities apart, and one entity has one value wherever it is named.
+keeps entities apart, and one entity has one value wherever it is named. Names are
+found behind a title; the same words without one, anywhere in that text, are mentions
+of the same name. A given name has the gender that most titles before it tell.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,22 +50,30 @@ SYLLABLES = {
 }
 FEMALE_ENDING = {"latin": "", "cyrillic": "ва"}
 MALE_ENDING = {"latin": "", "cyrillic": "в"}
+# Signs that issuers begin their access keys with.
+KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "xoxb-", "xoxp-")
 RESERVED = ("example.com", "example.net", "example.org")  # fixed: domains set aside for examples
 
 TITLE_PATTERN = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
+KEY_PATTERN = "|".join(map(re.escape, KEY_PREFIXES))
 WORD = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*"
 ENTITY = re.compile(
     rf"""(?P<email>(?<![\w.%+-])[\w.%+-]{{1,64}}@(?:[A-Za-z0-9-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}(?![\w-]))
     |(?P<ip>(?<![\w.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\w|\.\d))
-    |(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?!\w))
+    |(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f]{{0,4}}:)[0-9A-Fa-f:]{{6,39}}(?![\w:]))
+    |(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}|(?:[ ][A-Z0-9]{{4}}){{2,7}}(?:[ ][A-Z0-9]{{1,3}})?)(?!\w))
     |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
-    |(?P<card>(?<![\w.+-])(?:\d{{13,19}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}})(?!\w))
+    |(?P<card>(?<![\w.+-])(?:\d{{13,19}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}})(?!\w))
     |(?P<phone>(?<![\w.+])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)|\d{{2,4}})[ .-]?\d{{3,4}}[ .-]\d{{3,4}}(?:[ .-]?\d{{2,4}})?(?!\w))
+    |(?P<world>(?<![\w.+])\+\d{{1,15}}(?:[ ./()-]{{1,2}}\d{{1,12}}){{0,6}}(?!\w))
     |(?P<secret>(?<!\w)[0-9A-Fa-f]{{32,128}}(?!\w))
+    |(?<!\w)(?:{KEY_PATTERN})(?P<access>[A-Za-z0-9_-]{{16,255}})(?!\w)
     |(?i:password|passwd|secret|api[_-]?key|token)\s*[:=]\s*["']?(?P<key>[^\s"'<>]{{7,127}}[^\s"'<>.,;:!?)])
     |(?<!\w)(?P<title>{TITLE_PATTERN})\.?[ ](?P<name>{WORD}(?:[ ]{WORD}){{0,2}})""",
     re.X,
 )
+WORDS = re.compile(WORD)
+POSSESSIVE = re.compile(r"['’]s$")
 
 
 def script_of(word: str) -> str:
@@ -77,44 +88,119 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_in(value: str) -> str:
+    """The longest run of whole groups whose check digits are right; '' if none."""
+    while len(value) > 14:
+        body = value.replace(" ", "")
+        if len(body) <= 34 and int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1:
+            return value
+        value = value.rpartition(" ")[0]
+    return ""
+
+
+def phone_in(value: str) -> str:
+    """An international number without groups of digits that no longer belong to it."""
+    most = 11 if re.match(r"\+1\b", value) else 15  # numbers of the country code 1 have eleven digits
+    while sum(c.isdigit() for c in value) > most:
+        cut_off = re.sub(r"[ ./()-]+\d+$", "", value)
+        if cut_off == value:
+            return value
+        value = cut_off
+    return value
+
+
+def titled(at: int, value: str, gender: str) -> list[tuple[int, int, str, str]]:
+    """The names behind a title: a name goes on while its words are capitalised."""
+    run = []
+    for w in WORDS.finditer(value):
+        if not w.group()[0].isupper():
+            break
+        run.append((w.start(), POSSESSIVE.sub("", w.group())))
+        if run[-1][1] != w.group():
+            break
+    out = []
+    for i, (start, word) in enumerate(run):
+        kind = "family" if i == len(run) - 1 else "given"
+        sex = gender if kind == "given" or script_of(word) == "cyrillic" else "u"
+        out.append((at + start, at + start + len(word), f"{kind}-{sex}-{script_of(word)}", word))
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of the entities of a text, left to right."""
+    """(start, end, kind, canonical form) of the entities of a text, left to right.
+
+    Names are those behind a title; ``bare`` finds their other mentions.
+    """
     out = []
-    for m in ENTITY.finditer(text):
+    here = 0
+    while m := ENTITY.search(text, here):
         group = m.lastgroup
         value = m.group(group)
         at, end = m.span(group)
+        here = max(m.end(), m.start() + 1)
         if group == "email":
             out.append((at, end, "email", value.lower()))
         elif group == "ip":
             if all(int(x) < 256 for x in value.split(".")):
                 out.append((at, end, "ip", value))
+        elif group == "ip6":
+            try:
+                form = str(ipaddress.IPv6Address(value))
+            except ValueError:
+                here = at + 1  # a time or the like: what follows its first sign may be something else
+                continue
+            if sum(bool(x) for x in form.split(":")) > 2 and re.search(r"\d", form):
+                out.append((at, end, "ip6", form))
         elif group == "iban":
-            out.append((at, end, "iban", value))
-        elif group in ("ssn", "phone", "card"):
+            if " " in value:
+                value = iban_in(value)
+            if value:
+                out.append((at, at + len(value), "iban", value.replace(" ", "")))
+                here = at + len(value)
+            else:
+                here = at + 4
+        elif group in ("ssn", "phone", "card", "world"):
+            value = phone_in(value) if value[0] == "+" else value
+            here = at + len(value)
             digits = re.sub(r"\D", "", value)
-            if group != "phone" or 9 <= len(digits) <= 15:
+            kind = "phone" if group == "world" else group
+            if kind != "phone" or (8 if group == "world" else 9) <= len(digits) <= 15:
                 # The sign of an international number is part of it.
-                out.append((at, end, group, ("+" if value[0] == "+" else "") + digits))
+                out.append((at, here, kind, ("+" if value[0] == "+" else "") + digits))
         elif group == "secret":
             if re.search(r"\d", value) and re.search(r"[A-Fa-f]", value):
                 out.append((at, end, "hex", value.lower()))
+        elif group == "access":
+            out.append((at, end, "key", value))
         elif group == "key":
             if re.search(r"\d", value):
                 kind, form = ("hex", value.lower()) if re.fullmatch(r"[0-9A-Fa-f]{32,128}", value) else ("key", value)
                 out.append((at, end, kind, form))
         elif group == "name":
-            words = [w for w in re.finditer(WORD, value)]
-            run = []
-            for w in words:  # a name goes on while its words are capitalised
-                if not w.group()[0].isupper():
-                    break
-                run.append(w)
-            gender = TITLES[m.group("title")]
-            for i, w in enumerate(run):
-                kind = "family" if i == len(run) - 1 else "given"
-                sex = gender if kind == "given" or script_of(w.group()) == "cyrillic" else "u"
-                out.append((at + w.start(), at + w.end(), f"{kind}-{sex}-{script_of(w.group())}", w.group()))
+            out += titled(at, value, TITLES[m.group("title")])
+    return out
+
+
+def bare(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Mentions, without a title, of the names among ``found``; anywhere in the text but inside entities."""
+    names: dict[str, str] = {}
+    for _, _, kind, form in found:
+        if "-" in kind and len(form) > 2:
+            names.setdefault(form, kind)
+    if not names:
+        return []
+    taken = sorted((a, z) for a, z, *_ in found)
+    out, i = [], 0
+    for w in WORDS.finditer(text):
+        word = POSSESSIVE.sub("", w.group())
+        form = word if word in names else word.capitalize() if word.isupper() else ""
+        if form not in names:
+            continue
+        a, z = w.start(), w.start() + len(word)
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if (i == len(taken) or taken[i][0] >= z) and text[max(a - 1, 0) : a] not in ("@", "_") and text[z : z + 1] not in ("@", "_"):
+            out.append((a, z, names[form], form))
     return out
 
 
@@ -156,6 +242,9 @@ def surrogate(key: bytes, kind: str, form: str, draw: int) -> str:
             low, high = ((0, 10), (10, 100), (100, 256))[len(x) - 1] if draw < MAX_DRAWS // 2 else (0, 256)
             parts.append(str(low + s.below(high - low)))
         return ".".join(parts)
+    if kind == "ip6":  # as many digits in each group
+        first, rest = "123456789abcdef", "0123456789abcdef"
+        return ":".join("".join((rest if i else first)[s.below(16 if i else 15)] for i in range(len(x))) for x in form.split(":"))
     if kind == "card":
         digits = s.like(form, keep=1)
         if luhn(form):  # a valid number stays valid
@@ -192,6 +281,9 @@ def rendered(kind: str, mention: str, value: str) -> str:
     if kind in ("phone", "card", "ssn"):
         digits = iter(value.lstrip("+"))
         return "".join(next(digits) if c.isdigit() else c for c in mention)
+    if kind == "iban":
+        signs = iter(value)
+        return "".join(c if c == " " else next(signs) for c in mention)
     if mention.isupper():
         return value.upper()
     return value
@@ -207,12 +299,13 @@ def signals() -> np.ndarray:
 def found_in(raw: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int, str, str, str]]]:
     """Per text number with entities: (start, end, kind, form, mention), byte offsets in the text.
 
-    Only stretches around digits, @ and titles are searched; every entity holds one.
+    Only stretches around digits, @, titles and key prefixes are searched; every entity
+    holds one. Texts with names are then read whole for their other mentions.
     """
     blob = raw.tobytes()
     at = np.flatnonzero(signals()[raw])
     titles = []
-    for t in TITLES:
+    for t in (*TITLES, *KEY_PREFIXES):
         word, i = t.encode(), -1
         while (i := blob.find(word, i + 1)) >= 0:
             titles.append(i)
@@ -225,6 +318,13 @@ def found_in(raw: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int,
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(at)) - 1
     out: dict[int, list[tuple[int, int, str, str, str]]] = {}
+
+    def keep(r: int, base: int, text: str, plain: bool, got: list[tuple[int, int, str, str]]) -> None:
+        for start, end, kind, form in got:
+            mention = text[start:end]
+            b = start if plain else len(text[:start].encode())
+            out.setdefault(r, []).append((base + b, base + b + len(mention.encode()), kind, form, mention))
+
     for a, z, r in zip(at[first].tolist(), at[last].tolist(), row[first].tolist(), strict=True):
         lo, hi = max(int(off[r]), a - REACH), min(int(off[r + 1]), z + REACH)
         while lo > off[r] and raw[lo] & 0xC0 == 0x80:
@@ -232,12 +332,18 @@ def found_in(raw: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int,
         while hi < off[r + 1] and raw[hi] & 0xC0 == 0x80:
             hi += 1
         text = blob[lo:hi].decode("utf-8", "replace")
-        plain = len(text) == hi - lo
-        base = lo - int(off[r])
-        for start, end, kind, form in entities(text):
-            mention = text[start:end]
-            b = start if plain else len(text[:start].encode())
-            out.setdefault(r, []).append((base + b, base + b + len(mention.encode()), kind, form, mention))
+        keep(r, lo - int(off[r]), text, len(text) == hi - lo, entities(text))
+    for r in [r for r, got in out.items() if any("-" in kind for _, _, kind, _, _ in got)]:
+        whole = blob[off[r] : off[r + 1]]
+        text = whole.decode("utf-8", "replace")
+        plain = len(text) == len(whole)
+        # Where characters begin, to go from bytes to characters and back in one look-up.
+        starts = np.append(np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80), len(whole))
+        place = (lambda b: b) if plain else (lambda b: int(np.searchsorted(starts, b)))
+        found = [(place(a), place(z), kind, form) for a, z, kind, form, _ in out[r]]
+        for a, z, kind, form in bare(text, found):
+            out[r].append((int(starts[a]), int(starts[z]), kind, form, text[a:z]))
+        out[r].sort()
     return out
 
 
@@ -268,23 +374,40 @@ def detected(docs: DataFrame, text: str, want: bool) -> DataFrame:
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *(["spans"] if want else []))
 
 
+def gendered(spans: DataFrame) -> DataFrame:
+    """Kinds of names without the gender, which goes to a column: one name is one entity whatever its title."""
+    part = F.split("kind", "-")
+    name = F.size(part) == 3
+    return spans.withColumn("gender", F.when(name, F.get(part, F.lit(1)))).withColumn(
+        "kind", F.when(name, F.concat_ws("-", F.get(part, F.lit(0)), F.get(part, F.lit(2)))).otherwise(F.col("kind"))
+    )
+
+
 def assigned(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, form, value): one surrogate for each distinct entity, all of a kind different.
 
     A value that equals a real entity or an earlier value is drawn again. The
-    smallest form keeps a value that several entities draw at once.
+    smallest form keeps a value that several entities draw at once. A ``gender``
+    column (m, f, u or null) tells what a mention says; most mentions decide, a tie
+    goes to f, and without any the draw does.
     """
 
     def draw(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = zip(b.column("kind").to_pylist(), b.column("form").to_pylist(), strict=True)
-                values = pa.array([surrogate(key, k, f, n) for k, f in rows], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("form"), values], names=["kind", "form", "value"])
+                values = []
+                for k, f, g in zip(*(b.column(c).to_pylist() for c in ("kind", "form", "gender")), strict=True):
+                    what, _, script = k.partition("-")
+                    values.append(surrogate(key, f"{what}-{g}-{script}" if script else k, f, n))
+                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("form"), pa.array(values, pa.string())], names=["kind", "form", "value"])
 
         return run
 
-    real = cut(found.select("kind", "form").distinct(), "entities")
+    if "gender" not in found.columns:
+        found = gendered(found)
+    he, she = F.count_if(F.col("gender") == "m"), F.count_if(F.col("gender") == "f")
+    told = F.when(he > she, "m").when(she > 0, "f").otherwise("u").alias("gender")
+    real = cut(found.groupBy("kind", "form").agg(told), "entities")
     pending, done = real, None
     for n in range(MAX_DRAWS):
         tried = pending.mapInArrow(draw(n), "kind string, form string, value string")
@@ -310,7 +433,7 @@ def replaced(docs: DataFrame, key: bytes, text: str = "text", out: str = "n_enti
     Null texts stay null with 0 entities; repeated rows get the same result; an
     existing column ``out`` is replaced. Rows without entities are not exchanged.
     Same key, same corpus: same values; the values of entities that do not
-    collide do not depend on the rest of the corpus.
+    collide depend on the rest of the corpus only by the gender that the titles tell.
     """
     keep = [c for c in docs.columns if c != out]
     names = [f"k{i}" for i in range(len(keep))]
@@ -318,7 +441,7 @@ def replaced(docs: DataFrame, key: bytes, text: str = "text", out: str = "n_enti
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)])
     found = cut(detected(inner, names[at], True), "with-entities").withColumn("text_key", F.md5(names[at]))
     # Copies of a text hold the same entities: one list for each distinct text.
-    spans = found.select("text_key", F.explode("spans").alias("s")).select("text_key", "s.*").distinct()
+    spans = gendered(found.select("text_key", F.explode("spans").alias("s")).select("text_key", "s.*").distinct())
     values = assigned(spans, key)
     new = F.collect_list(F.struct("start", "end", "kind", "mention", "value")).alias("new")  # of one text
     lists = spans.join(values, ["kind", "form"]).groupBy("text_key").agg(new)
