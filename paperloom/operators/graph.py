@@ -16,6 +16,7 @@ from paperloom.session import cut, new_table_path
 KEY_PAPER_WEIGHTS = {"pagerank": 0.45, "citations": 0.30, "representative": 0.15, "bridge": 0.10}
 RECENT_FROM_YEAR = 2022
 
+MAX_ROUNDS = 1_000  # of an iteration to a fixed point or a tolerance; more is an error
 HOT_ROWS = 1_000_000  # edges of one node that one task may hold
 
 
@@ -296,6 +297,46 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 3, ow
     return labels
 
 
+def settled_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """GRA-04: (id, community) by label propagation to its fixed point.
+
+    At the end no node has more neighbours with another label than with its own. In
+    a round the nodes that have want to move to the most frequent label around
+    them, ties to the smallest; those whose hash is the least among such neighbours do.
+    No two movers are adjacent, so each move adds links inside communities,
+    the rounds end, and labels never swap for ever. A community is named by its
+    smallest member; nodes without links stay alone.
+    """
+    layout = EdgeLayout(undirected(edges), "src", "dst")
+    rank = F.md5(F.col("id").cast("string"))
+    labels = vertices.select("id", F.col("id").alias("community"))
+    for _ in range(MAX_ROUNDS):
+        # Counted per (node, label) before the choice, so a hub never sends all its neighbours to one task.
+        votes = layout.meet(labels).groupBy(F.col("dst").alias("_n"), "community").agg(F.count(F.lit(1)).alias("_c"))
+        own = labels.select(F.col("id").alias("_n"), F.col("community").alias("_own"))
+        chosen = votes.join(own, "_n").groupBy("_n").agg(
+            F.min(F.struct((-F.col("_c")).alias("c"), F.col("community").alias("l"))).alias("_b"),
+            F.max(F.when(F.col("community") == F.col("_own"), F.col("_c")).otherwise(0)).alias("_stay"),
+        )
+        seen = Observation()
+        want = chosen.filter(-F.col("_b.c") > F.col("_stay")).select(F.col("_n").alias("id"), F.col("_b.l").alias("_to"))
+        want = cut(want.withColumn("_r", rank).observe(seen, F.count(F.lit(1)).alias("n")), "label-moves")
+        if not seen.get["n"]:
+            break
+        around = layout.meet(want).groupBy(F.col("dst").alias("_n")).agg(F.min("_r").alias("_first"))
+        free = want.join(around, want["id"] == around["_n"], "left").filter("_first is null or _r < _first")
+        moves = free.select(F.col("id").alias("_m"), "_to")
+        labels = cut(
+            labels.join(moves, labels["id"] == moves["_m"], "left").select("id", F.coalesce("_to", "community").alias("community")),
+            "labels",
+        )
+    else:
+        raise RuntimeError(f"labels still move after {MAX_ROUNDS} rounds")
+    layout.close()
+    names = labels.groupBy("community").agg(F.min("id").alias("_name"))
+    return labels.join(names, "community").select("id", F.col("_name").alias("community"))
+
+
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """GRA-04: one row, the modularity of a labelling on the undirected graph."""
     links = undirected(edges)
@@ -378,13 +419,13 @@ def field_structure(
 ) -> dict[str, DataFrame]:
     """GRA-07: every metric of one corpus, sharing the intermediate tables.
 
-    ``method`` names the communities: "labels" (label propagation), "modularity" or
-    "components"; no edge leaves a component, so with those no paper is a bridge.
+    ``method`` names the communities: "labels" (label propagation to its fixed point), "modularity"
+    or "components"; no edge leaves a component, so with those no paper is a bridge.
     ``topics(id, topic)`` adds the topic counts.
     """
     ranks = cut(pagerank(papers, edges), "ranks")
     if method == "labels":
-        found = label_propagation(papers, edges, own_vote=True)
+        found = settled_labels(papers, edges)
     elif method == "modularity":
         from paperloom.operators.communities import louvain  # which builds on this module
 
@@ -599,28 +640,35 @@ def pair_counts(
     return pairs.groupBy(a, b).agg(F.sum("_n").alias("n_groups"))
 
 
-def hits(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """DSN-04: (id, hub, authority), L2-normalised; one exchange per half round.
+def hits(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """DSN-04: (id, hub, authority), L2-normalised.
 
-    Norms are only needed at the end: scaling a vector scales all later ones, so
-    the loop runs on raw sums over a fixed power of the adjacency, rescaled by
-    the number of edges to stay in range.
+    Rounds go on until the hubs turn by less than ``tolerance``, which takes the longer
+    the closer the two largest singular values are; ``rounds`` ends them earlier.
+
+    One exchange per half round. The angle between two rounds needs no join: the
+    inner product of the hubs before and after is the squared norm of the authorities
+    between them, so three sums that the rounds collect anyway tell it.
     """
     by_src, by_dst = EdgeLayout(edges, "src", "dst"), EdgeLayout(edges, "dst", "src")
-    scale = 1.0 / max(1, by_src.rows.count()) ** 0.5
     hub = vertices.select("id", F.lit(1.0).alias("x"))
-    auth = None
-    value = F.sum(F.col("x") * F.col("times")) * F.lit(scale)
-    for _ in range(rounds):
-        auth = cut(by_src.meet(hub).groupBy(F.col("dst").alias("id")).agg(value.alias("x")), "hits-auth")
-        hub = cut(by_dst.meet(auth).groupBy(F.col("src").alias("id")).agg(value.alias("x")), "hits-hub")
+    squares = F.sum(F.col("x") * F.col("x")).alias("s")
+    value = F.sum(F.col("x") * F.col("times")).alias("x")
+    norm = vertices.count() ** 0.5
+    for step in range(1, MAX_ROUNDS + 1):
+        seen_a, seen_h = Observation(), Observation()
+        hub = hub.select("id", (F.col("x") / F.lit(norm or 1.0)).alias("x"))
+        auth = cut(by_src.meet(hub).groupBy(F.col("dst").alias("id")).agg(value).observe(seen_a, squares), "hits-auth")
+        hub = cut(by_dst.meet(auth).groupBy(F.col("src").alias("id")).agg(value).observe(seen_h, squares), "hits-hub")
+        met, norm = seen_a.get["s"] or 0.0, (seen_h.get["s"] or 0.0) ** 0.5
+        if not norm or step == rounds or 2 * (1 - met / norm) <= tolerance**2:
+            break
+    else:
+        raise RuntimeError(f"hubs still turn after {MAX_ROUNDS} rounds")
     by_src.close()
     by_dst.close()
-    hub, auth = hub.withColumnRenamed("x", "h"), auth.withColumnRenamed("x", "a")
-    norm_a = auth.agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("n")).scalar()
-    norm_h = hub.agg(F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("n")).scalar()
-    return vertices.select("id").join(hub, "id", "left").join(auth, "id", "left").select(
-        "id",
-        F.coalesce(F.try_divide("h", norm_h), F.lit(0.0)).alias("hub"),
-        F.coalesce(F.try_divide("a", norm_a), F.lit(0.0)).alias("authority"),
+    a = auth.select("id", (F.col("x") / F.lit(met**0.5 or 1.0)).alias("a"))
+    h = hub.select("id", (F.col("x") / F.lit(norm or 1.0)).alias("h"))
+    return vertices.select("id").join(h, "id", "left").join(a, "id", "left").select(
+        "id", F.coalesce("h", F.lit(0.0)).alias("hub"), F.coalesce("a", F.lit(0.0)).alias("authority")
     )

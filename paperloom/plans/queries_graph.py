@@ -66,6 +66,39 @@ def labels_sql(rounds: int = 3, own_vote: bool = False) -> str:
     return ", ".join(parts)
 
 
+SETTLED_ROUNDS = 20  # unrolled in SQL; still_moving shows that the last changes nothing (14 do at scale factor 0.01)
+
+
+def settled_sql(rounds: int = SETTLED_ROUNDS) -> str:
+    """Label propagation to its fixed point, as ``settled(id, l)``."""
+    parts = [
+        "und AS MATERIALIZED (SELECT src, dst FROM citations WHERE src <> dst UNION SELECT dst, src FROM citations WHERE src <> dst)",
+        "l0 AS MATERIALIZED (SELECT id, id AS l FROM papers)",
+    ]
+    for i in range(1, rounds + 1):
+        parts.append(f"v{i} AS MATERIALIZED (SELECT u.dst AS id, q.l, count(*) AS c FROM und u JOIN l{i - 1} q ON q.id = u.src GROUP BY 1, 2)")
+        parts.append(
+            f"w{i} AS MATERIALIZED (SELECT p.id, b.l, md5(p.id::VARCHAR) AS h FROM l{i - 1} p JOIN (SELECT id, l, c FROM"
+            f" (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, l) AS rn FROM v{i}) WHERE rn = 1) b ON b.id = p.id"
+            f" LEFT JOIN v{i} o ON o.id = p.id AND o.l = p.l WHERE b.c > coalesce(o.c, 0))"
+        )
+        parts.append(
+            f"l{i} AS MATERIALIZED (SELECT p.id, CASE WHEN w.l IS NULL OR w.h > f.h THEN p.l ELSE w.l END AS l FROM l{i - 1} p"
+            f" LEFT JOIN w{i} w ON w.id = p.id LEFT JOIN (SELECT u.dst AS id, min(x.h) AS h FROM und u JOIN w{i} x ON x.id = u.src"
+            f" GROUP BY 1) f ON f.id = p.id)"
+        )
+    parts.append(f"settled AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY l) AS l FROM l{rounds})")
+    return ", ".join(parts)
+
+
+@query("gra04_settled", V.with_graph(f"""
+  , {settled_sql()} SELECT id, l AS community, (SELECT count(*) FROM w{SETTLED_ROUNDS}) AS still_moving FROM settled""", True))
+def gra04_settled(spark, sf):
+    cites = V.citations(spark, sf)
+    ids = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return G.settled_labels(ids, cites).withColumn("still_moving", F.lit(0).cast("long"))
+
+
 @query(
     "gra04_labels",
     V.with_graph(f", {labels_sql()} SELECT id, l AS community FROM l3", True).replace("  ,", ","),
@@ -90,29 +123,29 @@ def gra04_modularity(spark, sf):
 @query(
     "gra05_bridge",
     V.with_graph(
-        f", {labels_sql()} SELECT id, count(*)::DOUBLE AS bridge_score FROM (SELECT unnest([c.src, c.dst]) AS id"
-        " FROM citations c JOIN l3 a ON a.id = c.src JOIN l3 b ON b.id = c.dst WHERE a.l <> b.l) GROUP BY id",
+        f", {settled_sql()} SELECT id, count(*)::DOUBLE AS bridge_score FROM (SELECT unnest([c.src, c.dst]) AS id"
+        " FROM citations c JOIN settled a ON a.id = c.src JOIN settled b ON b.id = c.dst WHERE a.l <> b.l) GROUP BY id",
         True,
     ).replace("  ,", ","),
 )
 def gra05(spark, sf):
     cites = V.citations(spark, sf)
     ids = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    return G.bridge_scores(cites, G.label_propagation(ids, cites, 3))
+    return G.bridge_scores(cites, G.settled_labels(ids, cites))
 
 
 KEY_PAPERS_SQL = V.with_graph(
-    f""", {pagerank_sql()}, {labels_sql(own_vote=True)},
-    rep AS (SELECT id FROM (SELECT r.id, row_number() OVER (PARTITION BY l3.l ORDER BY round(r.r, 12) DESC, r.id) AS rn
-            FROM r30 r JOIN l3 ON l3.id = r.id) WHERE rn = 1),
+    f""", {pagerank_sql()}, {settled_sql()},
+    rep AS (SELECT id FROM (SELECT r.id, row_number() OVER (PARTITION BY s.l ORDER BY round(r.r, 12) DESC, r.id) AS rn
+            FROM r30 r JOIN settled s ON s.id = r.id) WHERE rn = 1),
     bridge AS (SELECT id, count(*)::DOUBLE AS b FROM (SELECT unnest([c.src, c.dst]) AS id
-        FROM citations c JOIN l3 a ON a.id = c.src JOIN l3 b ON b.id = c.dst WHERE a.l <> b.l) GROUP BY id),
-    scored AS (SELECT p.id AS work_id, title, publication_year, cited_by_count, l3.l AS community, r.r,
+        FROM citations c JOIN settled a ON a.id = c.src JOIN settled b ON b.id = c.dst WHERE a.l <> b.l) GROUP BY id),
+    scored AS (SELECT p.id AS work_id, title, publication_year, cited_by_count, s.l AS community, r.r,
         rep.id IS NOT NULL AS is_rep, coalesce(bridge.b, 0.0) AS bridge_score,
         0.45 * r.r + 0.30 * cited_by_count / (SELECT max(cited_by_count)::DOUBLE FROM papers)
-          + CASE WHEN rep.id IS NOT NULL THEN 0.15 ELSE 0 END + 0.10 * least(1.0, coalesce(bridge.b, 0.0) / 3.0) AS s
-      FROM papers p JOIN r30 r ON r.id = p.id JOIN l3 ON l3.id = p.id LEFT JOIN rep ON rep.id = p.id LEFT JOIN bridge ON bridge.id = p.id)
-    SELECT work_id, title, round(s, 6) AS score,
+          + CASE WHEN rep.id IS NOT NULL THEN 0.15 ELSE 0 END + 0.10 * least(1.0, coalesce(bridge.b, 0.0) / 3.0) AS score_
+      FROM papers p JOIN r30 r ON r.id = p.id JOIN settled s ON s.id = p.id LEFT JOIN rep ON rep.id = p.id LEFT JOIN bridge ON bridge.id = p.id)
+    SELECT work_id, title, round(score_, 6) AS score,
       CASE WHEN publication_year >= 2022 THEN 'recent_representative' WHEN bridge_score > 0 THEN 'bridge_paper'
         WHEN is_rep THEN 'community_representative' ELSE 'influential_paper' END AS role,
       round(r, 6) AS pagerank, community, bridge_score, cited_by_count, publication_year::INTEGER AS publication_year
@@ -129,9 +162,9 @@ def gra06(spark, sf):
 
 
 @query("gra07_field", V.with_graph(f"""
-  , {labels_sql(own_vote=True)}
+  , {settled_sql()}
   SELECT 'nodes' AS metric, NULL::INTEGER AS year, count(*) AS n FROM papers UNION ALL SELECT 'edges', NULL, count(*) FROM citations UNION ALL
-  SELECT 'communities', NULL, count(DISTINCT l) FROM l3 UNION ALL SELECT 'papers', publication_year::INTEGER, count(*) FROM papers GROUP BY 2""", True).replace("  ,", ","))
+  SELECT 'communities', NULL, count(DISTINCT l) FROM settled UNION ALL SELECT 'papers', publication_year::INTEGER, count(*) FROM papers GROUP BY 2""", True).replace("  ,", ","))
 def gra07(spark, sf):
     cites = V.citations(spark, sf)
     f = G.field_structure(cut(V.papers(spark, sf, cites), "papers"), cites)
@@ -210,7 +243,7 @@ def hits_sql(rounds: int) -> str:
 def dsn04(spark, sf):
     cites = V.citations(spark, sf)
     ids = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    h = G.hits(ids, cites, 5)
+    h = G.hits(ids, cites, rounds=5)
     return h.select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
