@@ -24,8 +24,8 @@ from paperloom.session import cut, spread
 CENTROIDS = 64  # of each half
 SAMPLE = 20_000  # vectors that the centroids are fitted on: those of the least hashes
 ROUNDS = 12
-SHARE = 0.5  # of the distinct vectors, which the cells on a query's walk must hold
-LEAST = 4_000  # distinct vectors that a walk holds at least, if there are as many
+SHARE = 0.55  # of the distinct vectors, which the cells on a query's walk must hold
+LEAST = 64  # distinct vectors that a walk holds at least, if there are as many: enough for an answer
 QUERY_BLOCK = 8_192  # queries sent to the index at once
 MOST_HELD = 1_000_000  # candidates that a task holds before it drops all but k of each query
 LANES = 256  # queries compared with a batch at once
@@ -185,7 +185,7 @@ def nearest(
     size = np.zeros(shape[0] * shape[1], np.int64)
     for r in index.groupBy("cell").count().collect():  # one row per cell; their number is fixed
         size[r["cell"]] = r["count"]
-    reach = max(int(np.ceil(share * size.sum())), least)
+    reach = max(int(np.ceil(share * size.sum())), least, k + 1)
     plan = spark.sparkContext.broadcast(size.reshape(shape))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,13 +167,13 @@ def exact(vectors, k=20):
     return out
 
 
-def test_small_tables_are_searched_whole(session):
+def test_a_walk_over_all_cells_is_exact(session):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(np.float32(x)) for x in v]) for i, v in enumerate(rng.standard_normal((300, 9)))]
     rows += [(1000 + i, rows[5][1]) for i in range(50)] + [(2000, None), (2020, [0.0] * 9), (2040, [None] * 9), (2060, [float("nan")] * 9), (2080, [float("inf")] * 9)]
     df = session.createDataFrame([(i, v, "c", 1) for i, v in rows], "vec_id long, embedding array<float>, v string, cell long")
     got = {}
-    for r in ann.nearest(df, query_block=7).collect():  # several blocks of queries
+    for r in ann.nearest(df, query_block=7, share=1.0).collect():  # several blocks of queries
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     want = exact(rows)
     assert set(got) == set(want)
@@ -196,5 +196,6 @@ def test_recall(session):
     df = session.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r["vec_id"], list(r["embedding"])) for r in df.collect()]
     want = exact(rows)
-    hit = sum((r["vec_id"] in {i for _, i in want[r["query_id"]]}) for r in ann.nearest(df, least=0).collect())
+    hit = sum((r["vec_id"] in {i for _, i in want[r["query_id"]]}) for r in ann.nearest(df).collect())
     assert hit / sum(map(len, want.values())) >= 0.9
+    assert hit < sum(map(len, want.values()))  # the default goes through the index on this table, too
