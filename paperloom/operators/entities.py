@@ -23,26 +23,28 @@ def with_work_id(raw: DataFrame) -> DataFrame:
     return raw.withColumn("work_id", normalize_id(F.col("id"))).filter("work_id <> ''")
 
 
+def work_fields() -> dict[str, Column]:
+    """The columns of a work row."""
+    abstract = F.coalesce(F.nullif("abstract", F.lit("")), abstract_text(F.col("abstract_inverted_index")), F.lit(""))
+    return {
+        "title": F.coalesce(clean_string(F.col("title"), LENGTHS["title"]), F.lit("(untitled)")),
+        "abstract": abstract,
+        "publication_year": F.col("publication_year"),
+        "publication_date": F.col("publication_date"),
+        "cited_by_count": F.coalesce("cited_by_count", F.lit(0)),
+        "doi": clean_string(F.col("doi")),
+        "open_access_pdf_url": F.coalesce(F.nullif("open_access.oa_url", F.lit("")), "pdf_url"),
+        "type_name": F.coalesce(F.nullif("type", F.lit("")), "type_crossref"),
+    }
+
+
+def named(fields: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in fields.items()]
+
+
 def works(raw: DataFrame) -> DataFrame:
     """ENT-01: the relational work row."""
-    w = with_work_id(raw).withColumn(
-        "_abstract",
-        F.coalesce(
-            F.nullif("abstract", F.lit("")), abstract_text(F.col("abstract_inverted_index")), F.lit("")
-        ),
-    )
-    return w.select(
-        "work_id",
-        F.coalesce(clean_string(F.col("title"), LENGTHS["title"]), F.lit("(untitled)")).alias("title"),
-        F.col("_abstract").alias("abstract"),
-        "publication_year",
-        "publication_date",
-        F.coalesce("cited_by_count", F.lit(0)).alias("cited_by_count"),
-        clean_string(F.col("doi")).alias("doi"),
-        F.coalesce(F.nullif("open_access.oa_url", F.lit("")), "pdf_url").alias("open_access_pdf_url"),
-        F.coalesce(F.nullif("type", F.lit("")), "type_crossref").alias("type_name"),
-        "seq",
-    )
+    return with_work_id(raw).select("work_id", *named(work_fields()), "seq")
 
 
 def _authorships(raw: DataFrame) -> DataFrame:
@@ -65,6 +67,17 @@ def authors(raw: DataFrame) -> DataFrame:
     return first_per_key(a, ["author_id"], ["seq", "author_order"], ["display_name", "orcid"])
 
 
+def institution_fields(i: Column) -> dict[str, Column]:
+    """The columns of an institution, from one entry of an authorship."""
+    return {
+        "institution_id": entity_id(i["id"]),
+        "display_name": clean_string(i["display_name"], LENGTHS["institution"]),
+        "type": clean_string(i["type"], LENGTHS["type"]),
+        "country_code": clean_string(i["country_code"], LENGTHS["country"]),
+        "ror": clean_string(i["ror"], LENGTHS["ror"]),
+    }
+
+
 def _institution_rows(raw: DataFrame) -> DataFrame:
     rows = _authorships(raw).select(
         "work_id", "seq", "author_order", "author_id",
@@ -72,12 +85,7 @@ def _institution_rows(raw: DataFrame) -> DataFrame:
         F.posexplode("a.institutions").alias("inst_pos", "i"),
     )
     return rows.select(
-        "work_id", "seq", "author_order", "author_id", "inst_pos", "strings",
-        entity_id(F.col("i.id")).alias("institution_id"),
-        clean_string(F.col("i.display_name"), LENGTHS["institution"]).alias("display_name"),
-        clean_string(F.col("i.type"), LENGTHS["type"]).alias("type"),
-        clean_string(F.col("i.country_code"), LENGTHS["country"]).alias("country_code"),
-        clean_string(F.col("i.ror"), LENGTHS["ror"]).alias("ror"),
+        "work_id", "seq", "author_order", "author_id", "inst_pos", "strings", *named(institution_fields(F.col("i"))),
     ).filter("institution_id IS NOT NULL AND display_name IS NOT NULL")
 
 
@@ -91,6 +99,16 @@ def institutions(raw: DataFrame) -> DataFrame:
     )
 
 
+def concept_fields(c: Column) -> dict[str, Column]:
+    """The columns of a concept, from one entry of a work."""
+    return {
+        "concept_id": entity_id(c["id"]),
+        "display_name": clean_string(c["display_name"], LENGTHS["concept"]),
+        "level": F.coalesce(c["level"], F.lit(0)),
+        "score": F.coalesce(c["score"], F.lit(0.0)),
+    }
+
+
 def _concept_rows(raw: DataFrame) -> DataFrame:
     chosen = topic_source(F.col("topics"), F.col("concepts"), "key_present")
     rows = with_work_id(raw).select(
@@ -98,13 +116,9 @@ def _concept_rows(raw: DataFrame) -> DataFrame:
         F.when(F.size("topics") > 0, "topics").otherwise("concepts").alias("source"),
         F.posexplode(chosen).alias("pos", "c"),
     )
-    return rows.select(
-        "work_id", "seq", "pos", "source",
-        entity_id(F.col("c.id")).alias("concept_id"),
-        clean_string(F.col("c.display_name"), LENGTHS["concept"]).alias("display_name"),
-        F.coalesce("c.level", F.lit(0)).alias("level"),
-        F.coalesce("c.score", F.lit(0.0)).alias("score"),
-    ).filter("concept_id IS NOT NULL AND display_name IS NOT NULL")
+    return rows.select("work_id", "seq", "pos", "source", *named(concept_fields(F.col("c")))).filter(
+        "concept_id IS NOT NULL AND display_name IS NOT NULL"
+    )
 
 
 def concepts(raw: DataFrame) -> DataFrame:
@@ -114,6 +128,29 @@ def concepts(raw: DataFrame) -> DataFrame:
     )
 
 
+def venue_fields(source: Column) -> dict[str, Column]:
+    """The columns of a venue, from the source of a location."""
+    return {
+        "venue_id": entity_id(source["id"]),
+        "display_name": clean_string(source["display_name"], LENGTHS["venue"]),
+        "issn_l": clean_string(source["issn_l"], LENGTHS["issn_l"]),
+        "issn": F.filter(string_list(source["issn"]), lambda s: s != ""),
+        "publisher": clean_string(source["publisher"], LENGTHS["publisher"]),
+        "is_open_access": F.coalesce(source["is_oa"], F.lit(False)),
+        "country_code": clean_string(source["country_code"], LENGTHS["country"]),
+    }
+
+
+def place_fields(biblio: Column) -> dict[str, Column]:
+    """Where in its primary venue a work stands."""
+    return {
+        "volume": biblio["volume"],
+        "issue": biblio["issue"],
+        "volume_issue": venue_biblio(biblio["volume"], biblio["issue"]),
+        "pages": page_range(biblio["first_page"], biblio["last_page"]),
+    }
+
+
 def _venue_rows(raw: DataFrame, secondary: bool = False) -> DataFrame:
     places = F.array("primary_location")
     if secondary:
@@ -123,14 +160,7 @@ def _venue_rows(raw: DataFrame, secondary: bool = False) -> DataFrame:
     )
     return rows.select(
         "work_id", "seq", "pos", "biblio",
-        (F.col("pos") == 0).alias("is_primary"),
-        entity_id(F.col("l.source.id")).alias("venue_id"),
-        clean_string(F.col("l.source.display_name"), LENGTHS["venue"]).alias("display_name"),
-        clean_string(F.col("l.source.issn_l"), LENGTHS["issn_l"]).alias("issn_l"),
-        F.filter(string_list(F.col("l.source.issn")), lambda s: s != "").alias("issn"),
-        clean_string(F.col("l.source.publisher"), LENGTHS["publisher"]).alias("publisher"),
-        F.coalesce("l.source.is_oa", F.lit(False)).alias("is_open_access"),
-        clean_string(F.col("l.source.country_code"), LENGTHS["country"]).alias("country_code"),
+        (F.col("pos") == 0).alias("is_primary"), *named(venue_fields(F.col("l.source"))),
     ).filter("venue_id IS NOT NULL AND display_name IS NOT NULL")
 
 
@@ -210,10 +240,7 @@ def work_venues(raw: DataFrame, secondary: bool = False) -> DataFrame:
     """LNK-06"""
     rows = _venue_rows(raw, secondary).select(
         "work_id", "venue_id", "pos", "is_primary",
-        F.when(F.col("is_primary"), F.col("biblio.volume")).alias("volume"),
-        F.when(F.col("is_primary"), F.col("biblio.issue")).alias("issue"),
-        F.when(F.col("is_primary"), venue_biblio(F.col("biblio.volume"), F.col("biblio.issue"))).alias("volume_issue"),
-        F.when(F.col("is_primary"), page_range(F.col("biblio.first_page"), F.col("biblio.last_page"))).alias("pages"),
+        *[F.when(F.col("is_primary"), c).alias(name) for name, c in place_fields(F.col("biblio")).items()],
     )
     return first_per_key(
         rows, ["work_id", "venue_id"], ["pos"], ["is_primary", "volume", "issue", "volume_issue", "pages"]
