@@ -219,3 +219,29 @@ def test_sampling_is_repeatable_and_bounded(spark):
     a, b = (rows(G.sample_neighbourhood(v, e, 3, {"CITES": 4}, salt=7)) for _ in range(2))
     assert a == b and len(a) == 12 and len({r[0] for r in a}) == 3
     assert {(r[0], r[1]) for r in a} <= {(i, j) for i in range(20) for j in range(20)}
+
+
+def test_typed_edges_need_both_ends(spark):
+    def frame(values, names):
+        return spark.createDataFrame(values, names)
+
+    tables = {
+        "works": frame([("W1", "t", "article", 1), ("W2", "t", None, 2)], "work_id string, title string, type_name string, x int"),
+        "authors": frame([("A1", "Ann"), (None, "None")], "author_id string, display_name string"),
+        "institutions": frame([("I1", "One", "US"), ("I2", "Two", "NL")], "institution_id string, display_name string, country_code string"),
+        "countries": frame([("US",)], "country_code string"), "work_types": frame([("article",)], "type_name string"),
+        "concepts": frame([("C1", "Topic")], "concept_id string, display_name string"),
+        "citations": frame([("W1", "W2"), ("W2", "W9")], "citing_work_id string, cited_work_id string"),
+        "work_authors": frame([("W1", "A1"), ("W1", "A9"), ("W2", None)], "work_id string, author_id string"),
+        "work_venues": frame([("W1", "V1")], "work_id string, venue_id string"),  # and no table of venues
+        "work_concepts": frame([("W1", "C1", 0.2), ("W2", "C1", 0.0)], "work_id string, concept_id string, score double"),
+        "author_institutions": frame([("A1", "I1")], "author_id string, institution_id string"),
+        "work_institutions": frame([("W1", "I3")], "work_id string, institution_id string"),
+        "work_author_affiliations": frame([("W1", "A1", "I1")], "work_id string, author_id string, institution_id string"),
+    }
+    got = G.typed_edges(tables).select("src", "dst", "type").collect()
+    assert sorted(tuple(r) for r in got) == [
+        ("Author:A1", "Institution:I1", "AFFILIATED_IN_WORK"), ("Author:A1", "Institution:I1", "AFFILIATED_WITH"),
+        ("Author:A1", "Paper:W1", "AUTHORED"), ("Institution:I1", "Country:US", "LOCATED_IN"),
+        ("Paper:W1", "Concept:C1", "ABOUT"), ("Paper:W1", "Paper:W2", "CITES"), ("Paper:W1", "WorkType:article", "HAS_TYPE"),
+    ]
