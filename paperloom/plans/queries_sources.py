@@ -22,13 +22,17 @@ def src01(spark, sf):
     return w.select(C.normalize_id(F.col("id")).alias("work_id"), "publication_year", F.size("authorships").alias("n_authors"))
 
 
+TREE_FILE = 2_000  # works in a file; a file is read as one value
+
+
 @query("src02_tree", """
   SELECT 'W' || o_orderkey AS work_id, year(o_orderdate)::INTEGER AS publication_year, (1 + o_orderkey % 3)::INTEGER AS n_authors FROM orders""")
 def src02(spark, sf):
     """A folder tree of files, each one object with a list of results."""
     path = new_table_path(spark, "tree")
     works = W.parse_works(V.works_json(spark, sf))
-    part = F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")  # each part is one file of its own folder
+    # Each part is one file of its own folder, of so many works at most: the files grow in number, not in size.
+    part = F.floor(F.monotonically_increasing_id() / TREE_FILE).alias("part")
     grouped = works.select(part, F.struct(*WORK.fieldNames()).alias("w")).groupBy("part").agg(F.collect_list("w").alias("results"))
     grouped.write.partitionBy("part").json(path)
     w = W.read_works_tree(spark, path)

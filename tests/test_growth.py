@@ -30,3 +30,16 @@ def test_work_defaults_hold_no_side_in_the_driver(spark, orders):
     assert rows(got, "work_id", "pdf") == sorted(
         ((f"W{i}", f"https://doi.org/10.5/{i}") for i in range(300) if i % 20), key=repr
     )
+
+
+def test_tree_files_stay_small(spark, orders, monkeypatch):
+    import paperloom.plans.queries_sources as S
+
+    monkeypatch.setattr(S, "TREE_FILE", 20)
+    seen = []
+    read = S.W.read_works_tree
+    monkeypatch.setattr(S.W, "read_works_tree", lambda spark, path: seen.append(path) or read(spark, path))
+    got = QUERIES["src02_tree"](spark, orders)
+    assert sorted(r["work_id"] for r in got.collect()) == sorted(f"W{i}" for i in range(300))
+    sizes = [r["n"] for r in spark.read.json(seen[0]).selectExpr("size(results) n").collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 20
