@@ -222,18 +222,26 @@ def read_vectors(spark: SparkSession, path: str, collection: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("collection") == collection)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The folders in ``path`` if it holds nothing else, else ``path``: many roots are listed by tasks, one by the driver."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    seen = [f for f in found if not f.getPath().getName().startswith(("_", "."))]
+    return [f.getPath().toString() for f in seen] if seen and all(f.isDirectory() for f in seen) else [path]
+
+
 def store_binaries(spark: SparkSession, path: str, glob: str = "*.pdf") -> tuple[DataFrame, DataFrame]:
     """SRC-12: (content store, file links); equal content is stored once.
 
-    One path is chosen per digest; only paths and digests are exchanged, and the
-    chosen files are read where they are.
+    One path is chosen per digest; only paths and digests are exchanged and kept, and the
+    chosen files are read where they are. Each file is hashed once, whatever is asked of the two.
     """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-        .load(path).withColumn("sha256", F.sha2("content", 256))
+        .load(subfolders(spark, path))
     )
     key = F.concat(F.lit("pdfs/"), F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"), F.lit(".pdf"))
-    links = files.select("path", "sha256", "length", key.alias("object_key"))
-    chosen = cut(files.groupBy("sha256").agg(F.min("path").alias("_first")), "contents").select("_first")
-    store = files.select("path", "sha256", key.alias("object_key"), "content")
-    return store.join(chosen, store["path"] == chosen["_first"]).select("sha256", "object_key", "content"), links
+    found = cut(files.select("path", F.sha2("content", 256).alias("sha256"), "length"), "contents")
+    links = found.select("path", "sha256", "length", key.alias("object_key"))
+    chosen = found.groupBy("sha256").agg(F.min("path").alias("path"))
+    return files.select("path", "content").join(chosen, "path").select("sha256", key.alias("object_key"), "content"), links

@@ -43,3 +43,14 @@ def test_tree_files_stay_small(spark, orders, monkeypatch):
     assert sorted(r["work_id"] for r in got.collect()) == sorted(f"W{i}" for i in range(300))
     sizes = [r["n"] for r in spark.read.json(seen[0]).selectExpr("size(results) n").collect()]
     assert sum(sizes) == 300 and max(sizes) <= 20
+
+
+def test_contents_are_hashed_once(spark, tmp_path):
+    from paperloom.sources import tables as T
+
+    spark.createDataFrame([(i, str(i % 7)) for i in range(40)], "k long, value string").write.partitionBy("k").text(str(tmp_path / "t"))
+    store, links = T.store_binaries(spark, str(tmp_path / "t"), "*.txt")
+    assert len(T.subfolders(spark, str(tmp_path / "t"))) == 40 and T.subfolders(spark, str(tmp_path / "t" / "k=1"))[0].endswith("k=1")
+    assert "binaryFile" not in plan(links)  # from the kept digests
+    assert links.count() == 40 and links.select("sha256").distinct().count() == 7
+    assert sorted(bytes(r["content"]).decode().strip() for r in store.collect()) == [str(i) for i in range(7)]
