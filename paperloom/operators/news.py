@@ -19,7 +19,7 @@ from paperloom.functions import fixed
 from paperloom.functions.clean import file_name_part
 from paperloom.functions.text import BLANK, strip
 from paperloom.operators.skew import numbered, top_n
-from paperloom.session import pin
+from paperloom.session import cut, pin
 
 # --- fixed values: gate, chunk and score parameters -------------------------------------
 MIN_CHARS, MIN_CJK_RATIO = 80, 0.35
@@ -319,7 +319,8 @@ def top_candidates(children: DataFrame, doc: str = "doc_id", n: int = 3) -> Data
 
 def embedding_index(children: DataFrame, order: list[str]) -> DataFrame:
     """NWS-16: a dense 0-based row number over the selected chunks."""
-    return numbered(children, order, name="_n", label="embedding-index").withColumn(
+    # A range exchange reads its input twice, the first time for its bounds; so the chunks are made before.
+    return numbered(cut(children, "indexed-chunks"), order, name="_n", label="embedding-index").withColumn(
         "embedding_row", F.col("_n") - 1
     ).drop("_n")
 

@@ -54,3 +54,15 @@ def test_contents_are_hashed_once(spark, tmp_path):
     assert "binaryFile" not in plan(links)  # from the kept digests
     assert links.count() == 40 and links.select("sha256").distinct().count() == 7
     assert sorted(bytes(r["content"]).decode().strip() for r in store.collect()) == [str(i) for i in range(7)]
+
+
+def test_an_index_reads_its_chunks_once(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.operators import news as N
+
+    seen = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda x: seen.add(1) or x, "long")
+    chunks = spark.range(50).select(mark("id").alias("id"))
+    assert sorted(r["embedding_row"] for r in N.embedding_index(chunks, ["id"]).collect()) == list(range(50))
+    assert seen.value == 50
