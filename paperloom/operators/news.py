@@ -9,8 +9,12 @@ from __future__ import annotations
 import html
 import re
 from functools import reduce
+from itertools import accumulate, pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -245,9 +249,50 @@ def count_hits(c: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [c.contains(t).cast("int") for t in terms])
 
 
+def found_terms(c: Column, terms: list[str]) -> Column:
+    """NWS-14: the places in ``terms`` of those found, ascending.
+
+    A substring test per term reads a text as often as there are terms. Here the places
+    where a term may begin are found once for a whole Arrow batch, by one look-up per
+    character, and only they are compared.
+    """
+    if "" in terms:
+        raise ValueError("an empty term")
+    signs = [np.array([ord(x) for x in t], np.uint32) for t in terms]
+    group = {x: n for n, x in enumerate(sorted({int(t[0]) for t in signs}))}
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.string())
+        plain = ["" if x is None else x for x in texts.to_pylist()]
+        end = np.cumsum([len(x) + 1 for x in plain], dtype=np.int64)  # each text with a sign behind it that no term has
+        code = np.frombuffer("".join(x + "\ud800" for x in plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        begins = np.full(0x110000, -1, np.int16)
+        begins[list(group)] = list(group.values())
+        kind = begins[code]
+        at = np.flatnonzero(kind >= 0)
+        at = at[np.argsort(kind[at], kind="stable")]
+        first = np.searchsorted(kind[at], np.arange(len(group) + 1))
+        row = np.searchsorted(end, at, "right")
+        there = np.zeros((len(plain), len(terms)), bool)
+        for n, term in enumerate(signs):
+            g = group[int(term[0])]
+            place, of = at[first[g] : first[g + 1]], row[first[g] : first[g + 1]]
+            for k in range(1, len(term)):
+                same = code[np.minimum(place + k, len(code) - 1)] == term[k]
+                place, of = place[same], of[same]
+            there[of, n] = True
+        offsets = np.concatenate([[0], np.cumsum(there.sum(1))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(there)[1].astype(np.int32)))
+        return pc.if_else(texts.is_valid(), lists, pa.scalar(None, lists.type)) if texts.null_count else lists
+
+    return run(c)
+
+
 def hit_terms(c: Column, terms: list[str]) -> Column:
     """NWS-14: the terms found, in lexicon order."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: c.contains(t))
+    listed = F.array(*[F.lit(t) for t in terms])
+    return F.transform(found_terms(c, terms), lambda i: F.get(listed, i))
 
 
 def scored(children: DataFrame) -> DataFrame:
@@ -255,17 +300,31 @@ def scored(children: DataFrame) -> DataFrame:
 
     Expects child_text, center_sentence, doc_notice, doc_multi.
     """
-    text, center = F.col("child_text"), F.col("center_sentence")
+    text = F.col("child_text")
+    lists = [fixed.NEGATIVE_TERMS, fixed.POSITIVE_TERMS, fixed.FINANCIAL_TERMS, fixed.NOTICE_TERMS, fixed.LIST_MARKERS]
+    center = [fixed.NEGATIVE_TERMS, fixed.FINANCIAL_TERMS]
+
+    def counted(found: str, lexicons: list[list[str]]) -> list[Column]:
+        """How many terms of each lexicon are among the places ``found`` in all of them."""
+        def within(a: int, b: int) -> Column:
+            return F.size(F.filter(found, lambda i: (i >= a) & (i < b)))
+
+        return [within(a, b) for a, b in pairwise(accumulate(map(len, lexicons), initial=0))]
+
+    d = children.withColumn("_in_text", found_terms(text, sum(lists, []))).withColumn(
+        "_in_center", found_terms(F.col("center_sentence"), sum(center, []))
+    )
+    neg, pos, fin, notice, listed = counted("_in_text", lists)
+    center_neg, center_fin = counted("_in_center", center)
+    companies = F.when(listed > 0, F.regexp_count(text, F.lit(fixed.COMPANY_WORD)) >= 5).otherwise(False)
     d = pin(
-        children,
-        _neg=count_hits(text, fixed.NEGATIVE_TERMS), _pos=count_hits(text, fixed.POSITIVE_TERMS),
-        _fin=count_hits(text, fixed.FINANCIAL_TERMS),
-        is_notice_like=any_term(text, fixed.NOTICE_TERMS) | F.col("doc_notice"),
-        is_multi_company_like=is_multi_company(text) | F.col("doc_multi"),
+        d, _neg=neg, _pos=pos, _fin=fin,
+        is_notice_like=(notice > 0) | F.col("doc_notice"),
+        is_multi_company_like=companies | F.col("doc_multi"),
         amount_count=F.regexp_count(text, F.lit(fixed.AMOUNT_PATTERN)),
         date_count=F.regexp_count(text, F.lit(fixed.DATE_PATTERN)),
-        _cneg=any_term(center, fixed.NEGATIVE_TERMS), _cfin=any_term(center, fixed.FINANCIAL_TERMS),
-    )
+        _cneg=center_neg > 0, _cfin=center_fin > 0,
+    ).drop("_in_text", "_in_center")
 
     def upto(c: str, n: int) -> Column:
         return F.least(F.col(c), F.lit(n))

@@ -66,3 +66,13 @@ def test_an_index_reads_its_chunks_once(spark):
     chunks = spark.range(50).select(mark("id").alias("id"))
     assert sorted(r["embedding_row"] for r in N.embedding_index(chunks, ["id"]).collect()) == list(range(50))
     assert seen.value == 50
+
+
+def test_terms_are_found_as_by_substring_tests(spark):
+    from paperloom.operators import news as N
+
+    terms = ["ab", "abc", "b", "cab", "債務", "務", "x\U0001f600"]
+    texts = ["", "a", "abcab", "ca", "b債", "務x\U0001f600", None, "債務cab", "x", "\U0001f600ab"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(1)
+    got = {r["id"]: r["f"] for r in d.select("id", N.found_terms(d["t"], terms).alias("f")).collect()}
+    assert got == {i: None if t is None else [n for n, x in enumerate(terms) if x in t] for i, t in enumerate(texts)}
