@@ -6,10 +6,14 @@ arrays, exploded at the end. No shuffle, whatever the number of chunks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from paperloom.functions import text as X
 from paperloom.operators.relate import papers_with_evidence
@@ -81,15 +85,16 @@ def child_chunks(
 
     Offsets belong to the first occurrence of the sentence in its section.
     Offsets, token counts and, with ``buckets`` = dimension, hash buckets are
-    computed once per sentence; a child adds up those of its three sentences.
+    computed once per sentence; a child adds up those of its three sentences. They are
+    plain columns below the explode, so those that a reader does not ask for are not
+    computed: the offsets of a long section cost the square of its length.
     """
-    secs = pin(
-        section_rows(docs, work, body),
-        _at=F.transform("sents", lambda s: F.greatest(F.instr(F.col("body"), s) - 1, F.lit(0))),
-        _cnt=F.transform("sents", X.token_count),
-        _bk=F.transform("sents", lambda s: X.bucket_array(s, buckets)) if buckets else F.array().cast("array<array<bigint>>"),
-    )
-    secs = pin(secs, _tok=F.transform("_at", lambda at: X.token_count(F.substring(F.col("body"), F.lit(1), at))))
+    secs = section_rows(docs, work, body).withColumn("_at", F.transform("sents", lambda s: F.greatest(F.instr(F.col("body"), s) - 1, F.lit(0))))
+    secs = secs.withColumns({
+        "_cnt": F.transform("sents", X.token_count),
+        "_tok": F.transform("_at", lambda at: X.token_count(F.substring(F.col("body"), F.lit(1), at))),
+        "_bk": F.transform("sents", lambda s: X.bucket_array(s, buckets)) if buckets else F.array().cast("array<array<bigint>>"),
+    })
     rows = parent_rows(secs.drop("body")).select(
         "*", F.explode(F.sequence(F.lit(0), F.col("n_sents") - 1)).alias("_l")
     )
@@ -139,27 +144,51 @@ def query_vectors(spark: SparkSession, queries: Sequence[str], dim: int = 64) ->
     return [list(v) for v in row["v"]]
 
 
+def batch_best(children: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
+    """Rows of children(child_id, ..., buckets) as (query_no, score, ...): of each Arrow batch the k best for each query vector."""
+    weights = np.array(vectors).reshape(len(vectors), -1)
+    kept = [c for c in children.columns if c != "buckets"]
+    schema = StructType([*[children.schema[c] for c in kept], StructField("query_no", IntegerType()), StructField("score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_dim = weights.shape[1]
+        for b in batches:
+            lists = b.column("buckets")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(b.num_rows), size) * n_dim + pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+            counts = np.bincount(at, minlength=b.num_rows * n_dim).reshape(b.num_rows, n_dim).astype(float)
+            norm = np.sqrt((counts * counts).sum(1))
+            norm[norm == 0] = 1  # its counts are zero, too
+            rest, names = b.select(kept), b.column("child_id")
+            for q, w in enumerate(weights):
+                score = np.round((counts * w).sum(1) / norm, 9)
+                at = np.arange(b.num_rows)
+                if b.num_rows > k:
+                    at = np.flatnonzero(score >= np.partition(score, b.num_rows - k)[b.num_rows - k])
+                # Code points sort as the UTF-8 bytes do.
+                at = at[sorted(range(len(at)), key=lambda i, at=at, score=score: (-score[at[i]], names[int(at[i])].as_py()))[:k]]
+                cols = [c.take(pa.array(at)) for c in rest.columns]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(at), q, np.int32)), pa.array(score[at])], names=schema.fieldNames())
+
+    return children.mapInArrow(run, schema)
+
+
 def search_evidence(
     children: DataFrame, queries: Sequence[str], k: int = 8, works: DataFrame | None = None, dim: int = 64
 ) -> DataFrame:
     """TXT-08: top k children per query by hash-embedding similarity.
 
-    The query texts are arguments, so their vectors are constants of the plan:
-    every child is read once, scored for all queries, and only k rows per query
-    and task reach the exchange. Scores equal to 9 decimals tie on child_id.
+    The query texts are arguments, so their vectors are constants of the plan: every
+    child is read once and scored for all queries, and only the k best of an Arrow batch
+    leave it, so neither a sort nor an exchange holds more. Scores equal to 9 decimals tie on child_id.
     """
     if works is not None:
         children = children.join(works.select("work_id").distinct(), "work_id", "left_semi")
     vectors = query_vectors(children.sparkSession, queries, dim)
     if "buckets" not in children.columns:
-        children = pin(children, buckets=X.bucket_array(F.col("text"), dim))
-    scored = pin(children, _norm=X.bucket_norm(F.col("buckets")))
-    hits = F.array(*[
-        F.struct(F.lit(i).alias("query_no"), F.round(X.bucket_dot(F.col("buckets"), F.col("_norm"), v), 9).alias("score"))
-        for i, v in enumerate(vectors)
-    ])
-    rows = scored.select("child_id", "parent_id", "work_id", "section", F.col("text").alias("child_text"), F.inline(hits))
-    best = top_n(rows, ["query_no"], [F.desc("score"), F.asc("child_id")], k, "rank")
+        children = children.withColumn("buckets", X.bucket_array(F.col("text"), dim))
+    rows = children.select("child_id", "parent_id", "work_id", "section", F.col("text").alias("child_text"), "buckets")
+    best = top_n(batch_best(rows, vectors, k), ["query_no"], [F.desc("score"), F.asc("child_id")], k, "rank")
     query = F.get(F.array(*[F.lit(q) for q in queries]), F.col("query_no"))
     best = best.withColumn("query", query)
     key = X.stable_hash({"query": X.json_text(F.col("query")), "child": X.json_text(F.col("child_id"))}, 14)

@@ -56,6 +56,16 @@ def test_contents_are_hashed_once(spark, tmp_path):
     assert sorted(bytes(r["content"]).decode().strip() for r in store.collect()) == [str(i) for i in range(7)]
 
 
+def test_terms_are_found_as_by_substring_tests(spark):
+    from paperloom.operators import news as N
+
+    terms = ["ab", "abc", "b", "cab", "債務", "務", "x\U0001f600"]
+    texts = ["", "a", "abcab", "ca", "b債", "務x\U0001f600", None, "債務cab", "x", "\U0001f600ab"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(1)
+    got = {r["id"]: r["f"] for r in d.select("id", N.found_terms(d["t"], terms).alias("f")).collect()}
+    assert got == {i: None if t is None else [n for n, x in enumerate(terms) if x in t] for i, t in enumerate(texts)}
+
+
 def test_an_index_reads_its_chunks_once(spark):
     from pyspark.sql import functions as F
 
@@ -68,11 +78,13 @@ def test_an_index_reads_its_chunks_once(spark):
     assert seen.value == 50
 
 
-def test_terms_are_found_as_by_substring_tests(spark):
-    from paperloom.operators import news as N
+def test_a_search_sorts_few_rows_and_makes_no_offsets(spark):
+    from paperloom.operators import chunks as K
 
-    terms = ["ab", "abc", "b", "cab", "債務", "務", "x\U0001f600"]
-    texts = ["", "a", "abcab", "ca", "b債", "務x\U0001f600", None, "債務cab", "x", "\U0001f600ab"]
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(1)
-    got = {r["id"]: r["f"] for r in d.select("id", N.found_terms(d["t"], terms).alias("f")).collect()}
-    assert got == {i: None if t is None else [n for n, x in enumerate(terms) if x in t] for i, t in enumerate(texts)}
+    docs = [(i, " ".join(f"Sentence {i} number {j} speaks of graphs and of water." for j in range(9))) for i in range(40)]
+    children = K.child_chunks(spark.createDataFrame(docs, "work_id long, text string"), buckets=64)
+    got = K.search_evidence(children, ["graphs and water", "number 3"], 4)
+    assert "instr" not in plan(got)
+    once = K.batch_best(children.select("child_id", "buckets").coalesce(1), K.query_vectors(spark, ["graphs", "water"]), 4)
+    assert once.count() == 8 and got.count() == 8
+    assert "instr" not in plan(K.child_chunks(spark.createDataFrame(docs, "work_id long, text string")).select("child_id", "text"))
