@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import stable_hash
@@ -18,13 +19,16 @@ RECENT_FROM_YEAR = 2022
 
 MAX_ROUNDS = 1_000  # of an iteration to a fixed point or a tolerance; more is an error
 HOT_ROWS = 1_000_000  # edges of one node that one task may hold
+HOT_BUCKETS = 1 << 16  # of the first count for nodes with more
+MOST_LOGS = 8  # tables of changes that a round reads; more are merged
 
 
-def keep_partitioned(df: DataFrame, keys: list[str]) -> DataFrame:
+def keep_partitioned(df: DataFrame, keys: list[str], then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Persist ``df`` hash-partitioned, in a form whose partitioning later joins see.
 
     An adaptive cached plan does not promise its partitioning, and every join
-    would exchange it again; so this one plan (a scan and an exchange) is static.
+    would exchange it again; so this one plan is static. ``then`` works on the
+    partitions before they are kept.
     """
     spark = df.sparkSession
     adaptive = "spark.sql.adaptive.enabled"
@@ -32,7 +36,8 @@ def keep_partitioned(df: DataFrame, keys: list[str]) -> DataFrame:
     spark.conf.set(adaptive, "false")
     try:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return df.repartition(n, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = df.repartition(n, *keys)
+        return (then(rows) if then else rows).persist(StorageLevel.MEMORY_AND_DISK)
     finally:
         spark.conf.set(adaptive, before)
 
@@ -40,41 +45,72 @@ def keep_partitioned(df: DataFrame, keys: list[str]) -> DataFrame:
 class EdgeLayout:
     """Edges laid out once by one end, for the joins of an iterative job.
 
-    The edges are the large side of every round. Hash-partitioned and persisted,
-    they are not exchanged again; only node values travel. A node with more than
+    The edges are the large side of every round. Hash-partitioned, sorted and persisted,
+    they are not exchanged or sorted again; only node values travel. A node with more than
     ``hot_rows`` edges is split into salted parts by its other ends, and its value
-    is sent to each part. Lost partitions are rebuilt from the written table.
+    is sent to each part. Lost partitions are rebuilt from ``edges``, which should be a
+    written table. ``degree`` adds the number of edges of the key end, ``computed``
+    further columns of the two ends.
     """
 
-    def __init__(self, edges: DataFrame, key: str, other: str, hot_rows: int = HOT_ROWS) -> None:
-        spark = edges.sparkSession
+    def __init__(
+        self, edges: DataFrame, key: str, other: str, hot_rows: int = HOT_ROWS, degree: bool = False, **computed: Column
+    ) -> None:
         # Parallel edges become one row with a multiplicity: (key, other) is unique.
-        once = edges.groupBy(key, other).agg(F.count(F.lit(1)).alias("times"))
-        once = cut(once, "edges-once")
-        seen = Observation()
-        degree = once.groupBy(key).agg(F.sum("times").alias("degree"), F.count(F.lit(1)).alias("_rows"))
-        degree = cut(degree.observe(seen, F.count_if(F.col("_rows") > hot_rows).alias("hot")), "degrees")
-        parts = F.ceil(F.col("_rows") / hot_rows).cast("int")
-        self.key, self.salted = key, bool(seen.get["hot"])
-        rows = once.join(degree, key)
-        keys = [key]
-        if self.salted:
-            rows = rows.withColumn("_salt", F.pmod(F.xxhash64(other), parts).cast("int"))
-            self.hot = degree.filter(F.col("_rows") > hot_rows).select(F.col(key).alias("_hot"), parts.alias("_parts"))
-            keys.append("_salt")
-        # Written first, so that the join above may be re-planned around skew.
-        rows = cut(rows.drop("_rows"), "edges-laid-out")
-        self.rows = keep_partitioned(rows, keys)
+        edges = edges.select(key, other)
+        self.key = key
+        hot = self._hot(edges, key, other, hot_rows)
+        self.salted = hot is not None
+
+        def merged(rows: DataFrame) -> DataFrame:
+            return rows.groupBy(key, other).agg(F.count(F.lit(1)).alias("times"))
+
+        def finished(rows: DataFrame) -> DataFrame:
+            return rows.withColumns(computed).sortWithinPartitions(key, other) if computed else rows.sortWithinPartitions(key, other)
+
+        if not self.salted:
+            def within(rows: DataFrame) -> DataFrame:
+                rows = merged(rows)
+                if degree:
+                    rows = rows.withColumn("degree", F.sum("times").over(Window.partitionBy(key)))
+                return finished(rows)
+
+            self.rows = keep_partitioned(edges, [key], within)
+            return
+        self.hot = hot
+        rows = cut(merged(edges), "edges-once")
+        if degree:
+            total = rows.groupBy(key).agg(F.sum("times").alias("degree"))
+            # Written first, so that the join may be re-planned around skew.
+            rows = cut(rows.join(cut(total, "degrees"), key), "edges-laid-out")
+        salt = F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")
+        rows = rows.join(F.broadcast(hot), rows[key] == hot["_hot"], "left").withColumn("_salt", salt).drop("_hot", "_parts")
+        self.rows = keep_partitioned(rows, [key, "_salt"], finished)
+
+    @staticmethod
+    def _hot(edges: DataFrame, key: str, other: str, hot_rows: int) -> DataFrame | None:
+        """(_hot, _parts): nodes with more than ``hot_rows`` different other ends; None without one.
+
+        A hot node fills a hash bucket alone, so only the nodes of overfull buckets are counted.
+        """
+        bucket = F.pmod(F.xxhash64(key), F.lit(HOT_BUCKETS)).alias("_bucket")
+        full = cut(edges.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows), "full-buckets")
+        if full.isEmpty():
+            return None
+        some = edges.select(key, other, bucket).join(full, "_bucket", "left_semi").select(key, other).distinct()
+        parts = F.ceil(F.count(F.lit(1)) / hot_rows).cast("int")
+        hot = cut(some.groupBy(F.col(key).alias("_hot")).agg(parts.alias("_parts")).filter("_parts > 1"), "hot-nodes")
+        return None if hot.isEmpty() else hot
 
     def meet(self, values: DataFrame) -> DataFrame:
         """Each edge with the value row (id, ...) of its key end."""
         if not self.salted:
             return self.rows.join(values, self.rows[self.key] == values["id"])
         spread = values.join(self.hot, values["id"] == self.hot["_hot"], "left").withColumn(
-            "_to", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+            "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
         )
-        on = (self.rows[self.key] == spread["id"]) & (self.rows["_salt"] == spread["_to"])
-        return self.rows.join(spread, on).drop("_hot", "_parts", "_to", "_salt")
+        on = (self.rows[self.key] == spread["id"]) & (self.rows["_salt"] == spread["_part"])
+        return self.rows.join(spread, on).drop("_hot", "_parts", "_part", "_salt")
 
     def close(self) -> None:
         self.rows.unpersist()
@@ -183,7 +219,7 @@ def pagerank(
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("pagerank", F.lit(0.0))
-    layout = EdgeLayout(edges, "src", "dst", hot_rows)
+    layout = EdgeLayout(edges, "src", "dst", hot_rows, degree=True)
     base = new_table_path(spark, "rank-terms")
     kind = nodes.schema["id"].dataType.simpleString()
     current = nodes.select("id", F.lit(1.0 / n).alias("v"))
@@ -218,10 +254,15 @@ def pagerank(
 # --- components and communities ------------------------------------------------
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Both directions, no self loops."""
+    e = edges.select("src", "dst").filter("src <> dst")
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions, no self loops, no repeats."""
-    e = edges.select("src", "dst").filter("src <> dst")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return both_ways(edges).distinct()
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -276,7 +317,7 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 3, ow
     its whole neighbourhood to one task. With ``own_vote`` a node's own label counts
     once, so that the ends of a lone edge agree instead of trading labels.
     """
-    links = undirected(edges)
+    links = both_ways(edges)
     if own_vote:
         links = links.unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst")))
     layout = EdgeLayout(links, "src", "dst")
@@ -307,32 +348,76 @@ def settled_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     the rounds end, and labels never swap for ever. A community is named by its
     smallest member; nodes without links stay alone.
     """
-    layout = EdgeLayout(undirected(edges), "src", "dst")
-    rank = F.md5(F.col("id").cast("string"))
-    labels = vertices.select("id", F.col("id").alias("community"))
-    for _ in range(MAX_ROUNDS):
+    md5 = [F.md5(F.col(c).cast("string")) for c in ("src", "dst")]
+    layout = EdgeLayout(both_ways(edges), "src", "dst", _before=md5[0] < md5[1])
+    # The state is a log of rows (_n, _c, votes, own): votes that label _c gains or loses at node
+    # _n, and how often _n itself has it. Kept by node, it is not exchanged again; a round sends
+    # what moved, and looks again at the nodes this reaches.
+    def kept(rows: DataFrame, label: str) -> DataFrame:
+        return cut(rows, label) if layout.salted else keep_partitioned(rows, ["_n"])
+
+    def entry(label: str, votes: Column, own: Column) -> Column:
+        return F.struct(F.col(label).alias("_c"), votes.cast("long").alias("votes"), own.cast("long").alias("own"))
+
+    none = F.lit(0)
+    nodes = cut(vertices.groupBy("id").agg(F.count(F.lit(1)).alias("_times")), "label-nodes")
+    # At first each neighbour votes for its own id, once; an end that is no vertex, or is one more than once, votes 0 or more times.
+    ends = layout.rows.select(F.col("src").alias("id")).distinct()
+    odd = ends.join(nodes, "id", "left").select("id", (F.coalesce("_times", F.lit(0)) - 1).alias("_more")).filter("_more <> 0")
+    odd = cut(odd, "label-odd-ends")
+    start = kept(nodes.select(F.col("id").alias("_n"), F.col("id").alias("_c"), none.cast("long").alias("votes"), F.col("_times").alias("own")), "label-start")
+    logs = [layout.rows.select(F.col("src").alias("_n"), F.col("dst").alias("_c"), F.lit(1).cast("long").alias("votes"), none.cast("long").alias("own")), start]
+    held = [start]
+    if not odd.isEmpty():
+        more = kept(layout.meet(odd).select(F.col("dst").alias("_n"), F.col("src").alias("_c"), F.col("_more").alias("votes")), "label-odd")
+        logs.append(more.select("_n", "_c", "votes", none.cast("long").alias("own")))
+        held.append(more)
+    touched, want, all_moves = None, None, []
+    for step in range(MAX_ROUNDS):
+        rows = reduce(DataFrame.unionByName, logs)
+        if touched is not None:
+            rows = rows.join(touched.hint("shuffle_hash"), "_n")
         # Counted per (node, label) before the choice, so a hub never sends all its neighbours to one task.
-        votes = layout.meet(labels).groupBy(F.col("dst").alias("_n"), "community").agg(F.count(F.lit(1)).alias("_c"))
-        own = labels.select(F.col("id").alias("_n"), F.col("community").alias("_own"))
-        chosen = votes.join(own, "_n").groupBy("_n").agg(
-            F.min(F.struct((-F.col("_c")).alias("c"), F.col("community").alias("l"))).alias("_b"),
-            F.max(F.when(F.col("community") == F.col("_own"), F.col("_c")).otherwise(0)).alias("_stay"),
+        sums = rows.groupBy("_n", "_c").agg(F.sum("votes").alias("votes"), F.sum("own").alias("own"))
+        mine = F.col("own") > 0
+        chosen = sums.groupBy("_n").agg(
+            F.min(F.when(F.col("votes") > 0, F.struct((-F.col("votes")).alias("c"), F.col("_c").alias("l")))).alias("_b"),
+            F.max(F.when(mine, F.col("votes"))).alias("_stay"), F.max(F.when(mine, F.col("_c"))).alias("_from"),
+            F.max("own").alias("_times"),
         )
+        found = chosen.filter(-F.col("_b.c") > F.col("_stay")).select(F.col("_n").alias("id"), "_from", F.col("_b.l").alias("_to"), "_times")
+        if want is not None:
+            found = found.unionByName(want.join(touched, want["id"] == touched["_n"], "left_anti"))
         seen = Observation()
-        want = chosen.filter(-F.col("_b.c") > F.col("_stay")).select(F.col("_n").alias("id"), F.col("_b.l").alias("_to"))
-        want = cut(want.withColumn("_r", rank).observe(seen, F.count(F.lit(1)).alias("n")), "label-moves")
+        want = cut(found.observe(seen, F.count(F.lit(1)).alias("n")), "label-wants")
         if not seen.get["n"]:
             break
-        around = layout.meet(want).groupBy(F.col("dst").alias("_n")).agg(F.min("_r").alias("_first"))
-        free = want.join(around, want["id"] == around["_n"], "left").filter("_first is null or _r < _first")
-        moves = free.select(F.col("id").alias("_m"), "_to")
-        labels = cut(
-            labels.join(moves, labels["id"] == moves["_m"], "left").select("id", F.coalesce("_to", "community").alias("community")),
-            "labels",
-        )
+        blocked = layout.meet(want.select("id")).filter("_before").select(F.col("dst").alias("_n")).distinct()
+        moves = cut(want.join(blocked, want["id"] == blocked["_n"], "left_anti").withColumn("_step", F.lit(step)), "label-moves")
+        all_moves.append(moves)
+        what = ["_from", "_to", "_times"]
+        sent = layout.meet(moves).select(F.col("dst").alias("_n"), *what, F.lit(False).alias("_self"))
+        sent = kept(sent.unionByName(moves.select(F.col("id").alias("_n"), *what, F.lit(True).alias("_self"))), "label-sent")
+        votes, own = F.when(~F.col("_self"), F.col("_times")).otherwise(0), F.when(F.col("_self"), F.col("_times")).otherwise(0)
+        logs.append(sent.select("_n", F.inline(F.array(entry("_from", -votes, -own), entry("_to", votes, own)))))
+        held.append(sent)
+        touched = sent.select("_n").distinct()
+        if len(logs) > MOST_LOGS:
+            changes = reduce(DataFrame.unionByName, logs[1:]).groupBy("_n", "_c").agg(F.sum("votes").alias("votes"), F.sum("own").alias("own"))
+            merged = kept(cut(changes.filter("votes <> 0 or own <> 0"), "label-changes"), "label-log")
+            touched = cut(touched, "label-touched")
+            for h in held:
+                h.unpersist()
+            logs, held = [logs[0], merged], [merged]
     else:
         raise RuntimeError(f"labels still move after {MAX_ROUNDS} rounds")
+    for h in held:
+        h.unpersist()
     layout.close()
+    labels = vertices.select("id", F.col("id").alias("community"))
+    if all_moves:
+        last = reduce(DataFrame.unionByName, all_moves).groupBy("id").agg(F.max_by("_to", "_step").alias("_to"))
+        labels = cut(labels.join(last, "id", "left").select("id", F.coalesce("_to", "community").alias("community")), "labels")
     names = labels.groupBy("community").agg(F.min("id").alias("_name"))
     return labels.join(names, "community").select("id", F.col("_name").alias("community"))
 
