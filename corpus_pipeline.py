@@ -19,7 +19,10 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity 0.8 or more) the smallest id stays."""
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8 or more) the smallest id stays.
+
+    SimHash links and MinHash bands propose the pairs, the exact shingle sets decide.
+    """
     prepare(spark)
     return minhash.keep_one(docs)
 

@@ -1,9 +1,11 @@
 """Near-copies by exact Jaccard similarity of word shingles (the pipeline's second stage).
 
-MinHash bands propose pairs, the shingle sets decide. Texts with the same set are
-one node. A pair at the threshold meets in a band with probability
-1 - (1 - 0.8 ** ROWS) ** BANDS, which is 0.9999; above it with more. Of the pairs that
-meet, no link is lost.
+SimHash fingerprints propose pairs, as in operator 6: segments, keys with one bit wiped
+out, equality by key, at most four differing bits. At the threshold most pairs differ
+by more (about ten bits), so MinHash bands propose the others. The shingle sets decide
+on all. Texts with the same set are one node. A pair at the threshold meets in a band with
+probability 1 - (1 - 0.8 ** ROWS) ** BANDS, which is 0.9999; above it with more. Of the
+pairs that meet, no link is lost.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm import simhash
 from paperloom.llm.batches import fresh, mix64, slices
 from paperloom.llm.simhash import kept_rows, named_by, row_key
 from paperloom.operators.graph import connected_components
@@ -59,7 +62,7 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def hashed(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, fingerprint, size, bands) of (row, doc_id, text); the fingerprint names the shingle set."""
+    """(row, doc_id, fingerprint, size, bands, simhash) of (row, doc_id, text); the fingerprint names the shingle set."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,14 +71,15 @@ def hashed(rows: DataFrame) -> DataFrame:
                 sets = [shingles(t) for t in b.column("text").to_pylist()]
                 full = [s for s in sets if len(s)]
                 keys = iter(bands(full).view(np.int64).tolist() if full else [])
+                near = np.array([simhash.simhash(t, SHINGLE) for t in b.column("text").to_pylist()], np.uint64)
                 name = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64)
                 cols = [
                     b.column("row"), b.column("doc_id"), pa.array(name.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array(near.view(np.int64)),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "fingerprint", "size", "bands"])
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "fingerprint", "size", "bands", "simhash"])
 
-    return rows.mapInArrow(run, f"row string, doc_id {kind}, fingerprint long, size long, bands array<long>")
+    return rows.mapInArrow(run, f"row string, doc_id {kind}, fingerprint long, size long, bands array<long>, simhash long")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -164,11 +168,23 @@ def bucket_forests(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "src long, dst long")
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(src, dst) proposed by operator 6: sets of one SimHash with the least of them, and the least ones of linked SimHashes."""
+    nodes = nodes.select("fp", "simhash")
+    least = cut(nodes.groupBy("simhash").agg(F.min("fp").alias("least")), "near-simhash")
+    pairs = simhash.links(least.select(F.col("simhash").alias("fp")))
+    a = least.select(F.col("simhash").alias("src"), F.col("least").alias("a"))
+    b = least.select(F.col("simhash").alias("dst"), F.col("least").alias("b"))
+    linked = pairs.join(a, "src").join(b, "dst").select("a", "b")
+    alike = nodes.join(least, "simhash").select(F.col("fp").alias("a"), F.col("least").alias("b")).filter("a <> b")
+    return linked.unionByName(alike).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+
+
 def links(nodes: DataFrame, texts: DataFrame, held: int = HELD) -> DataFrame:
-    """(src, dst): verified links between the shingle sets of ``nodes(fp, size, bands, row)``, as connected as all pairs that share a band.
+    """(src, dst): verified links between the shingle sets of ``nodes(fp, size, bands, simhash, row)``, as connected as all pairs that share a band.
 
-    The first round compares each member of a bucket with the bucket's least and
-    greatest fingerprint. What that joins needs no further comparison, so the second
+    The first round compares the pairs that SimHash proposes, and each member of a bucket with
+    the bucket's least and greatest fingerprint. What that joins needs no further comparison, so the second
     round reads only buckets with members of several components: all their pairs
     of different components are compared inside a task, and only links that join
     components leave it. A bucket of more than ``held`` shingles is cut into blocks,
@@ -178,14 +194,16 @@ def links(nodes: DataFrame, texts: DataFrame, held: int = HELD) -> DataFrame:
     end = F.struct("fp", "size")
     stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(end).alias("low"), F.max(end).alias("high"))
     shared = cut(rows.join(stats.filter("n > 1").drop("n"), "key"), "minhash-buckets")
-    members = nodes.select("fp", "row").join(shared.select("fp").distinct(), "fp")
+    near = cut(simhash_pairs(nodes), "near-pairs")
+    named = shared.select("fp").unionByName(near.select(F.explode(F.array("src", "dst")).alias("fp"))).distinct()
+    members = nodes.select("fp", "row").join(named, "fp")
     chosen = texts.join(members, "row").select("fp", "text").dropDuplicates(["fp"])
     sets = cut(shingle_sets(chosen), "minhash-sets")
 
     up, down = FOUR_OF_FIVE
     ends = shared.select("fp", "size", F.explode(F.array("low", "high")).alias("end")).filter("fp <> end.fp")
     ends = ends.filter(F.least("size", "end.size") * down >= F.greatest("size", "end.size") * up)
-    stars = ends.select(F.least("fp", "end.fp").alias("src"), F.greatest("fp", "end.fp").alias("dst")).distinct()
+    stars = ends.select(F.least("fp", "end.fp").alias("src"), F.greatest("fp", "end.fp").alias("dst")).unionByName(near).distinct()
     first = cut(similar(stars, sets), "minhash-first")
     nodes_met = first.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     roots = cut(connected_components(nodes_met, first).withColumnRenamed("id", "fp"), "minhash-roots")
@@ -215,7 +233,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held:
     prints = cut(hashed(texts), "minhash")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     nodes = prints.groupBy(F.col("fingerprint").alias("fp")).agg(
-        F.min(first).alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")
+        F.min(first).alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"),
+        F.min("simhash").alias("simhash"),
     )
     nodes = cut(nodes, "minhash-nodes")
     pairs = cut(links(nodes, texts.select("row", "text"), held), "minhash-pairs")
