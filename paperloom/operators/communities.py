@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from paperloom.operators.graph import label_propagation, undirected
+from paperloom.operators.graph import keep_partitioned, label_propagation, undirected
 from paperloom.session import cut
 
 MAX_STEPS = 1_000  # of moves and contractions; no fixed point by then is an error
@@ -38,18 +38,32 @@ def score(links: DataFrame, nodes: DataFrame, labels: DataFrame, two_m: int) ->
     return two_m * (inner + int(row["loops"] or 0)) - int(row["squares"] or 0)
 
 
-def improving_moves(links: DataFrame, nodes: DataFrame, labels: DataFrame, two_m: int) -> DataFrame:
+def with_tot(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, community, k, tot): each node with the degree of its community."""
+    own = nodes.join(labels, "id").select("id", "community", "k")
+    return own.join(own.groupBy("community").agg(F.sum("k").alias("tot")), "community").select("id", "community", "k", "tot")
+
+
+def improving_moves(
+    links: DataFrame, nodes: DataFrame, labels: DataFrame, two_m: int, state: DataFrame | None = None, only: DataFrame | None = None, few: bool = False
+) -> DataFrame:
     """(id, community, to, gain): of each node the best move to a neighbour's community, if it gains anything.
 
     ``gain`` is exact: the score grows by twice as much if no other node of the two
-    communities moves. Ties go to the smallest community.
+    communities moves. Ties go to the smallest community. ``state`` is ``with_tot`` of the
+    labels, ``only(id)`` the nodes that are asked, ``few`` tells that these are few.
     """
-    own = labels.join(nodes, "id").select("id", "community", "k")
-    tot = own.groupBy("community").agg(F.sum("k").alias("tot"))
-    around = links.join(labels.select(F.col("id").alias("src"), F.col("community").alias("to")), "src")
-    around = around.groupBy(F.col("dst").alias("id"), "to").agg(F.sum("w").alias("w"))
-    stay = own.join(tot, "community").select("id", "community", "k", "tot")
-    options = around.join(tot.select(F.col("community").alias("to"), F.col("tot").alias("to_tot")), "to").join(stay, "id")
+    if state is None:
+        state = with_tot(nodes, labels)
+        near = labels.join(state.groupBy("community").agg(F.max("tot").alias("tot")), "community")
+    else:
+        near = state
+    stay = (state if only is None else state.join(only, "id", "left_semi")).dropDuplicates(["id"])
+    near = near.select(F.col("id").alias("src"), F.col("community").alias("to"), F.col("tot").alias("to_tot"))
+    asked = stay.select(F.col("id").alias("dst"), "community", "k", "tot")
+    # The links of few nodes are picked first; else the labels meet the links where these lie, and one exchange takes them to the nodes.
+    options = links.join(asked, "dst").join(near, "src") if few else links.join(near, "src").join(asked, "dst")
+    options = options.groupBy(F.col("dst").alias("id"), "to", "community", "k", "tot", "to_tot").agg(F.sum("w").alias("w"))
     here = F.col("to") == F.col("community")
     rest = exact(F.col("to_tot") - F.when(here, F.col("k")).otherwise(0))
     value = F.lit(two_m).cast("decimal(19,0)") * exact(F.col("w")) - exact(F.col("k")) * rest
@@ -63,6 +77,28 @@ def improving_moves(links: DataFrame, nodes: DataFrame, labels: DataFrame, two_m
     return best.select("id", "community", F.col("best.to").alias("to"), gain.alias("gain")).filter("gain > 0")
 
 
+def gained(links: DataFrame, state: DataFrame, chosen: DataFrame, two_m: int) -> int:
+    """What all moves ``chosen(id, community, to)`` together add to the score of the labels in ``state``, from the links of the movers."""
+    a = chosen.select(F.col("id").alias("src"), F.col("community").alias("a"), F.col("to").alias("new_a"))
+    moved = links.join(a, "src")
+    b = state.select(F.col("id").alias("dst"), F.col("community").alias("b"))
+    new_b = chosen.select(F.col("id").alias("dst"), F.col("to").alias("new_b"))
+    ends = moved.join(b, "dst").join(new_b, "dst", "left")
+    # A link between a mover and a node that stays is met from one of its ends only.
+    sides = F.when(F.col("new_b").isNull(), 2).otherwise(1)
+    same = (F.col("new_a") == F.coalesce("new_b", "b")).cast("int") - (F.col("a") == F.col("b")).cast("int")
+    inner = ends.agg(F.sum(F.col("w") * sides * same)).first()[0] or 0
+    k = chosen.select("id", "to").join(state.select("id", "community", "k"), "id")
+    change = k.select(F.inline(F.array(
+        F.struct(F.col("community").alias("c"), (-F.col("k")).alias("dk")), F.struct(F.col("to").alias("c"), F.col("k").alias("dk")),
+    ))).groupBy("c").agg(F.sum("dk").alias("dk"))
+    tot = state.groupBy(F.col("community").alias("c")).agg(F.max("tot").alias("tot"))
+    # A community that is new has no degree yet.
+    grown = change.join(tot, "c", "left").select("dk", F.coalesce("tot", F.lit(0).cast("long")).alias("tot"))
+    squares = grown.agg(F.sum(exact(F.col("dk")) * exact(2 * F.col("tot") + F.col("dk")))).first()[0]
+    return two_m * int(inner) - int(squares or 0)
+
+
 def apart(moves: DataFrame) -> DataFrame:
     """The moves that have the best gain in both of their communities: together they gain what each gains alone."""
     rank = F.struct((-F.col("gain")).alias("g"), F.col("id").alias("id"))
@@ -72,29 +108,52 @@ def apart(moves: DataFrame) -> DataFrame:
     return moves.join(both, "id", "left_semi")
 
 
+def reached(links: DataFrame, labels: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id): nodes whose options the moves may have changed: members of their communities, and the neighbours of these."""
+    changed = chosen.select(F.explode(F.array("community", "to")).alias("community")).distinct()
+    members = labels.join(changed, "community", "left_semi").select("id")
+    around = links.join(members.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
+    return members.unionByName(around).distinct()
+
+
 def local_moves(links: DataFrame, nodes: DataFrame, labels: DataFrame, two_m: int) -> tuple[DataFrame, bool]:
     """(labels, moved): nodes move until no single move gains anything.
 
     In a round the nodes of every second hash move at once, unless that lowers the
     score or few want to move; then the moves that do not touch each other are taken,
-    which raise it by what they gain. So the rounds end.
+    which raise it by what they gain. So the rounds end. A round asks only the nodes that the
+    last moves reached; what the others want stays as it was.
     """
-    now, moved, failed, size = score(links, nodes, labels, two_m), False, False, nodes.count()
-    for step in range(MAX_STEPS):
-        seen = Observation()
-        moves = cut(improving_moves(links, nodes, labels, two_m).observe(seen, F.count(F.lit(1)).alias("n")), "moves")
-        if not seen.get["n"]:
-            return labels, moved
-        careful = failed or FEW * seen.get["n"] < size
-        chosen = apart(moves) if careful else moves.filter(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0)
-        gained = Observation()
-        to = chosen.observe(gained, F.sum("gain").alias("sum")).select("id", F.col("to").alias("_to"))
-        new = cut(labels.join(to, "id", "left").select("id", F.coalesce("_to", "community").alias("community")), "moved")
-        after = now + 2 * int(gained.get["sum"] or 0) if careful else score(links, nodes, new, two_m)
-        failed = after <= now
-        if not failed:
-            labels, now, moved = new, after, True
-    raise RuntimeError(f"no fixed point after {MAX_STEPS} rounds")
+    moved, failed, size = False, False, nodes.count()
+    links = keep_partitioned(links, ["src"])
+    moves, only, few = None, None, False
+    count = F.count(F.lit(1)).alias("n")
+    try:
+        for step in range(MAX_STEPS):
+            if not failed:
+                state = cut(with_tot(nodes, labels), "degrees")
+                new, seen = improving_moves(links, nodes, labels, two_m, state, only, few), Observation()
+                if moves is not None:
+                    new = new.unionByName(moves.join(only, "id", "left_anti"))
+                moves = cut(new.observe(seen, count), "moves")
+                wanting = seen.get["n"]
+            if not wanting:
+                return labels, moved
+            careful = failed or FEW * wanting < size
+            chosen = apart(moves) if careful else moves.filter(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0)
+            chosen = cut(chosen, "chosen")
+            # Moves apart gain what each gains alone.
+            failed = not careful and gained(links, state, chosen, two_m) <= 0
+            if failed:
+                continue
+            to = chosen.select("id", F.col("to").alias("_to"))
+            labels = cut(labels.join(to, "id", "left").select("id", F.coalesce("_to", "community").alias("community")), "moved")
+            moved, asked = True, Observation()
+            only = cut(reached(links, labels, chosen).observe(asked, count), "reached")
+            few = FEW * asked.get["n"] < size
+        raise RuntimeError(f"no fixed point after {MAX_STEPS} rounds")
+    finally:
+        links.unpersist()
 
 
 def contracted(links: DataFrame, nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
