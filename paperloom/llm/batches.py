@@ -17,16 +17,24 @@ from paperloom.session import tune
 # Rows of one Arrow batch. Texts are sent whole, so the batch is kept short.
 BATCH_ROWS = "512"
 
+# Allocator of the Python workers. Workers outlive their stage and lie idle beside those of the next, so blocks of
+# 1 MB and more are mapped on their own and go back to the system when freed, Arrow's as well.
+WORKER_MEMORY = {
+    "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2",
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of this package's queries; they stay set on the session.
 
     The runtime settings of the library, and short Arrow batches, so that a batch
-    of very long texts fits a Python worker.
+    of very long texts fits a Python worker, which gives freed memory back.
     """
     tune(spark)
     # Workers import this package from where the driver has it; on a cluster, from its install.
     spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
+    spark.sparkContext.environment.update(WORKER_MEMORY)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

@@ -26,7 +26,8 @@ EDITS = 5  # of a whole window; shorter items get a share of it
 MIN_CHARS = 24  # shorter items are too common to be evidence
 BLOCK_CHARS = 2_000_000  # benchmark characters that one pass over the documents looks for
 STEP = 1 << 18  # text positions searched at once
-HITS = 4_000_000  # hits held at once
+HITS = 1_000_000  # hits held at once
+SLICE = 1 << 20  # text bytes that are folded at once
 GAP = 0x110001
 FAR = 1 << 40  # the cost of a place outside the text
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -228,7 +229,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for whole in batches:
-                for b in slices(whole, "text", 8 << 20):
+                for b in slices(whole, "text", SLICE):
                     hit = find(*utf8(b.column("text")), index)
                     if len(hit["row"]):
                         yield merged(b.column("doc_id"), hit, index)
@@ -267,7 +268,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for b in slices(whole, f"k{at}", 8 << 20):
+                for b in slices(whole, f"k{at}", SLICE):
                     clean = np.ones(b.num_rows, bool)
                     clean[find(*utf8(b.column(f"k{at}")), shared.value)["row"]] = False
                     yield b.filter(pa.array(clean))
