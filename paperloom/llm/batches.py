@@ -99,6 +99,20 @@ def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBa
         start = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Short batches put together up to ``limit`` text bytes; a longer one stays as it is."""
+    held, size = [], 0
+    for b in batches:
+        own = len(utf8(b.column(text))[0])
+        if held and size + own > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def arrays(**named: np.ndarray) -> bytes:
     """Numpy arrays as the bytes of an uncompressed npz file."""
     buffer = io.BytesIO()

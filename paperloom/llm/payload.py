@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import arrays, arrays_of, parts_by_bytes, slices, utf8
+from paperloom.llm.batches import arrays, arrays_of, gathered, parts_by_bytes, slices, utf8
 from paperloom.llm.bpe import ENCODE_WORDS, added_tokens, split_chunk, tokenizer, word_list
 from paperloom.llm.perfect import build, joined
 from paperloom.session import new_table_path
@@ -40,8 +40,8 @@ from paperloom.session import new_table_path
 END_ID = 0
 FILE_BYTES = 64 << 20  # of a payload file; a longer single document is a file of its own
 PART_BYTES = 64 << 20  # of text a task encodes, by the table's size on disk
-SLICE_BYTES = 4 << 20  # text encoded at once
-KNOWN_WORDS = 1 << 19  # encoded words that a worker keeps, also for its next task; beyond, it starts anew
+SLICE_BYTES = 8 << 20  # text encoded at once
+KNOWN_WORDS = 3 << 17  # encoded words that a worker keeps, also for its next task; beyond, it keeps as many older ones at most
 BUCKET_KEYS = 1 << 16  # document keys of an index file
 READ_BYTES = 8 << 20  # payload read at once; a longer document is read alone
 FILE_BITS = 24  # files of one task
@@ -58,38 +58,41 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each of the machine
         self.path, self.most, self.specials = path, most, added_tokens(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was known before; a word of it that comes again is known again
 
     def of_words(self, words: list[bytes]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), ENCODE_WORDS):
-            part = new[at : at + ENCODE_WORDS]
-            found = tokenizer(self.path).encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
-        return [self.known[w] for w in words]
+            self.known, self.older = {}, self.known
+        out = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if missing and self.older:
+            for i in missing:
+                if (ids := self.older.get(words[i])) is not None:
+                    out[i] = self.known[words[i]] = ids
+            missing = [i for i in missing if out[i] is None]
+        for at in range(0, len(missing), ENCODE_WORDS):
+            part = missing[at : at + ENCODE_WORDS]
+            found = tokenizer(self.path).encode_batch_fast([words[i].decode("utf-8") for i in part], add_special_tokens=False)
+            for i, e in zip(part, found, strict=True):
+                out[i] = self.known[words[i]] = array("I", e.ids).tobytes()
+        return out
 
     def of_texts(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of back-to-back UTF-8 texts: each text's ids and END_ID."""
         n = len(off) - 1
         words, first = split_chunk(raw, off, self.specials)
-        lists, per_word = [], np.zeros(0, np.int64)
+        lists, per_word = [], np.zeros(0, np.int32)
         if len(words) > 1:
             coded = word_list(raw, words)
             lists = self.of_words(coded.dictionary.to_pylist())
             per_word = coded.indices.to_numpy()
-        size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        flat = np.frombuffer(b"".join(lists), np.uint32)
-        start = np.cumsum(size) - size
-        count = size[per_word]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        source = np.arange(ends[-1]) - np.repeat(ends[:-1], count) + np.repeat(start[per_word], count)
-        text_ends = ends[first[1:]]  # without end signs
-        out = np.full(ends[-1] + n, END_ID, np.uint32)
-        inside = np.ones(len(out), bool)
-        inside[text_ends + np.arange(n)] = False
-        out[inside] = flat[source]
-        return out, np.concatenate([[0], text_ends + np.arange(1, n + 1)])
+        end = len(lists)  # a further word, which ends each text
+        entries = pa.array([*lists, END_ID.to_bytes(4, "little")], pa.large_binary())
+        _, offsets, data = entries.take(pa.array(np.insert(per_word, first[1:], end))).buffers()
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        text_ends = np.frombuffer(offsets, np.int64)[first[1:] + np.arange(1, n + 1)] // 4
+        return np.frombuffer(data, "<u4")[: text_ends[-1]], np.concatenate([[0], text_ends])
 
 
 @lru_cache(maxsize=1)
@@ -161,7 +164,7 @@ def written(docs: DataFrame, path: str, folder: str, file_bytes: int = FILE_BYTE
                 [pa.array(np.full(n, file)), pa.array(np.arange(n)), keys, named, facts], names=["file", "row", "key", "name", "ids"]
             )
 
-        for whole in batches:
+        for whole in gathered(batches, "text", SLICE_BYTES):
             for b in slices(whole, "text", SLICE_BYTES):
                 ids, ends = encoder.of_texts(*utf8(b.column("text")))
                 ids = ids.astype(kind)

@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from paperloom.llm import payload, perfect
-from paperloom.llm.batches import prepare
+from paperloom.llm.batches import gathered, prepare, utf8
 from paperloom.llm.queries import op13_token_ids, tokenizer_path
 from paperloom.session import new_table_path
 from tests.llm.helpers import TEXTS, awkward, empty
@@ -100,3 +101,27 @@ def test_query(session):
         assert got[r["doc_id"]] == (r["doc_id"], start, len(tokens), zlib.crc32(np.array(tokens, "<u4").tobytes()))
         start += len(tokens)
     assert len(got) == len(rows)
+
+
+def test_words_are_encoded_once_over_short_batches(monkeypatch):
+    """Short batches are encoded together, and a full table of words forgets no word in use."""
+    texts = [f"common words w{i} again" if i % 7 else "" for i in range(200)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 5])}) for i in range(0, 200, 5)]
+    assert [b.num_rows for b in gathered(iter(batches), "text", 1 << 20)] == [200]
+    assert pa.Table.from_batches(gathered(iter(batches), "text", 300)).column("text").to_pylist() == texts
+    asked, real = [], payload.tokenizer(PATH)
+
+    class Counted:
+        def encode_batch_fast(self, words, **options):
+            asked.extend(words)
+            return real.encode_batch_fast(words, **options)
+
+    monkeypatch.setattr(payload, "tokenizer", lambda path: Counted())
+    encoder, got = payload.WordIds(PATH, most=20), []
+    for b in gathered(iter(batches), "text", 300):
+        ids, ends = encoder.of_texts(*utf8(b.column("text")))
+        got += [ids[a:z].tolist() for a, z in zip(ends, ends[1:])]
+    assert got == plain(texts)
+    assert asked.count("common") == asked.count(" again") == 1 and len(encoder.older) > 0
+    ids, ends = encoder.of_texts(*utf8(pa.array([], pa.string())))
+    assert len(ids) == 0 and ends.tolist() == [0]
