@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from paperloom.operators.graph import keep_partitioned, label_propagation, undirected
+from paperloom.operators import packs as P
+from paperloom.operators.graph import keep_partitioned, label_propagation, packed, undirected
 from paperloom.session import cut
 
 MAX_STEPS = 1_000  # of moves and contractions; no fixed point by then is an error
@@ -169,22 +170,37 @@ def contracted(links: DataFrame, nodes: DataFrame, labels: DataFrame) -> tuple[D
     return between, cut(merged, "contracted-nodes")
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def louvain(vertices: DataFrame, edges: DataFrame, start: DataFrame | None = None, most: int = P.MOST) -> DataFrame:
     """(id, community) at a fixed point: neither a move of a node nor of a whole community raises modularity.
 
     Moves on the graph itself and on its contractions, level by level, follow each
     other until a pass over all levels changes nothing. ``start(id, community)`` defaults to
     label propagation with own votes; the result is never worse. A community is named by its
     smallest member. Nodes without edges, also loops, stay alone.
+
+    No move leaves a component, and of the others only the number of their links counts.
+    So a task works on whole components of up to ``most`` rows; larger ones go through
+    distributed rounds. A community of ``start`` in several components is taken as several.
     """
-    links = cut(weighted(edges), "links")
+    if start is None:
+        start = label_propagation(vertices, edges, own_vote=True)
+    parts = packed(vertices, edges, start, most)
+    two_m = parts.packs.agg(F.sum("links")).first()[0] or 0
+    if parts.rest_edges is None:
+        return P.modular(parts, two_m)
+    links = cut(weighted(parts.rest_edges), "links")
+    two_m += links.agg(F.sum("w")).first()[0] or 0
+    rest = parts.rest.filter("id is not null")
+    found = distributed_louvain(rest.select("id").distinct(), links, rest.select("id", F.coalesce("label", "id").alias("community")).distinct(), two_m)
+    return P.modular(parts, two_m).unionByName(rest.select("id").join(found, "id"))
+
+
+def distributed_louvain(vertices: DataFrame, links: DataFrame, start: DataFrame, two_m: int) -> DataFrame:
+    """``louvain`` of ``links(src, dst, w)`` by rounds over the whole graph, which has ``two_m`` link ends with those of its other parts."""
     degree = links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
-    nodes = vertices.select("id").distinct().join(degree, "id", "left")
+    nodes = vertices.join(degree, "id", "left")
     nodes = cut(nodes.select("id", F.coalesce("k", F.lit(0).cast("long")).alias("k"), F.lit(0).cast("long").alias("loops")), "nodes")
-    two_m = links.agg(F.sum("w")).first()[0] or 0
-    if not two_m:
-        return nodes.select("id", F.col("id").alias("community"))
-    labels = cut(start if start is not None else label_propagation(vertices, edges, own_vote=True), "start")
+    labels = cut(start, "start")
     for _ in range(MAX_STEPS):
         labels, changed = local_moves(links, nodes, labels, two_m)
         level_links, level_nodes = links, nodes

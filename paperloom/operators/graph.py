@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import stable_hash
+from paperloom.operators import packs as P
 from paperloom.operators.skew import numbered, top_n
 from paperloom.session import cut, new_table_path
 
@@ -198,11 +199,25 @@ def algorithm_record(snapshot_id: str, at: str, algorithm: str, parameters: str,
     )
 
 
+# --- packs -----------------------------------------------------------------------
+
+
+def packed(vertices: DataFrame, edges: DataFrame, start: DataFrame | None = None, most: int = P.MOST) -> P.Packed:
+    """The components of a graph of up to ``most`` rows in packs, the larger ones apart; ``start(id, community)`` labels the vertices."""
+    kind = vertices.schema["id"].dataType
+    nodes = vertices.select("id", F.lit(1).alias("times"), F.lit(None).cast(kind).alias("label"))
+    if start is not None:
+        nodes = nodes.unionByName(start.select("id", F.lit(0).alias("times"), F.col("community").alias("label")))
+    nodes = nodes.groupBy("id").agg(F.sum("times").alias("times"), F.min("label").alias("label")).filter("times > 0")
+    return P.packed(nodes, edges, component_roots(edges), most)
+
+
 # --- PageRank ------------------------------------------------------------------
 
 
 def pagerank(
-    vertices: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85, hot_rows: int = HOT_ROWS
+    vertices: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85, hot_rows: int = HOT_ROWS,
+    packs: P.Packed | None = None,
 ) -> DataFrame:
     """GRA-02: (id, pagerank); dangling rank is shared evenly, the sum is 1.
 
@@ -212,13 +227,24 @@ def pagerank(
     round is then one join on the laid-out edges and one partial-aggregated sum on
     the target, with no second join to the vertices and no dangling scan; nodes
     nobody cites leave v_j on their own, and an empty v_j ends the loop early
-    with the exact result.
+    with the exact result. With ``packs`` of the graph only what is not packed
+    goes through these rounds; the masses are those of both.
     """
     spark = vertices.sparkSession
     nodes = cut(vertices.select("id").distinct(), "rank-nodes")
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("pagerank", F.lit(0.0))
+    if packs is not None:
+        packed_masses = P.rank_masses(packs, 1.0 / n, damping, iterations)
+        if packs.rest_edges is None:
+            coefficients = _coefficients(packed_masses)
+            ranks = P.ranks(packs, 1.0 / n, damping, coefficients)
+            if packs.rest is None:
+                return ranks
+            # Vertices without an id have no edges.
+            return ranks.unionByName(packs.rest.select("id").distinct().withColumn("pagerank", F.lit(coefficients[0] / n)))
+        nodes, edges = packs.rest.select("id").distinct(), packs.rest_edges
     layout = EdgeLayout(edges, "src", "dst", hot_rows, degree=True)
     base = new_table_path(spark, "rank-terms")
     kind = nodes.schema["id"].dataType.simpleString()
@@ -239,16 +265,25 @@ def pagerank(
         current = spark.read.schema(f"id {kind}, v double").parquet(path)
     layout.close()
     masses += [0.0] * (iterations - len(masses))
-    coefficients = [1.0]
-    for _ in range(iterations):
-        first = 1.0 - sum(a * masses[j] for j, a in enumerate(coefficients))
-        coefficients = [first] + coefficients
+    if packs is not None:
+        masses = [a + b for a, b in zip(masses, packed_masses)]
+    coefficients = _coefficients(masses)
     scale = F.element_at(F.array(*[F.lit(a) for a in coefficients[1:]]), F.col("step"))
     terms = spark.read.schema(f"id {kind}, v double, step int").parquet(base)
     tail = terms.groupBy("id").agg(F.sum(F.col("v") * scale).alias("_tail"))
-    return nodes.join(tail, "id", "left").select(
+    ranks = nodes.join(tail, "id", "left").select(
         "id", (F.lit(coefficients[0] / n) + F.coalesce("_tail", F.lit(0.0))).alias("pagerank")
     )
+    return ranks if packs is None else ranks.unionByName(P.ranks(packs, 1.0 / n, damping, coefficients))
+
+
+def _coefficients(masses: list[float]) -> list[float]:
+    """a_0 .. a_T of PageRank from the masses of its terms."""
+    coefficients = [1.0]
+    for _ in masses:
+        first = 1.0 - sum(a * masses[j] for j, a in enumerate(coefficients))
+        coefficients = [first] + coefficients
+    return coefficients
 
 
 # --- components and communities ------------------------------------------------
@@ -266,7 +301,15 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """GRA-03: (id, component), component = smallest id; isolated nodes kept.
+    """GRA-03: (id, component), component = smallest id; isolated nodes kept."""
+    links = component_roots(edges, max_rounds)
+    return vertices.select("id").join(
+        links.select(F.col("u").alias("id"), F.col("v").alias("_root")), "id", "left"
+    ).select("id", F.coalesce("_root", "id").alias("component"))
+
+
+def component_roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(u, v): each node that is not the smallest of its component with the one that is.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): the
     number of rounds grows with the logarithm of the size, also on long chains,
@@ -304,9 +347,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         before = after
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return vertices.select("id").join(
-        links.select(F.col("u").alias("id"), F.col("v").alias("_root")), "id", "left"
-    ).select("id", F.coalesce("_root", "id").alias("component"))
+    return links
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 3, own_vote: bool = False) -> DataFrame:
@@ -338,7 +379,7 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 3, ow
     return labels
 
 
-def settled_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def settled_labels(vertices: DataFrame, edges: DataFrame, packs: P.Packed | None = None) -> DataFrame:
     """GRA-04: (id, community) by label propagation to its fixed point.
 
     At the end no node has more neighbours with another label than with its own. In
@@ -346,8 +387,12 @@ def settled_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     them, ties to the smallest; those whose hash is the least among such neighbours do.
     No two movers are adjacent, so each move adds links inside communities,
     the rounds end, and labels never swap for ever. A community is named by its
-    smallest member; nodes without links stay alone.
+    smallest member; nodes without links stay alone. With ``packs`` of the graph only
+    what is not packed goes through rounds of exchanges.
     """
+    if packs is not None:
+        found = P.settled(packs)
+        return found if packs.rest_edges is None else found.unionByName(settled_labels(packs.rest.select("id"), packs.rest_edges))
     md5 = [F.md5(F.col(c).cast("string")) for c in ("src", "dst")]
     layout = EdgeLayout(both_ways(edges), "src", "dst", _before=md5[0] < md5[1])
     # The state is a log of rows (_n, _c, votes, own): votes that label _c gains or loses at node
@@ -508,9 +553,10 @@ def field_structure(
     or "components"; no edge leaves a component, so with those no paper is a bridge.
     ``topics(id, topic)`` adds the topic counts.
     """
-    ranks = cut(pagerank(papers, edges), "ranks")
+    packs = packed(papers, edges)
+    ranks = cut(pagerank(papers, edges, packs=packs), "ranks")
     if method == "labels":
-        found = settled_labels(papers, edges)
+        found = settled_labels(papers, edges, packs)
     elif method == "modularity":
         from paperloom.operators.communities import louvain  # which builds on this module
 
