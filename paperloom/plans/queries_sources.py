@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from paperloom.functions import clean as C
 from paperloom.plans import views as V
@@ -34,11 +35,10 @@ TREE_FILE = 2_000  # works in a file; a file is read as one value
 def src02(spark, sf):
     """A folder tree of files, each one object with a list of results."""
     path = new_table_path(spark, "tree")
-    works = W.parse_works(V.works_json(spark, sf))
     # Each part is one file of its own folder, of so many works at most: the files grow in number, not in size.
-    part = F.floor(F.monotonically_increasing_id() / TREE_FILE).alias("part")
-    grouped = works.select(part, F.struct(*WORK.fieldNames()).alias("w")).groupBy("part").agg(F.collect_list("w").alias("results"))
-    grouped.write.partitionBy("part").json(path)
+    # It is made in the task that has its records, and compressed: neither plain files nor an exchange of parsed works fill the disk.
+    grouped = W.bundles(V.works_json(spark, sf), TREE_FILE).sortWithinPartitions("part")
+    grouped.select("part", F.from_json("list", ArrayType(WORK)).alias("results")).write.options(**PACKED).partitionBy("part").json(path)
     w = W.read_works_tree(spark, path)
     return w.select(C.normalize_id(F.col("id")).alias("work_id"), "publication_year", F.size("authorships").alias("n_authors"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -53,14 +57,14 @@ def read_works_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_works_tree(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """SRC-02: recursive JSON files, each an object, a list, or {"results": [...]}.
+    """SRC-02: recursive JSON files, plain or gzip, each an object, a list, or {"results": [...]}.
 
     Malformed files and records without an id are skipped. Order is by file path
     and position in the file.
     """
     files = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", "*.{json,json.gz}")
         .option("wholetext", "true")
         .text(path)
         .select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
@@ -82,6 +86,37 @@ def read_works_tree(spark: SparkSession, path: str, limit: int = 0) -> DataFrame
     return parse_works(parsed)
 
 
+def bundles(texts: DataFrame, size: int, json_column: str = "json") -> DataFrame:
+    """(part, list): JSON texts joined to JSON lists of ``size`` at most, in the tasks that have them, without an exchange."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, part = [], 0, None
+
+        def joined() -> pa.RecordBatch:
+            values = pa.concat_arrays(held).cast(pa.string())
+            lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            text = pc.binary_join_element_wise("[", pc.binary_join(lists, ","), "]", "")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), text], names=["part", "list"])
+
+        for b in batches:
+            rows = b.column(1).drop_null()
+            if part is None and len(rows):
+                part = b.column(0)[0].as_py() << 33
+            at = 0
+            while at < len(rows):
+                some = rows.slice(at, size - n)
+                held.append(some)
+                at, n = at + len(some), n + len(some)
+                if n == size:
+                    yield joined()
+                    held, n, part = [], 0, part + 1
+        if n:
+            yield joined()
+
+    # A filter on the texts would make them once more, below the exchange that may deal their rows.
+    rows = texts.select(F.spark_partition_id().cast("long").alias("p"), json_column)
+    return rows.mapInArrow(run, "part long, list string")
+
+
 def works_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """SRC-11: a growing folder of JSON lines; the stream checkpoint is the cursor."""
     return (

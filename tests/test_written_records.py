@@ -27,3 +27,13 @@ def check(spark, orders, monkeypatch, run, label):
 
 def test_lines_are_compressed(spark, orders, monkeypatch):
     check(spark, orders, monkeypatch, Q.src01, "jsonl")
+
+
+def test_tree_is_compressed_and_made_without_an_exchange(spark, orders, monkeypatch):
+    monkeypatch.setattr(Q, "TREE_FILE", 64)
+    check(spark, orders, monkeypatch, Q.src02, "tree")
+    sizes = [r["n"] for r in spark.read.json(f"{orders}/tree").selectExpr("size(results) AS n").collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 64
+    made = Q.W.bundles(spark.range(10).selectExpr("CAST(id AS STRING) AS json"), 3)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(x for r in made.collect() for x in eval(r["list"])) == list(range(10))
