@@ -37,3 +37,8 @@ def test_tree_is_compressed_and_made_without_an_exchange(spark, orders, monkeypa
     made = Q.W.bundles(spark.range(10).selectExpr("CAST(id AS STRING) AS json"), 3)
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted(x for r in made.collect() for x in eval(r["list"])) == list(range(10))
+
+
+def test_digests_of_the_drops_are_not_broadcast(spark, orders, monkeypatch):
+    monkeypatch.setattr(Q, "new_table_path", lambda _, name: f"{orders}/{name}")
+    assert "Broadcast" not in Q.src11(spark, orders)._jdf.queryExecution().executedPlan().toString()
