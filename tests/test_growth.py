@@ -45,6 +45,17 @@ def test_tree_files_stay_small(spark, orders, monkeypatch):
     assert sum(sizes) == 300 and max(sizes) <= 20
 
 
+def test_nodes_are_made_once_for_counts_and_edges(spark, orders, monkeypatch):
+    from paperloom.operators import graph as G
+
+    made = []
+    vertices = G.typed_vertices
+    monkeypatch.setattr(G, "typed_vertices", lambda tables: made.append(1) or vertices(tables))
+    got = {(r["kind"], r["type"]): r["n"] for r in QUERIES["agg11_type_counts"](spark, orders).collect()}
+    assert len(made) == 1
+    assert got["node", "Paper"] == got["edge", "PUBLISHED_IN"] == got["edge", "HAS_TYPE"] == 300 and got["node", "WorkType"] == 3
+
+
 def test_contents_are_hashed_once(spark, tmp_path):
     from paperloom.sources import tables as T
 
