@@ -74,3 +74,20 @@ def test_text_ids_pack_and_others_do_not(spark):
     v, e = v.selectExpr("binary(id) AS id"), e.selectExpr("binary(src) AS src", "binary(dst) AS dst")
     p = G.packed(v, e)
     assert p.packs.isEmpty() and p.rest.count() == 6
+
+
+def chains(spark):
+    e = spark.range(600).selectExpr("id AS src", "explode(array(id + 1, id + 2, id + 3)) AS dst").filter("src div 10 = dst div 10")
+    return spark.range(600).selectExpr("id", "'t' AS title", "2000 AS publication_year", "id % 5 AS cited_by_count"), e
+
+
+def test_key_papers_of_small_components_take_no_rounds(spark, monkeypatch):
+    written = []
+    write = G.cut
+    monkeypatch.setattr(G, "cut", lambda df, label="cut": written.append(label) or write(df, label))
+    papers, e = chains(spark)
+    got = G.field_structure(papers, e, 30)["key_papers"].collect()
+    assert not {"label-wants", "label-moves", "full-buckets"} & set(written)
+    ranks, labels = G.pagerank(papers, e), write(G.settled_labels(papers, e))
+    want = G.rank_key_papers(papers, ranks, labels, G.bridge_scores(e, labels), 30).collect()
+    assert got == want
