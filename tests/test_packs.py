@@ -91,3 +91,15 @@ def test_key_papers_of_small_components_take_no_rounds(spark, monkeypatch):
     ranks, labels = G.pagerank(papers, e), write(G.settled_labels(papers, e))
     want = G.rank_key_papers(papers, ranks, labels, G.bridge_scores(e, labels), 30).collect()
     assert got == want
+
+
+def test_field_counts_of_small_components_take_no_rounds(spark, monkeypatch):
+    written = []
+    write = G.cut
+    monkeypatch.setattr(G, "cut", lambda df, label="cut": written.append(label) or write(df, label))
+    papers, e = chains(spark)
+    found = G.field_structure(papers, e)
+    assert not {"label-wants", "label-moves", "full-buckets"} & set(written)
+    got = {r["metric"]: r["n"] for r in found["counts"].collect()}
+    assert got == {"nodes": 600, "edges": 60 * 24, "communities": G.settled_labels(papers, e).select("community").distinct().count()}
+    assert [tuple(r) for r in found["yearly"].collect()] == [(2000, 600)]
